@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from oddgraph.llm.langid import op4_language_id
 from oddgraph.llm.licenses import op9_license_scan
 from oddgraph.llm.sharding import op10_feistel_shards
+from oddgraph.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op4_language_id": op4_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_feistel_shards": op10_feistel_shards,
 }
