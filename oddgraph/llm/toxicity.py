@@ -31,6 +31,8 @@ from oddgraph.llm.common import held_out
 TRAIN_DOCS = 6000
 SHORTEST, LONGEST = 4, 8
 LEAST_DOCS, LEAST_LOG_ODDS, MOST_TERMS = 4, 2.5, 4000
+#: Log-odds count less this many standard errors, so that chance and copied texts weigh little.
+STANDARD_ERRORS = 1.64
 CLEAN_PHRASE = 0.9
 
 # Look-alike letters, digit and sign substitutions, invisible signs.
@@ -182,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id",
         return Lexicon(curve=(-30.0, 0.0, 0.0))
     picked = F.broadcast(spark.createDataFrame(rows))
     sample = docs.select(F.col(key).alias(key), F.col(text).alias("text")).join(picked, key).select("text", F.col("toxic").cast("int").alias("toxic"))
-    odds = F.log((F.col("n1") + 0.5) * (int(n[0]) + 1) / ((F.col("n0") + 0.5) * (int(n[1]) + 1)))
+    spread = F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
+    odds = F.log((F.col("n1") + 0.5) * (int(n[0]) + 1) / ((F.col("n0") + 0.5) * (int(n[1]) + 1))) - STANDARD_ERRORS * spread
     found = (
         _counts(sample).withColumn("w", odds).where((F.col("n1") >= LEAST_DOCS) & (F.col("w") >= LEAST_LOG_ODDS))
         .orderBy(F.desc("n1"), F.desc("w"), "term").limit(MOST_TERMS).toPandas()
