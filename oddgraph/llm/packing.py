@@ -3,9 +3,11 @@
 Texts are encoded and cut into pieces of the sequence length and one shorter rest. Only the histogram
 of piece lengths (at most as many rows as the sequence length) reaches the driver. There a linear
 program over patterns (how many pieces of each length share a sequence) is solved by a revised
-simplex whose columns are priced by an unbounded-knapsack dynamic program. Patterns are rounded down,
-what is left is packed by best fit, and every pattern becomes ranges of ranks: the pieces of one
-length are ranked over all documents, and a piece's rank gives its sequence and offset.
+simplex whose columns are priced by an unbounded-knapsack dynamic program. Patterns are rounded down
+and become ranges of ranks: the pieces of one length are ranked over all documents, and a piece's
+rank gives its sequence and offset. Pieces that no pattern takes (many lengths over half a sequence
+have no partner that fills it) form a stream in rank order that is cut at the sequence length, so
+only the patterns' small slack and the last sequence are padded.
 
 Ranks are computed in salted groups (length, hash bucket), so a length that a third of all pieces
 share is split over ``BUCKETS`` groups.
@@ -28,8 +30,10 @@ from oddgraph.llm.common import stored
 from oddgraph.llm.encode import encoder
 
 LENGTH, END_ID, BUCKETS = 1024, 0, 256
-#: The simplex stops when it is this close to the bound by volume or by duality, or after so many pivots.
-GAP, MOST_PIVOTS = 2e-4, 3000
+#: What cutting a piece of the stream costs, as a share of its length: patterns with less padding than this pay.
+CUT_COST = 0.01
+#: The simplex stops when no pattern gains more than GAP, or after so many pivots.
+GAP, MOST_PIVOTS = 1e-3, 600
 
 
 def priced(values: np.ndarray, lengths: np.ndarray, room: int) -> tuple[float, Counter]:
@@ -53,20 +57,19 @@ def priced(values: np.ndarray, lengths: np.ndarray, room: int) -> tuple[float, C
     return float(best[room]), found
 
 
-def linear_program(lengths: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (columns over lengths) and how often each is used, for all demand exactly."""
-    m = len(lengths)
-    columns = np.diag((room // lengths).astype(float))
-    inverse = np.diag(1.0 / (room // lengths))
-    used = inverse @ demand
-    volume = float(lengths @ demand) / room
+def linear_program(lengths: np.ndarray, demand: np.ndarray, room: int) -> tuple[list[Counter], np.ndarray]:
+    """Patterns by index into ``lengths`` and how often each is used; what they leave is streamed.
+
+    Streaming a piece costs its share of a sequence and ``CUT_COST`` of that more; the stream columns
+    are the first basis, so every step is a feasible packing.
+    """
+    m, stream = len(lengths), (1 + CUT_COST) * lengths / room
+    basis: list[Counter | None] = [None] * m
+    cost, inverse, used = stream.copy(), np.eye(m), demand.astype(float)
     for _ in range(MOST_PIVOTS):
-        total = used.sum()
-        if total <= volume * (1 + GAP):
-            break
-        dual = inverse.sum(axis=0)
+        dual = cost @ inverse
         value, pattern = priced(dual, lengths, room)
-        if value <= 1 + GAP:  # then the bound by duality, total / value, is as near
+        if value <= 1 + GAP:
             break
         column = np.zeros(m)
         column[list(pattern)] = list(pattern.values())
@@ -74,64 +77,65 @@ def linear_program(lengths: np.ndarray, demand: np.ndarray, room: int) -> tuple[
         ratio = np.where(along > 1e-9, used / np.where(along > 1e-9, along, 1), np.inf)
         out = int(ratio.argmin())
         pivot = inverse[out] / along[out]
-        inverse -= np.outer(along, pivot)
+        rows = np.flatnonzero(np.abs(along) > 1e-12)
+        inverse[rows] -= np.outer(along[rows], pivot)
         inverse[out] = pivot
-        columns[:, out] = column
         used = np.maximum(used - ratio[out] * along, 0)
-        used[out] = ratio[out]
-    return columns, used
-
-
-def best_fit(counts: dict[int, int], room: int) -> list[Counter]:
-    """Best fit decreasing over what rounding leaves."""
-    bins: dict[int, list[Counter]] = {}
-    done: list[Counter] = []
-    for length in sorted(counts, reverse=True):
-        for _ in range(counts[length]):
-            free = min((f for f in bins if f >= length), default=None)
-            if free is None:
-                held, free = Counter(), room
-                done.append(held)
-            else:
-                held = bins[free].pop()
-                if not bins[free]:
-                    del bins[free]
-            held[length] += 1
-            bins.setdefault(free - length, []).append(held)
-    return done
+        used[out], basis[out], cost[out] = ratio[out], pattern, 1.0
+    kept = [i for i in range(m) if basis[i] is not None]
+    return [basis[i] for i in kept], used[kept]
 
 
 def patterns(histogram: dict[int, int], room: int = LENGTH) -> list[tuple[dict[int, int], int]]:
-    """(pieces per length, times used) that cover the histogram exactly."""
+    """(pieces per length, times used), never more pieces than the histogram holds."""
     out = [({room: 1}, histogram[room])] if histogram.get(room) else []
     lengths = np.array(sorted(x for x in histogram if x < room and histogram[x]))
     if not len(lengths):
         return out
     left = np.array([histogram[int(x)] for x in lengths])
-    columns, used = linear_program(lengths, left.astype(float), room)
-    for k in np.flatnonzero(np.floor(used + 1e-9) > 0):
-        column = np.rint(columns[:, k]).astype(int)
-        times = int(min(np.floor(used[k] + 1e-9), min(left[i] // column[i] for i in np.flatnonzero(column))))
+    found, used = linear_program(lengths, left, room)
+    for pattern, x in sorted(zip(found, used), key=lambda z: -z[1]):
+        times = min(int(x + 1e-6), *(int(left[i]) // n for i, n in pattern.items()))
         if times > 0:
-            left = left - times * column
-            out.append(({int(lengths[i]): int(column[i]) for i in np.flatnonzero(column)}, times))
-    alike = Counter(tuple(sorted(p.items())) for p in best_fit({int(x): int(n) for x, n in zip(lengths, left) if n}, room))
-    return out + [(dict(p), n) for p, n in alike.items()]
-
-
-def slots(found: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
-    """Per length, rows (first rank, first sequence, pieces a sequence, offset in the sequence)."""
-    taken: Counter = Counter()
-    rows: dict[int, list] = {}
-    sequence = 0
-    for pattern, times in found:
-        offset = 0
-        for length, per in sorted(pattern.items(), reverse=True):
-            rows.setdefault(length, []).append((taken[length], sequence, per, offset))
-            taken[length] += per * times
-            offset += per * length
-        sequence += times
-    return {k: np.array(v, np.int64) for k, v in rows.items()}
+            for i, n in pattern.items():
+                left[i] -= times * n
+            out.append(({int(lengths[i]): n for i, n in pattern.items()}, times))
+    return out
+
+
+class Plan:
+    """Where the piece of a length and rank goes: pattern slots first, then the stream."""
+
+    def __init__(self, histogram: dict[int, int], room: int = LENGTH):
+        self.room = room
+        taken, rows, sequence = Counter(), {}, 0
+        for pattern, times in patterns(histogram, room):
+            offset = 0
+            for length, per in sorted(pattern.items(), reverse=True):
+                rows.setdefault(length, []).append((taken[length], sequence, per, offset))
+                taken[length] += per * times
+                offset += per * length
+            sequence += times
+        self.rows = {k: np.array(v, np.int64) for k, v in rows.items()}
+        self.taken, self.first_stream, self.base, at = dict(taken), sequence, {}, 0
+        for length in sorted(histogram, reverse=True):
+            self.base[length] = at
+            at += (histogram[length] - taken[length]) * length
+
+    def place(self, length: int, rank: int) -> list[tuple[int, int, int, int]]:
+        """(from, to, sequence, offset) of the one or two parts of the piece."""
+        taken = self.taken.get(length, 0)
+        if rank < taken:
+            rows = self.rows[length]
+            first, sequence, per, offset = rows[np.searchsorted(rows[:, 0], rank, "right") - 1].tolist()
+            k = rank - first
+            return [(0, length, sequence + k // per, offset + k % per * length)]
+        sequence, offset = divmod(self.base[length] + (rank - taken) * length, self.room)
+        sequence += self.first_stream
+        if offset + length <= self.room:
+            return [(0, length, sequence, offset)]
+        cut = self.room - offset
+        return [(0, cut, sequence, offset), (cut, length, sequence + 1, 0)]
 
 
 def pieces(docs: DataFrame, path: str, kind: str = "byte", end_id: int = END_ID, room: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,37 +163,40 @@ def pieces(docs: DataFrame, path: str, kind: str = "byte", end_id: int = END_ID,
 
 
 def packed(cut: DataFrame, room: int = LENGTH, buckets: int = BUCKETS) -> DataFrame:
-    """sequence_id and offset of every piece; columns that are not used are not read."""
+    """sequence_id, offset and ids of every piece."""
     bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int")
     counts = cut.groupBy("length", bucket.alias("_b")).agg(F.count("*").alias("_n"))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    table = slots(patterns(histogram, room))
+    plan = Plan(histogram, room)
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     within = Window.partitionBy("length", "_b").orderBy("doc_id", "start", "ids_crc32")
     ranked = cut.withColumn("_b", bucket).withColumn("_r", F.row_number().over(within)).join(offsets, ["length", "_b"])
-    ranked = ranked.withColumn("_rank", F.col("_r") + F.col("_o") - 1).drop("_b", "_r", "_o")
-    schema = ranked.drop("_rank").schema.add("sequence_id", "long").add("offset", "long")
+    ranked = ranked.withColumn("rank", F.col("_r") + F.col("_o") - 1).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "rank")
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset"]
 
     def place(batches):
         for batch in batches:
-            length, rank = (batch[c].to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for x in np.unique(length):
-                mine = np.flatnonzero(length == x)
-                rows = table[int(x)]
-                row = rows[np.searchsorted(rows[:, 0], rank[mine], "right") - 1]
-                k = rank[mine] - row[:, 0]
-                sequence[mine] = row[:, 1] + k // row[:, 2]
-                offset[mine] = row[:, 3] + k % row[:, 2] * x
-            kept = [c for c in batch.schema.names if c != "_rank"]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
+            start, length, crc, ids, rank = (batch[c].to_pylist() for c in ("start", "length", "ids_crc32", "ids", "rank"))
+            at, out = [], []
+            for i, (n, r) in enumerate(zip(length, rank)):
+                parts = plan.place(n, r)
+                for a, b, sequence, offset in parts:
+                    part = ids[i] if len(parts) == 1 else ids[i][4 * a : 4 * b]
+                    at.append(i)
+                    out.append((start[i] + a, b - a, crc[i] if len(parts) == 1 else zlib.crc32(part), part, sequence, offset))
+            at, cols = pa.array(at, pa.int64()), list(zip(*out)) or [()] * 6
+            long = lambda x: pa.array(x, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"].take(at), long(cols[0]), long(cols[1]), long(cols[2]), batch["doc_tokens"].take(at), pa.array(cols[3], pa.binary()), long(cols[4]), long(cols[5])], names
+            )
 
-    return ranked.mapInArrow(place, schema)
+    kind = cut.schema["doc_id"].dataType.simpleString()
+    return ranked.mapInArrow(place, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long")
 
 
 def op8_pack_sequences(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return packed(pieces(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("ids"))
+    return packed(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))).drop("ids")
