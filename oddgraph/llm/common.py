@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -30,6 +31,9 @@ def stored(df: DataFrame, hint: str, **options: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{hint}-{uuid.uuid4().hex}"
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
     _MADE.append(path)
+    # Shuffle files of finished jobs go when the driver's references to them go.
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from oddgraph.llm.langid import op4_language_id
 from oddgraph.llm.licenses import op9_license_scan
 from oddgraph.llm.packing import op8_pack_sequences
+from oddgraph.llm.repeats import op5_substring_dedup
 from oddgraph.llm.sharding import op10_feistel_shards
 from oddgraph.llm.toxicity import op2_toxicity
 from oddgraph.llm.wavelet import op1_wavelet_tokens
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_toxicity": op2_toxicity,
     "op4_language_id": op4_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_license_scan": op9_license_scan,
     "op10_feistel_shards": op10_feistel_shards,
