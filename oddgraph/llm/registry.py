@@ -8,11 +8,13 @@ from oddgraph.llm.packing import op8_pack_sequences
 from oddgraph.llm.repeats import op5_substring_dedup
 from oddgraph.llm.sharding import op10_feistel_shards
 from oddgraph.llm.toxicity import op2_toxicity
+from oddgraph.llm.vectors import op3_embedding_dedup
 from oddgraph.llm.wavelet import op1_wavelet_tokens
 
 QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_toxicity": op2_toxicity,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_language_id": op4_language_id,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_pack_sequences": op8_pack_sequences,
