@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from oddgraph.llm.decontaminate import op7_decontaminate
 from oddgraph.llm.jaccard import op6_jaccard_join
 from oddgraph.llm.langid import op4_language_id
 from oddgraph.llm.licenses import op9_license_scan
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_decontaminate": op7_decontaminate,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_license_scan": op9_license_scan,
     "op10_feistel_shards": op10_feistel_shards,
