@@ -22,27 +22,36 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD, LEAST_OVERLAP, RUN = 0.6, 0.8, 5
-K1, B, BLOCK, GROUP_ITEMS = 1.2, 0.75, 64, 20_000
+THRESHOLD, LEAST_OVERLAP, RUN = 0.7, 0.8, 5
+K1, B, BLOCK, GROUP_ITEMS, SLACK = 1.2, 0.75, 8, 20_000, 1e-9
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.?!]\s+|\n+")
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+#: For texts within Latin-1: lower case, everything but letters and digits a space.
+_TABLE = bytes(ord(c.lower()) if c.isalnum() and ord(c.lower()) < 256 else 32 for c in map(chr, range(256)))
 
 
-def runs(words: list[str], size: int = RUN) -> set[tuple[str, ...]]:
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of letters and digits, lower case, as Latin-1 where that can hold them."""
+    if not text:
+        return []
+    try:
+        return text.encode("latin-1").translate(_TABLE).split()
+    except UnicodeEncodeError:
+        return [w.encode("latin-1") if max(w) < "\u0100" else b"\0" + w.encode() for w in _WORD.findall(text.lower())]
+
+
+def runs(words: list[bytes], size: int = RUN) -> set[tuple[bytes, ...]]:
     size = min(size, len(words))
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
 
 
-def question_and_answer(text: str) -> tuple[list[str], list[str]]:
+def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     """The last sentence with words is the answer if words stand before it."""
     parts = [p for p in map(words_of, _SENTENCE.split(text)) if p]
     if len(parts) < 2:
@@ -51,9 +60,9 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 
 
 class Index:
-    """Postings in item order with normalised impacts, block maxima, and per-term maxima."""
+    """Postings with normalised impacts, the maxima of their blocks of items, and the essential postings."""
 
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[str, int], documents: int, threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], frequency: dict[bytes, int], documents: int, threshold: float = THRESHOLD):
         self.threshold = threshold
         self.ids, self.parts, counts = [], [], []
         for i, text in items:
@@ -64,8 +73,9 @@ class Index:
                 counts.append(c)
         self.longest = max((sum(c.values()) for c in counts), default=1)
         mean = sum(sum(c.values()) for c in counts) / max(1, len(counts))
-        postings: dict[str, list[tuple[int, float]]] = {}
-        self.essential: set[str] = set()
+        self.impacts: dict[bytes, dict[int, float]] = {}
+        self.blocks: dict[bytes, dict[int, float]] = {}
+        self.essential: dict[bytes, list[int]] = {}
         for n, c in enumerate(counts):
             length = sum(c.values())
             weight = {
@@ -74,67 +84,39 @@ class Index:
             }
             total, below = sum(weight.values()), 0.0
             for w in sorted(weight, key=lambda w: (weight[w], w)):
-                below += weight[w] / total
-                if below >= threshold:
-                    self.essential.add(w)
-                postings.setdefault(w, []).append((n, weight[w] / total))
-        self.items = {w: np.array([p[0] for p in ps]) for w, ps in postings.items()}
-        self.impacts = {w: np.array([p[1] for p in ps]) for w, ps in postings.items()}
-        self.maxima = {w: float(x.max()) for w, x in self.impacts.items()}
-        self.blocks = {w: np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)) for w, x in self.impacts.items()}
-
-    def search(self, words: set[str]) -> list[tuple[int, float]]:
-        """Block-max WAND: all (item, score) with score >= threshold, document at a time."""
-        lists = [(w, self.items[w], self.impacts[w], self.maxima[w], self.blocks[w]) for w in words if w in self.items]
-        at, found, end = [0] * len(lists), [], len(self.ids)
-        current = [int(x[1][0]) for x in lists]
-        slack = self.threshold - 1e-9
-        while True:
-            order = sorted((k for k in range(len(lists)) if current[k] < end), key=current.__getitem__)
-            bound, pivot = 0.0, -1
-            for j, k in enumerate(order):
-                bound += lists[k][3]
-                if bound >= slack:
-                    pivot = j
-                    break
-            if pivot < 0:
-                return found
-            item = current[order[pivot]]
-            while pivot + 1 < len(order) and current[order[pivot + 1]] == item:
-                pivot += 1
-            ahead = order[: pivot + 1]
-            # Block maxima of the blocks that hold the pivot item, and the first item beyond any of them.
-            block_bound, beyond = 0.0, current[order[pivot + 1]] if pivot + 1 < len(order) else end
-            for k in ahead:
-                _, items, _, _, maxima = lists[k]
-                p = at[k] if current[k] == item else int(np.searchsorted(items, item))
-                b = p // BLOCK
-                if b < len(maxima):
-                    block_bound += float(maxima[b])
-                    last = int(items[min(len(items), (b + 1) * BLOCK) - 1])
-                    beyond = min(beyond, last + 1)
-            if block_bound >= slack:
-                score, beyond = 0.0, item + 1
-                for k in ahead:
-                    items = lists[k][1]
-                    p = at[k] if current[k] == item else int(np.searchsorted(items, item))
-                    if p < len(items) and items[p] == item:
-                        score += float(lists[k][2][p])
-                if score >= slack:
-                    found.append((item, score))
-            for k in ahead:
-                if current[k] < beyond:
-                    items = lists[k][1]
-                    at[k] = int(np.searchsorted(items, beyond))
-                    current[k] = int(items[at[k]]) if at[k] < len(items) else end
+                share = weight[w] / total
+                below += share
+                if below >= threshold - SLACK:
+                    self.essential.setdefault(w, []).append(n)
+                self.impacts.setdefault(w, {})[n] = share
+                blocks = self.blocks.setdefault(w, {})
+                blocks[n // BLOCK] = max(share, blocks.get(n // BLOCK, 0.0))
+
+    def search(self, words: set[bytes]) -> list[tuple[int, float]]:
+        """Block-max WAND: all (item, score) with score >= threshold, item at a time.
+
+        Pivots are the items of essential postings, the only ones that can reach the threshold. The
+        block maxima bound all items of a pivot's block: below the threshold the block is skipped.
+        """
+        pivots = sorted({n for w in words if w in self.essential for n in self.essential[w]})
+        if not pivots:
+            return []
+        terms, found, block, open_block = [w for w in words if w in self.impacts], [], -1, False
+        for n in pivots:
+            if n // BLOCK != block:
+                block = n // BLOCK
+                open_block = sum(self.blocks[w].get(block, 0.0) for w in terms) >= self.threshold - SLACK
+            if open_block:
+                score = sum(self.impacts[w].get(n, 0.0) for w in terms)
+                if score >= self.threshold - SLACK:
+                    found.append((n, score))
+        return found
 
     def matches(self, text: str | None) -> list[tuple[int, float, float, float, int]]:
         """(item id, score, question overlap, answer overlap, first word of the passage), the best of each item."""
         words = words_of(text)
-        if not words or self.essential.isdisjoint(words):
-            return []
-        step = self.longest
-        hits = [i for i, w in enumerate(words) if w in self.essential]
+        step, essential = self.longest, self.essential
+        hits = [i for i, w in enumerate(words) if w in essential]
         passages = sorted({p for i in hits for p in (i // step - 1, i // step) if p >= 0})
         best: dict[int, tuple] = {}
         for p in passages:
@@ -168,10 +150,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
                 for t in batch["text"].to_pylist():
                     n += 1
                     found.update(vocabulary.value.intersection(words_of(t)))
-            yield pa.RecordBatch.from_arrays([pa.array([*found, None], pa.string()), pa.array([*found.values(), n], pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([*found, None], pa.binary()), pa.array([*found.values(), n], pa.int64())], ["word", "n"])
 
-        counts = rows.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-        frequency = {r["word"]: r["n"] for r in counts}
+        counts = rows.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+        frequency = {r["word"] and bytes(r["word"]): r["n"] for r in counts}
         index = sc.broadcast(Index(held, frequency, frequency.pop(None, 0), threshold))
 
         def find(batches, index=index):
