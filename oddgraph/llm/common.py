@@ -37,12 +37,20 @@ def stored(df: DataFrame, hint: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that ``stored`` has written so far. Only for callers whose earlier
-    results have been written elsewhere, such as the stages of the pipeline."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+def made_since(mark: int) -> list[str]:
+    """Folders that ``stored`` has written since there were ``mark`` of them."""
+    return _MADE[mark:]
+
+
+def mark() -> int:
+    return len(_MADE)
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders of ``stored`` whose readers have been written elsewhere."""
+    conf = spark._jsc.hadoopConfiguration()
+    for x in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(x)
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -151,6 +151,19 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     return rows.mapInArrow(score, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
+def identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The documents, all columns, whose language is told: not ``und`` and of score ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            told = [scorer(t) for t in batch[text].to_pylist()]
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in told], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, ~held_out(F.col("doc_id")))

@@ -112,10 +112,17 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents with repeated words cut out; texts that lose nothing stay as they are."""
-    lost = removals(docs, key, text, window).select(F.col("key").alias(key), F.col("text_hash").alias("_h"), F.col("kept").alias("_kept"))
-    joined = docs.withColumn("_h", F.xxhash64(text)).join(lost, [key, "_h"], "left")
-    return joined.select(*[F.coalesce("_kept", F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns])
+    """The documents, all columns, with repeated words cut out (``n_chars``, if there, follows).
+
+    Texts that lose nothing stay as they are; a text that loses every word goes.
+    """
+    lost = removals(docs, key, text, window).select(F.col("key").alias("_k"), F.col("text_hash").alias("_h"), F.col("kept").alias("_kept"))
+    hit = stored(lost, "kept")
+    joined = docs.join(hit, (docs[key] == hit["_k"]) & (F.xxhash64(docs[text]) == hit["_h"]), "left").where(F.col("_kept").isNull() | (F.col("_kept") != ""))
+    chosen = {text: F.coalesce("_kept", docs[text])}
+    if "n_chars" in docs.columns:
+        chosen["n_chars"] = F.when(F.col("_kept").isNull(), docs["n_chars"]).otherwise(F.char_length("_kept")).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[chosen.get(c, docs[c]).alias(c) for c in docs.columns])
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
