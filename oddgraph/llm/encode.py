@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import cache
 
 from tokenizers import Tokenizer
@@ -26,6 +27,16 @@ _SPLIT = {
 }
 
 
+def _byte_signs() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for signs from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_SIGNS = _byte_signs()
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers. kind: "word", "byte", or "" for a
     vocabulary without a known split, which encodes every text whole."""
@@ -36,10 +47,15 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.split, self.lower, self.known = _SPLIT.get(kind), kind == "word", {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def merged(self, part: str) -> bytes:
+        """Ids of one pre-token, by the library's merges alone."""
+        return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_SIGNS))]).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if self.split is None or not _PLAIN.fullmatch(text):
@@ -50,8 +66,7 @@ class Encoder:
             if len(self.known) > self.LIMIT:
                 self.known.clear()
                 fresh = set(parts)
-            fresh = list(fresh)
-            self.known.update(zip(fresh, self.whole(fresh)))
+            self.known.update((w, self.merged(w)) for w in fresh)
         return b"".join(map(self.known.__getitem__, parts))
 
 
