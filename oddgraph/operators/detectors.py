@@ -62,13 +62,13 @@ def support_and_codes(query: DataFrame, support: DataFrame, codes: DataFrame, sc
 def dominant_error(e: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """|z_i Z^T - a_i| per node from one width x width aggregate and an edge join, without N x N."""
     f = F.col("f")
-    g = nodes.agg(F.array(*[F.sum(f[i] * f[j]) for i in range(width) for j in range(width)]).alias("G"))  # one row
+    g = nodes.agg(F.array(*[F.sum(f[i] * f[j]) for i in range(width) for j in range(width)]).alias("gram"))  # one row
     got = N.both_ends(e, nodes).groupBy(F.col("src").alias("id")).agg(F.sum(F.col("w") * X.dot("fs", "fd")).alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"))
     x = nodes.join(got, "id", "left").na.fill(0.0, ["s", "q"]).crossJoin(F.broadcast(g))
     quad = None
     for i in range(width):
         for j in range(width):
-            term = f[i] * f[j] * F.col("G")[i * width + j]
+            term = f[i] * f[j] * F.col("gram")[i * width + j]
             quad = term if quad is None else quad + term
     return x.select("id", F.sqrt(F.greatest(quad - 2 * F.col("s") + F.col("q"), F.lit(0.0))).alias("structure"))
 

@@ -46,10 +46,10 @@ def inverted(m: DataFrame, name: str = "m") -> DataFrame:
 
 def nonedge_regulariser(e: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """Per node (u.S - sum over out-edges of w u.u') / (N - r), S the sum of all unit vectors."""
-    whole = nodes.agg(X.sum_vectors("u", width).alias("S"), F.count("*").alias("N"))  # one row
+    whole = nodes.agg(X.sum_vectors("u", width).alias("whole"), F.count("*").alias("N"))  # one row
     got = both_ends(e, nodes, "u").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("w") * X.dot("fs", "fd")).alias("s"), F.sum("w").alias("r"))
     x = nodes.select("id", "u").join(got, "id", "left").na.fill(0.0, ["s", "r"]).crossJoin(F.broadcast(whole))
-    return x.select("id", ((X.dot("u", "S") - F.col("s")) / (F.col("N") - F.col("r"))).alias("m"))
+    return x.select("id", ((X.dot("u", "whole") - F.col("s")) / (F.col("N") - F.col("r"))).alias("m"))
 
 
 def neighbour_scores(e: DataFrame, nodes: DataFrame, eps: float = 1e-8) -> DataFrame:
@@ -132,10 +132,10 @@ def diversity(e: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     x = e.select("src", "dst").join(nodes.select(F.col("id").alias("dst"), "u"), "dst")
     u = F.col("u")
     got = x.groupBy(F.col("src").alias("id")).agg(
-        F.count("*").cast("double").alias("n"), X.sum_vectors("u", width).alias("S"), F.array(*[F.sum(u[i] * u[j]) for i in range(width) for j in range(width)]).alias("M")
+        F.count("*").cast("double").alias("n"), X.sum_vectors("u", width).alias("sums"), F.array(*[F.sum(u[i] * u[j]) for i in range(width) for j in range(width)]).alias("outer")
     )
     p = F.col("n") * (F.col("n") - 1) / 2
-    mean, second = (X.dot("S", "S") - F.col("n")) / (2 * p), (X.dot("M", "M") - F.col("n")) / (2 * p)
+    mean, second = (X.dot("sums", "sums") - F.col("n")) / (2 * p), (X.dot("outer", "outer") - F.col("n")) / (2 * p)
     got = got.select("id", F.when(F.col("n") >= 2, F.greatest(second - mean * mean, F.lit(0.0))).otherwise(0.0).alias("m"))
     return nodes.select("id").join(got, "id", "left").na.fill(0.0)
 

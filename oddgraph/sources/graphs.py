@@ -61,8 +61,8 @@ def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supply_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select((2 * F.col("p_partkey")).alias("id"), F.array(F.col("p_retailprice") / 1000, F.col("p_size").cast("double")).alias("f"))
-    supplier = table(spark, sf_dir, "supplier").select((2 * F.col("s_suppkey") + 1).alias("id"), F.array(F.col("s_acctbal") / 1000, F.lit(1.0)).alias("f"))
+    part = table(spark, sf_dir, "part").select((2 * F.col("p_partkey")).alias("id"), F.array(F.col("p_retailprice") / 997.3, F.col("p_size") / 7.123).alias("f"))
+    supplier = table(spark, sf_dir, "supplier").select((2 * F.col("s_suppkey") + 1).alias("id"), F.array(F.col("s_acctbal") / 997.3, F.lit(1 / 7.123)).alias("f"))
     return part.union(supplier).withColumn("y", (F.col("id") % 10 == 0).cast("int"))
 
 
