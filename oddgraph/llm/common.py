@@ -34,7 +34,16 @@ def stored(df: DataFrame, hint: str, **options: str) -> DataFrame:
     # Shuffle files of finished jobs go when the driver's references to them go.
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that ``stored`` returned and that no later plan reads."""
+    path = df._stored_path
+    _MADE.remove(path)
+    delete(df.sparkSession, [path])
 
 
 def made_since(mark: int) -> list[str]:
