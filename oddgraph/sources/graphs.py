@@ -122,7 +122,7 @@ def npz_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
             mark[np.flatnonzero(s) if s.dtype == bool else s] = True
     nodes = pa.table({"id": np.arange(n), "f": held["x"].astype(float).tolist(), "y": (held["y"] == 1).astype(np.int32), "mark": mark})
     e = held["edge_index"].astype(np.int64)
-    return spark.createDataFrame(nodes.to_pandas()), spark.createDataFrame(pa.table({"src": e[:, 0], "dst": e[:, 1], "w": np.ones(len(e))}).to_pandas())
+    return spark.createDataFrame(nodes), spark.createDataFrame(pa.table({"src": e[:, 0], "dst": e[:, 1], "w": np.ones(len(e))}))
 
 
 def demo_graph(spark: SparkSession, n: int = 128, width: int = 16, anomalies: int = 24, density: float = 0.06) -> tuple[DataFrame, DataFrame]:
