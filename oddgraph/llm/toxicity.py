@@ -69,7 +69,7 @@ def fold(text: str | None) -> str:
 @dataclass
 class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
-    exceptions: set[tuple[str, str]] = field(default_factory=set)
+    exceptions: set[tuple[str, str]] | frozenset = frozenset()
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
     def automaton(self) -> ahocorasick.Automaton | None:
@@ -113,10 +113,15 @@ def features(folded: str, lexicon: Lexicon, automaton) -> tuple[float, float]:
     return math.log1p(total), math.log1p(100 * total / words if words else 0.0)
 
 
-def terms_of(folded: str) -> set[str]:
-    """Beginnings of SHORTEST..LONGEST letters and whole words, each with its leading space."""
-    out = set()
-    for w in set(folded.split()):
+def terms_of(folded: str, exceptions: set[tuple[str, str]] = frozenset()) -> set[str]:
+    """Beginnings of SHORTEST..LONGEST letters and whole words, each with its leading space, of the
+    words that stand outside exception phrases at least once."""
+    words, out = folded.split(), set()
+    if exceptions:
+        pairs = list(zip(words, words[1:]))
+        hidden = {i + k for i, p in enumerate(pairs) if p in exceptions for k in (0, 1)}
+        words = [w for i, w in enumerate(words) if i not in hidden]
+    for w in set(words):
         if len(w) >= SHORTEST:
             out.update(" " + w[:k] for k in range(SHORTEST, min(LONGEST, len(w)) + 1))
             out.add(f" {w}")
@@ -130,12 +135,12 @@ def _split_counts(names: dict[str, list[str]], counts: Counter, toxic: int) -> p
     )
 
 
-def _counts(sample: DataFrame) -> DataFrame:
+def _counts(sample: DataFrame, exceptions: set[tuple[str, str]] = frozenset()) -> DataFrame:
     def count(batches):
         found = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
-                found[int(toxic)].update(terms_of(fold(text)))
+                found[int(toxic)].update(terms_of(fold(text), exceptions))
         for toxic, got in enumerate(found):
             yield _split_counts({"term": list(got)}, got, toxic)
 
@@ -186,18 +191,23 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id",
     sample = docs.select(F.col(key).alias(key), F.col(text).alias("text")).join(picked, key).select("text", F.col("toxic").cast("int").alias("toxic"))
     spread = F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
     odds = F.log((F.col("n1") + 0.5) * (int(n[0]) + 1) / ((F.col("n0") + 0.5) * (int(n[1]) + 1))) - STANDARD_ERRORS * spread
-    found = (
-        _counts(sample).withColumn("w", odds).where((F.col("n1") >= LEAST_DOCS) & (F.col("w") >= LEAST_LOG_ODDS))
-        .orderBy(F.desc("n1"), F.desc("w"), "term").limit(MOST_TERMS).toPandas()
-    )
-    weights: dict[str, float] = {}
-    for term, w in sorted(zip(found["term"], found["w"]), key=lambda x: (len(x[0]), x[0])):
-        shorter = max((weights.get(term[:k], 0.0) for k in range(SHORTEST + 1, len(term))), default=0.0)
-        if w > shorter + 0.7:
-            weights[term] = float(w)
-    lexicon = Lexicon(weights)
-    phrases = _phrases(sample, lexicon).where((F.col("n0") >= LEAST_DOCS) & (F.col("n0") >= CLEAN_PHRASE * (F.col("n0") + F.col("n1"))))
-    lexicon.exceptions = {(r["a"], r["b"]) for r in phrases.orderBy(F.desc("n0"), "a", "b").limit(MOST_TERMS).collect()}
+
+    def terms(exceptions: set[tuple[str, str]], least: float) -> Lexicon:
+        found = (
+            _counts(sample, exceptions).withColumn("w", odds).where((F.col("n1") >= LEAST_DOCS) & (F.col("w") >= least))
+            .orderBy(F.desc("n1"), F.desc("w"), "term").limit(MOST_TERMS).toPandas()
+        )
+        weights: dict[str, float] = {}
+        for term, w in sorted(zip(found["term"], found["w"]), key=lambda x: (len(x[0]), x[0])):
+            shorter = max((weights.get(term[:k], 0.0) for k in range(SHORTEST + 1, len(term))), default=0.0)
+            if not shorter or w > shorter + 0.7:
+                weights[term] = float(w)
+        return Lexicon(weights, exceptions)
+
+    # Exception phrases first, around all terms that lean to toxic; then the weights without them.
+    clean = (F.col("n0") >= LEAST_DOCS) & (F.col("n0") >= CLEAN_PHRASE * (F.col("n0") + F.col("n1")))
+    phrases = _phrases(sample, terms(frozenset(), 0.0)).where(clean).orderBy(F.desc("n0"), "a", "b").limit(MOST_TERMS)
+    lexicon = terms({(r["a"], r["b"]) for r in phrases.collect()}, LEAST_LOG_ODDS)
 
     def measure(batches):
         automaton = lexicon.automaton()
