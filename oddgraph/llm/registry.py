@@ -6,6 +6,7 @@ from oddgraph.llm.decontaminate import op7_decontaminate
 from oddgraph.llm.jaccard import op6_jaccard_join
 from oddgraph.llm.langid import op4_language_id
 from oddgraph.llm.licenses import op9_license_scan
+from oddgraph.llm.oracle import ORACLE
 from oddgraph.llm.packing import op8_pack_sequences
 from oddgraph.llm.repeats import op5_substring_dedup
 from oddgraph.llm.sharding import op10_feistel_shards
@@ -25,4 +26,5 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_feistel_shards": op10_feistel_shards,
 }
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]
