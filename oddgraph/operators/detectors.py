@@ -178,3 +178,61 @@ def kmeans_codes(nodes: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """(code, c): k-means centres over f."""
     model = KMeans(k=k, seed=seed, featuresCol="features").fit(_assembled(nodes))
     return nodes.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "code int, c array<double>")
+
+
+def hop_attention(hops: DataFrame, count: int, width: int, slope: float = 0.2) -> DataFrame:
+    """Attention over hop residuals with identity weights: softmax over l of leaky(x0 . (x_l - x0) / sqrt(h))
+    times the residuals; h0..hL in, f out."""
+    logits = [X.dot("h0", X.minus(f"h{k}", "h0")) / (width**0.5) for k in range(1, count + 1)]
+    x = hops.withColumns({f"_e{k}": F.exp(F.when(a > 0, a).otherwise(slope * a)) for k, a in enumerate(logits, 1)})
+    total = sum((F.col(f"_e{k}") for k in range(2, count + 1)), F.col("_e1"))
+    out = None
+    for k in range(1, count + 1):
+        part = X.scaled(X.minus(f"h{k}", "h0"), F.col(f"_e{k}") / total)
+        out = part if out is None else F.zip_with(out, part, lambda a, b: a + b)
+    return x.select("id", out.alias("f"))
+
+
+def query_with_affinity(query: DataFrame, scores: DataFrame, lam: float = 0.1) -> DataFrame:
+    """(1 - lam) q + lam (1 - minmax(l2 + l1 + cos)); query(id, q), scores(id, l2, l1, cos)."""
+    total = N.inverted(scores.select("id", (F.col("l2") + F.col("l1") + F.col("cos")).alias("m")))
+    return query.join(total.withColumnRenamed("score", "a"), "id").select("id", ((1 - lam) * F.col("q") + lam * F.col("a")).alias("score"))
+
+
+def context_contrast(e: DataFrame, nodes: DataFrame, width: int, rounds: int, size: int = 4, batch: int = 64) -> DataFrame:
+    """Mean over rounds of -(sigma(pos) - sigma(neg)): a node against the mean of its sampled context and
+    against the context of its negative in the logical batch."""
+    from oddgraph.operators.sampling import negative_in_batch, random_walk_sample
+
+    negative, out = negative_in_batch(nodes, batch), None
+    f = nodes.select(F.col("id").alias("node"), "f")
+    sigma = lambda a, b: 1 / (1 + F.exp(-X.dot(a, b)))
+    for seed in range(rounds):
+        context = random_walk_sample(e, nodes, size, seed).where("slot > 0").join(f, "node").groupBy("id").agg(X.avg_vectors("f", width).alias("c"))
+        x = nodes.select("id", "f").join(context, "id").join(negative, "id").join(context.select(F.col("id").alias("negative"), F.col("c").alias("d")), "negative")
+        one = x.select("id", (sigma("f", "d") - sigma("f", "c")).alias("s"))
+        out = one if out is None else out.union(one)
+    return out.groupBy("id").agg(F.avg("s").alias("score"))
+
+
+def alignment_loss(e: DataFrame, nodes: DataFrame, batch: int = 50, tau: float = 1.0) -> DataFrame:
+    """Both directions of identity contrast and neighbour-weighted contrast between views f and g within
+    logical blocks of ids; nodes(id, f, g)."""
+    x = nodes.select("id", "f", "g", F.floor(F.col("id") / batch).alias("b"))
+    a, c = x.select(F.col("id").alias("i"), F.col("f").alias("fi"), "b"), x.select(F.col("id").alias("j"), F.col("g").alias("gj"), "b")
+    pairs = a.join(c, "b").withColumn("s", X.cosine("fi", "gj") / tau).drop("fi", "gj")
+    w = e.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
+    out = None
+    for one in ("i", "j"):
+        log_sum = pairs.groupBy(one).agg(F.log(F.sum(F.exp("s"))).alias("z"))
+        same = pairs.where("i = j").join(log_sum, one).agg(F.avg(F.col("z") - F.col("s")).alias("v"))
+        near = pairs.join(w, ["i", "j"]).join(log_sum, one).groupBy(one).agg((F.sum(F.col("w") * (F.col("z") - F.col("s"))) / F.sum("w")).alias("v")).agg(F.avg("v").alias("v"))
+        both = same.union(near)
+        out = both if out is None else out.union(both)
+    return out.agg((F.sum("v") / 2).alias("loss"))
+
+
+def prompt_entropy(weights: DataFrame) -> DataFrame:
+    """Mean entropy of gate weights; weights(id, f) with non-negative entries of sum 1."""
+    h = F.aggregate("f", F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.log(p)).otherwise(0.0))
+    return weights.agg(F.avg(h).alias("entropy"))

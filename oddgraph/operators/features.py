@@ -95,3 +95,27 @@ def prototypes(nodes: DataFrame, width: int, classes: tuple[int, ...] = (0, 1))
     got = nodes.groupBy("y").agg(X.avg_vectors("f", width).alias("c"))
     every = nodes.sparkSession.createDataFrame([(c,) for c in classes], "y int")
     return every.join(got, "y", "left").select("y", F.coalesce("c", X.zeros(width)).alias("c"))
+
+
+def pca_align(nodes: DataFrame, width: int, rank: int) -> DataFrame:
+    """Centred components: the mean is taken away first, then as svd_align."""
+    return svd_align(center(nodes, width), width, rank)
+
+
+def laplacian_positions(e: DataFrame, nodes: DataFrame, k: int, most: int = 4000) -> DataFrame:
+    """Entries of the k eigenvectors of the smallest non-zero eigenvalues of the symmetric normalised
+    Laplacian, sign-fixed. A dense decomposition on the driver for graphs of at most ``most`` nodes."""
+    if nodes.count() > most:
+        raise ValueError(f"more than {most} nodes")
+    ids = [r["id"] for r in nodes.select("id").orderBy("id").collect()]
+    place = {i: n for n, i in enumerate(ids)}
+    a = np.zeros((len(ids), len(ids)))
+    for r in e.select("src", "dst", "w").collect():
+        a[place[r["src"]], place[r["dst"]]] += r["w"]
+    a = np.maximum(a, a.T)
+    d = a.sum(axis=1)
+    s = np.where(d > 0, 1 / np.sqrt(np.where(d > 0, d, 1)), 0)
+    values, v = np.linalg.eigh(np.eye(len(ids)) - s[:, None] * a * s[None, :])
+    v = v[:, np.flatnonzero(values > 1e-9)[:k]]
+    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
+    return nodes.sparkSession.createDataFrame([(i, [float(x) for x in v[n]]) for n, i in enumerate(ids)], "id long, f array<double>")

@@ -348,4 +348,29 @@ ORACLE: dict[str, str] = {
     "csv_ids_map": "WITH m AS (SELECT p_partkey AS k, row_number() OVER (ORDER BY p_partkey) - 1 AS id, p_size FROM part) SELECT a.id AS src, b.id::BIGINT AS dsts, CAST(a.p_size < 10 AS INT) AS y, a.p_size < 40 AS mark FROM m a JOIN m b ON b.k = a.k % 100 + 1",
     "marks_union": "SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE doc_id % 3 = 0 OR doc_id % 4 = 0 OR doc_id % 5 = 0)",
     "event_graph": "SELECT user_id AS src, event_type AS dst, count(*) AS w, round(sum(value), 6) AS value FROM events GROUP BY 1, 2",
+    "hop_attention": _with(
+        "und", _long("y", "f"), v4="SELECT id, f[1:4] AS f FROM vec", dg="SELECT src AS id, sum(w) AS d FROM und GROUP BY 1",
+        an="SELECT e.src, e.dst, e.w * pow(a.d, -0.5) * pow(b.d, -0.5) AS w FROM und e JOIN dg a ON a.id = e.src JOIN dg b ON b.id = e.dst", x1=_sum4("dst", "src", "an", "v4"), x2=_sum4("dst", "src", "an", "x1"),
+        rs="SELECT a.id, a.f AS h, list_transform(list_zip(b.f, a.f), lambda z: z[1] - z[2]) AS r1, list_transform(list_zip(c.f, a.f), lambda z: z[1] - z[2]) AS r2 FROM v4 a JOIN x1 b USING (id) JOIN x2 c USING (id)",
+        ex="SELECT id, r1, r2, exp(CASE WHEN a > 0 THEN a ELSE 0.2 * a END) AS e1, exp(CASE WHEN b > 0 THEN b ELSE 0.2 * b END) AS e2 FROM (SELECT *, list_inner_product(h, r1) / 2 AS a, list_inner_product(h, r2) / 2 AS b FROM rs)",
+        y="SELECT id, list_transform(list_zip(r1, r2), lambda z: (z[1] * e1 + z[2] * e2) / (e1 + e2)) AS f FROM ex",
+    ),
+    "query_affinity_fusion": _with(
+        "knn", "SELECT id, round(0.9 * q + 0.1 * (1 - (t - (SELECT min(t) FROM sc3)) / (SELECT max(t) - min(t) FROM sc3)), 6) AS score FROM sc3 JOIN (SELECT id, abs(f[1]) AS q FROM vec) USING (id)",
+        raw=f"SELECT e.src AS id, avg({_L2}) AS l2, avg({_L1}) AS l1, avg({_COS}) AS cos FROM {_ends('knn')} GROUP BY 1",
+        sc2="SELECT id, " + ", ".join(f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER () + 1e-8) AS {c}" for c in ("l2", "l1", "cos")) + " FROM raw", sc3="SELECT id, l2 + l1 + cos AS t FROM sc2",
+    ),
+    "context_contrast": _with(
+        "knn v8", "SELECT x.id, round(avg(1 / (1 + exp(-list_inner_product(x.f, b.c))) - 1 / (1 + exp(-list_inner_product(x.f, a.c)))), 6) AS score FROM v8 x JOIN ctx a ON a.id = x.id JOIN ng ON ng.id = x.id JOIN ctx b ON b.id = ng.negative AND b.seed = a.seed GROUP BY 1",
+        rk="SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r, count(*) OVER (PARTITION BY src) AS k FROM knn",
+        dr=" UNION ALL ".join(f"SELECT {s} AS seed, e.src AS id, e.dst AS node FROM (SELECT DISTINCT src, k FROM rk) n, (SELECT unnest(range(1, 4)) AS slot) t JOIN rk e ON e.src = n.src AND e.r = floor({_u('n.src', 't.slot', seed=s)} * n.k)::INT + 1" for s in (0, 1)),
+        ctx="SELECT seed, dr.id, [" + ", ".join(f"avg(v.f[{i}])" for i in range(1, 9)) + "] AS c FROM dr JOIN v8 v ON v.id = dr.node GROUP BY 1, 2",
+        ng="SELECT id, coalesce(lag(id) OVER (PARTITION BY id // 64 ORDER BY id), nth_value(id, CASE WHEN n > 1 THEN n - 1 ELSE 1 END) OVER (PARTITION BY id // 64 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS negative FROM (SELECT id, count(*) OVER (PARTITION BY id // 64) AS n FROM vec)",
+    ),
+    "alignment_loss": _with(
+        "knn", "SELECT round((a + b + c + d) / 2, 6) AS loss FROM (SELECT avg(zi - s) FILTER (i = j) AS a, avg(zj - s) FILTER (i = j) AS b FROM zz), (SELECT avg(v) AS c FROM (SELECT i, sum(w * (zi - s)) / sum(w) AS v FROM zz JOIN knn ON src = i AND dst = j GROUP BY 1)), (SELECT avg(v) AS d FROM (SELECT j, sum(w * (zj - s)) / sum(w) AS v FROM zz JOIN knn ON src = i AND dst = j GROUP BY 1))",
+        pr=f"SELECT a.id AS i, b.id AS j, {_cos('a.f[1:8]', 'b.f[9:16]')} AS s FROM vec a JOIN vec b ON a.id // 50 = b.id // 50", zz="SELECT *, ln(sum(exp(s)) OVER (PARTITION BY i)) AS zi, ln(sum(exp(s)) OVER (PARTITION BY j)) AS zj FROM pr",
+    ),
+    "prompt_entropy": _with("vec", "SELECT round(avg(h), 6) AS entropy FROM (SELECT id, sum(-p * ln(p)) AS h FROM (SELECT id, abs(f[j]) / (abs(f[1]) + abs(f[2]) + abs(f[3]) + abs(f[4])) AS p FROM vec, (SELECT unnest(range(1, 5)) AS j)) GROUP BY 1)"),
+    "pca_energy": _with("v8", "SELECT round(sum(v), 6) AS energy, max(n) AS n FROM (SELECT j, var_pop(f[j]) * count(*) AS v, count(*) AS n FROM v8, (SELECT unnest(range(1, 9)) AS j) GROUP BY 1)"),
 }

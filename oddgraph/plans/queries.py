@@ -672,6 +672,42 @@ def flagship_report(spark, d):
     return rounded(M.evaluate(x, "all"), "auroc", "auprc", "recall_at_k")
 
 
+def hop_attention(spark, d):
+    h = P.propagate(und(spark, d), first(vec(spark, d), 4), 2, 4, add_loop=False)
+    return wide(D.hop_attention(h, 2, 4), "f")
+
+
+def query_affinity_fusion(spark, d):
+    nodes = vec(spark, d)
+    q = nodes.select("id", F.abs(F.col("f")[0]).alias("q"))
+    return rounded(D.query_with_affinity(q, N.neighbour_scores(knn(spark, d), nodes)), "score")
+
+
+def context_contrast(spark, d):
+    return rounded(D.context_contrast(knn(spark, d), first(vec(spark, d), 8), 8, 2), "score")
+
+
+def alignment_loss(spark, d):
+    nodes = vec(spark, d).select("id", F.slice("f", 1, 8).alias("f"), F.slice("f", 9, 8).alias("g"))
+    return rounded(D.alignment_loss(knn(spark, d), nodes), "loss")
+
+
+def prompt_entropy(spark, d):
+    x = FT.row_normalised(first(vec(spark, d), 4).withColumn("f", F.transform("f", F.abs)))
+    return rounded(D.prompt_entropy(x), "entropy")
+
+
+def pca_energy(spark, d):
+    """Centred components of full rank keep the total variance."""
+    x = FT.pca_align(first(vec(spark, d), 8), 8, 8)
+    return x.agg(r(F.sum(X.dot("f", "f"))).alias("energy"), F.count("*").alias("n"))
+
+
+def laplacian_positions(spark, d):
+    nodes = vec(spark, d).where("id < 300")
+    return wide(FT.laplacian_positions(P.induced(und(spark, d), nodes.select("id")), nodes, 4), "f")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -684,7 +720,7 @@ QUERIES = {
         contrast_loss, difference_loss, prune_bottom_edges, support_holdout, support_per_class, support_reserve, support_normal_only, random_context, episode_sample, stratified_split, query_antijoin,
         edge_dropout, tam_truncate, rwr_sample, nonneighbor_sample, pair_sample, column_sample, l_hop_closure, closure_induced, group_lag_negative, block_diag_union, seed_mean_std, result_upsert,
         mode_delta, pair_macro, result_rollup, label_counts, shot_budget, random_budget, shot_detail, macro_cohort, fingerprint_md5, csv_ids_map, marks_union, lsh_knn, kmeans_codes, aligned_features,
-        demo_graph, event_graph,
+        demo_graph, event_graph, hop_attention, query_affinity_fusion, context_contrast, alignment_loss, prompt_entropy, pca_energy, laplacian_positions,
     )
 }
 QUERIES["undirect_binary"] = und
