@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddgraph.llm.common import WordHash, binary_list, grams, mix, signed, stored
+from oddgraph.llm.common import WordHash, binary_list, discard, grams, mix, signed, stored
 
 WINDOW, SEED = 50, 25
 _HASHES = WordHash()
@@ -65,9 +65,12 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(found))), pa.array(np.concatenate(keys))], ["anchor", "key"])
 
     anchors = stored(rows.mapInArrow(seeds, "anchor long, key long"), "anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("anchor")
-    wanted = anchors.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
+    shared = stored(anchors.groupBy("anchor").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("anchor"), "shared")
+    wanted = stored(anchors.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "wanted")
+    discard(anchors)
+    discard(shared)
     touched = stored(rows.join(wanted, "key"), "touched")
+    discard(wanted)
 
     def extend(batches):
         for batch in batches:
@@ -86,7 +89,10 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
 
     windows = stored(touched.mapInArrow(extend, "anchor long, whole long, key long"), "windows")
     least = windows.groupBy("anchor", "whole").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("anchor", "whole", "lo")
-    repeated = windows.join(least, ["anchor", "whole"]).where("key > lo").groupBy("key").agg(F.collect_set("whole").alias("repeated"))
+    least = stored(least, "least")
+    repeated = stored(windows.join(least, ["anchor", "whole"]).where("key > lo").groupBy("key").agg(F.collect_set("whole").alias("repeated")), "repeated")
+    discard(windows)
+    discard(least)
 
     def cut(batches):
         for batch in batches:
