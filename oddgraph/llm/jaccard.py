@@ -93,7 +93,7 @@ def prefix(shingles: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.n
     """The first pivots of a set under the global order."""
     n = len(shingles)
     need = -(-num * n // den)
-    if need == n:  # no other set of any size is within the radius
+    if need == n and den * n < num * (n + 1):  # not even a superset of one more shingle is within the radius
         return shingles[:0]
     order = np.lexsort((shingles, levels[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
     return shingles[order[: n - need + shared_regions(num, den)]]

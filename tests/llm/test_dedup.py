@@ -147,3 +147,20 @@ def test_sharding(spark, documents):
 def test_feistel_is_a_permutation(spark, n):
     got = spark.range(n).select(sharding.permuted(F.col("id"), n, 3).alias("p")).collect()
     assert sorted(r["p"] for r in got) == list(range(n))
+
+
+@pytest.mark.parametrize(("size", "num", "den", "least"), [(4, 85, 100, 6), (5, 4, 5, 4)])
+def test_jaccard_join_links_the_smallest_sets_with_their_supersets(spark, documents, size, num, den, least):
+    """A set whose every shingle is needed still links with the set of one shingle more, and chains run through it."""
+    texts = []
+    for g in range(4):
+        w = [f"g{g}x{i}" for i in range(least + size)]
+        texts += [" ".join(w[:-1]), " ".join(w), " ".join(w[1:])]
+        short = [f"s{g}x{i}" for i in range(least + size - 1)]  # one shingle less than the least set: no link
+        texts += [" ".join(short[:-1]), " ".join(short[:-2])]
+    s = [sets(t, size) for t in texts]
+    links = [(i, j) for i in range(len(s)) for j in range(i) if den * len(s[i] & s[j]) >= num * len(s[i] | s[j])]
+    expected = closed(len(texts), links)
+    assert {(len(s[i]), len(s[j])) for i, j in links} >= {(least + 1, least), (least, least + 1)}
+    got = jaccard.joined(documents(texts), size=size, num=num, den=den).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(expected))
