@@ -121,16 +121,33 @@ def margin_loss(pairs: DataFrame, margin: float = 0.0) -> DataFrame:
     return pairs.agg(F.avg(F.when(F.col("y") == 0, 1 - F.col("c")).otherwise(F.greatest(F.lit(0.0), F.col("c") - margin))).alias("loss"))
 
 
-def contrast_loss(e: DataFrame, nodes: DataFrame, batch: int = 50, tau: float = 1.0) -> DataFrame:
-    """Mean of means over logical blocks of -log(positives / all) of exp(cos / tau); within a block of
-    consecutive ids, which bounds the pairs of a group by the block."""
-    x = nodes.select("id", "u", F.floor(F.col("id") / batch).alias("b"))
-    a, b = (x.select(F.col("id").alias(i), F.col("u").alias(u), "b") for i, u in (("src", "us"), ("dst", "ud")))
-    pairs = a.join(b, "b").join(e.select("src", "dst", F.lit(1).alias("pos")), ["src", "dst"], "left")
-    k = F.exp(X.dot("us", "ud") / tau)
-    per = pairs.groupBy("b", "src").agg(F.sum(F.when(F.col("pos") == 1, k).otherwise(0.0)).alias("p"), F.sum(k).alias("t"))
+def exp_sums(nodes: DataFrame, left: str, right: str, tau: float = 1.0, block: int = 2048) -> DataFrame:
+    """(id, t): the sum over all nodes j of exp(left . right_j / tau). Nodes are dealt into blocks; every
+    pair of blocks is one matrix product in one task of bounded size."""
+    import numpy as np
+    import pyarrow as pa
+
+    blocks = max(1, -(-nodes.count() // block))
+    dealt = nodes.select("id", F.col(left).alias("l"), F.col(right).alias("r"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    pairs = dealt.select("id", F.col("l").alias("v"), F.col("b").alias("i"), every.alias("j"), F.lit(True).alias("query")).union(dealt.select("id", F.col("r").alias("v"), every.alias("i"), F.col("b").alias("j"), F.lit(False)))
+
+    def total(group: pa.Table) -> pa.Table:
+        query, v = group["query"].to_numpy(), np.array(group["v"].to_pylist())
+        t = np.exp(v[query] @ v[~query].T / tau).sum(axis=1) if query.any() and not query.all() else np.zeros(query.sum())
+        return pa.table({"id": group["id"].to_numpy()[query], "t": t})
+
+    return pairs.groupBy("i", "j").applyInArrow(total, "id long, t double").groupBy("id").agg(F.sum("t").alias("t"))
+
+
+def contrast_loss(e: DataFrame, nodes: DataFrame, batch: int = 1000, tau: float = 1.0) -> DataFrame:
+    """Mean of means over logical blocks of -log(positives / all) of exp(cos / tau): the positives are the
+    pairs of e, the denominator runs over all nodes; blocks of consecutive ids only average."""
+    k = F.exp(X.dot("fs", "fd") / tau)
+    positive = N.both_ends(e.select("src", "dst").distinct(), nodes, "u").groupBy(F.col("src").alias("id")).agg(F.sum(k).alias("p"))
+    per = exp_sums(nodes, "u", "u", tau).join(positive, "id", "left").na.fill(0.0, ["p"])
     one = -F.log(F.greatest("p", F.lit(1e-8)) / F.greatest("t", F.lit(1e-8)))
-    return per.groupBy("b").agg(F.avg(one).alias("l")).agg(F.avg("l").alias("loss"))
+    return per.groupBy(F.floor(F.col("id") / batch).alias("b")).agg(F.avg(one).alias("l")).agg(F.avg("l").alias("loss"))
 
 
 def prune_edges(e: DataFrame, nodes: DataFrame, ratio: float) -> DataFrame:
@@ -215,19 +232,19 @@ def context_contrast(e: DataFrame, nodes: DataFrame, width: int, rounds: int, si
     return out.groupBy("id").agg(F.avg("s").alias("score"))
 
 
-def alignment_loss(e: DataFrame, nodes: DataFrame, batch: int = 50, tau: float = 1.0) -> DataFrame:
-    """Both directions of identity contrast and neighbour-weighted contrast between views f and g within
-    logical blocks of ids; nodes(id, f, g)."""
-    x = nodes.select("id", "f", "g", F.floor(F.col("id") / batch).alias("b"))
-    a, c = x.select(F.col("id").alias("i"), F.col("f").alias("fi"), "b"), x.select(F.col("id").alias("j"), F.col("g").alias("gj"), "b")
-    pairs = a.join(c, "b").withColumn("s", X.cosine("fi", "gj") / tau).drop("fi", "gj")
-    w = e.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
+def alignment_loss(e: DataFrame, nodes: DataFrame, tau: float = 1.0) -> DataFrame:
+    """Both directions of identity contrast and neighbour-weighted contrast between views f and g against
+    all keys; nodes(id, f, g)."""
+    x = nodes.select("id", X.unit("f").alias("f"), X.unit("g").alias("g"))
+    s = X.dot("f", "g") / tau
+    near = e.select("src", "dst", "w").join(x.select(F.col("id").alias("src"), "f"), "src").join(x.select(F.col("id").alias("dst"), "g"), "dst")
+    near = near.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w", s.alias("s"))
     out = None
-    for one in ("i", "j"):
-        log_sum = pairs.groupBy(one).agg(F.log(F.sum(F.exp("s"))).alias("z"))
-        same = pairs.where("i = j").join(log_sum, one).agg(F.avg(F.col("z") - F.col("s")).alias("v"))
-        near = pairs.join(w, ["i", "j"]).join(log_sum, one).groupBy(one).agg((F.sum(F.col("w") * (F.col("z") - F.col("s"))) / F.sum("w")).alias("v")).agg(F.avg("v").alias("v"))
-        both = same.union(near)
+    for one, left, right in (("i", "f", "g"), ("j", "g", "f")):
+        log_sum = exp_sums(x, left, right, tau).select("id", F.log("t").alias("z"))
+        same = x.select("id", s.alias("s")).join(log_sum, "id").agg(F.avg(F.col("z") - F.col("s")).alias("v"))
+        per = near.join(log_sum.withColumnRenamed("id", one), one).groupBy(one).agg((F.sum(F.col("w") * (F.col("z") - F.col("s"))) / F.sum("w")).alias("v"))
+        both = same.union(per.agg(F.avg("v").alias("v")))
         out = both if out is None else out.union(both)
     return out.agg((F.sum("v") / 2).alias("loss"))
 

@@ -180,3 +180,32 @@ def test_npz_and_demo(spark, tmp_path):
     assert [r["mark"] for r in n.orderBy("id").collect()] == [True, False, True, False] and e.count() == 2
     n, e = src.demo_graph(spark)
     assert n.count() == 128 and n.where("y = 1").count() == 24 and e.where("src = dst").isEmpty()
+
+
+def test_losses_run_over_all_pairs(spark):
+    """Edges between distant ids count as positives, and denominators run over all nodes."""
+    import numpy as np
+
+    from oddgraph.operators import detectors as D
+
+    n, rng = 130, np.random.default_rng(3)
+    f, g = rng.standard_normal((n, 4)), rng.standard_normal((n, 4))
+    pairs = [(i, (i + k) % n) for i in range(n) for k in (1, 57)]
+    w = np.zeros((n, n))
+    for a, b in pairs:
+        w[a, b] = 1 + (a + b) % 3
+    df = spark.createDataFrame([(i, f[i].tolist(), g[i].tolist()) for i in range(n)], "id long, f array<double>, g array<double>").withColumn("u", X.unit("f"))
+    e = edges(spark, [(a, b, w[a, b]) for a, b in pairs])
+    u, v = (x / np.linalg.norm(x, axis=1)[:, None] for x in (f, g))
+    k = np.exp(u @ u.T / 0.5)
+    per = -np.log((k * (w > 0)).sum(axis=1) / k.sum(axis=1))
+    assert D.contrast_loss(e, df, tau=0.5).first()[0] == pytest.approx(per.mean())
+    assert D.contrast_loss(e, df, batch=100, tau=0.5).first()[0] == pytest.approx((per[:100].mean() + per[100:].mean()) / 2)
+    for block in (2048, 40):
+        got = {r["id"]: r["t"] for r in D.exp_sums(df, "u", "u", 0.5, block).collect()}
+        assert [got[i] for i in range(n)] == pytest.approx(k.sum(axis=1).tolist())
+    s, want = u @ v.T, 0.0
+    for t, y in ((s, w), (s.T, w.T)):
+        z = np.log(np.exp(t).sum(axis=1))
+        want += (z - np.diag(t)).mean() + ((y * (z[:, None] - t)).sum(axis=1) / y.sum(axis=1)).mean()
+    assert D.alignment_loss(e, df).first()[0] == pytest.approx(want / 2)
