@@ -3,7 +3,8 @@
 Both vocabularies split a text into pre-tokens and merge within each of them, so the ids of a text
 are the concatenation of the ids of its pre-tokens. For texts within a set of plain signs (Latin-1
 without control signs) the split is done here, and the library encodes each distinct pre-token once;
-any other text goes to the library whole. The results are equal either way, which tests check.
+any other text, and any that holds the content of an added token (such as <|endoftext|>, which is one id),
+goes to the library whole. The results are equal either way, which tests check.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ class Encoder:
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split, self.lower, self.known = _SPLIT.get(kind), kind == "word", {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -58,9 +59,10 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_SIGNS))]).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if self.split is None or not _PLAIN.fullmatch(text):
+        low = text.lower()
+        if self.split is None or not _PLAIN.fullmatch(text) or any(a in low for a in self.added):
             return self.whole([text])[0]
-        parts = self.split.findall(text.lower() if self.lower else text)
+        parts = self.split.findall(low if self.lower else text)
         fresh = set(parts).difference(self.known)
         if fresh:
             if len(self.known) > self.LIMIT:

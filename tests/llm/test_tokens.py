@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from oddgraph.llm import packing, wavelet
 from oddgraph.llm.encode import Encoder
@@ -24,6 +25,15 @@ def test_encoder_equals_the_library(file, kind):
     assert [e(t) for t in texts] == e.whole(texts)
 
 
+@pytest.mark.parametrize(("file", "kind", "ends"), [("word_bpe_49k.json", "word", 49407), ("byte_bpe_50k.json", "byte", 50256)])
+def test_encoder_keeps_the_librarys_default_for_added_tokens(file, kind, ends):
+    e, fresh = Encoder(P.path(file), kind), Tokenizer.from_file(P.path(file))
+    texts = ["end <|endoftext|> go", "<|endoftext|>", "a<|EndOfText|>b", "<|startoftext|> it's <|endoftext|><|endoftext|>", "é <|endoftext|> 日本", "<|endoftext", "plain"]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ends in want[0] and [np.frombuffer(e(t), "<u4").tolist() for t in texts] == want
+    assert [np.frombuffer(b, "<u4").tolist() for b in e.whole(texts)] == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 70000), max_size=300))
 def test_wavelet_matrix(values):
