@@ -704,8 +704,7 @@ def pca_energy(spark, d):
 
 
 def laplacian_positions(spark, d):
-    nodes = vec(spark, d).where("id < 300")
-    return wide(FT.laplacian_positions(P.induced(und(spark, d), nodes.select("id")), nodes, 4), "f")
+    return wide(FT.laplacian_positions(und(spark, d), vec(spark, d), 4), "f")
 
 
 QUERIES = {
