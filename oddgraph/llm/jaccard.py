@@ -1,240 +1,385 @@
 """Exact n-gram Jaccard join as a metric-space join.
 
-Jaccard distance is a metric on shingle sets. Documents of equal sets are one node from the start.
-
-First-level regions. Against a pivot of one shingle {s} a set of n shingles has distance 1 - 1/n if it
-holds s, else 1, so its nearest pivots are its own shingles, ties broken by one global order, rarest
-first (a fixed-size count sketch over all documents, then the hash). A document enters the regions of
-its first n - ceil(t*n) + k pivots; two documents within the radius then share at least k regions
-(k = 3, or all of a tiny set). Pivots that are documents cannot make the first level: documents
-without a common shingle are all at distance 1, so the window would copy each into every region.
-
-Small regions (at most ``LEAF`` nodes) propose their pairs; a pair that shares k of them is verified,
-unless links verified before it already connect its ends: the result is components, not pairs.
-Large regions are joined recursively, so a pair that shares one of those is found there: a pivot
-document is drawn, all distances to it are computed exactly, and the region splits into the ball
-(distance within the radius: linked to the pivot, so connected among themselves) and the shell. By the
-triangle inequality a link between shell and ball needs |d(x,p) - d(y,p)| <= r, so only the ball's
-rim, at least min shell distance - r from the pivot, is copied into the shell's region, and the recursion goes on
-with that until every region is small. After ``ROUNDS`` levels what is left proposes its pairs.
-
-Verification is exact on whole texts. Defined results: null or empty texts have empty sets, which link
-with nothing (component_id is their own id); repeated rows are equal sets; an empty table gives an
-empty result; extra columns are ignored. Keys are integers.
+Jaccard distance is a metric on shingle sets. Texts of equal sets are one node from the start (its id
+is the hash of the set), so copies cost one row each.
+
+First-level pivots are single shingles: against {s} a set of n shingles has distance 1 - 1/n if it
+holds s, else 1, so a node lies in the Voronoi regions of its own shingles, and two nodes within the
+radius share nearly all of their regions. (Pivots that are documents cannot make the first level:
+documents without a common shingle are all at distance 1, and the window would copy each everywhere.)
+The pivots are the shingles of the lowest ``POOL`` * (1 - t) of the hash space, a choice that every
+node makes alike. A region of at most ``LEAF`` nodes proposes its pairs. Of two linked sets x, y with
+overlap o >= t/(1+t) (|x|+|y|), at most |x| - o shingles of x are missing from y, so they share at
+least c(x) - (|x| - o) small regions, where c counts x's pivots in small regions; pairs that share
+fewer are no links. A node whose c exceeds what any partner can lack, |x| - ceil(t |x|), is closed: all
+its links have been proposed. Open nodes (texts made of very common passages, large groups of near
+copies, tiny sets) are joined again among themselves over all of their shingles.
+
+What is still open then lies in large regions: a node keeps those of its rarest shingles, as many as a
+partner cannot lack. These are joined recursively by pivots that are documents: all distances to a
+region's pivots are computed exactly; members within the radius of a pivot (its ball) are linked to
+it, so connected among themselves. A link between ball and shell needs |d(x,p) - d(y,p)| <= r, so of
+the ball only the rim, at least the nearest shell distance - r from the pivot, stays with the shell.
+A region is done when all of its members are connected. Level after level draws four times as many
+pivots, until no region is left; nothing is capped.
+
+Verification is exact, on whole sets; pairs that links verified before connect already are skipped,
+because the result is components, not pairs. Defined results: null or empty texts have empty sets, which
+link with nothing (component_id is their own id); repeated rows, rows of equal ids with differing
+texts and rows of null id are nodes by their text like any other, null never being the smallest id
+unless a component has no other; very long texts are read in pieces; an empty table gives an empty
+result; extra columns are ignored. Keys are integers.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddgraph.llm.common import WordHash, binary_list, discard, grams, mix, signed, stored
+from oddgraph.llm.common import discard, grams, mix, signed, stored, text_blocks, word_hashes
 from oddgraph.llm.components import components
 
 SHINGLE, NUM, DEN = 4, 85, 100
-SKETCH_BITS, LEAF, ROUNDS, SHARED = 20, 24, 8, 3
-_SLICES = 64
-_HASHES = WordHash()
+POOL, LEAF, GROWTH = 1.7, 24, 4
+#: Entries of a chunk of one task, and of a slice of the hash space (its share of all chunks).
+CHUNK, SLICE = 1 << 19, 1 << 18
+
+
+def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; with fewer words the whole sequence is one shingle."""
+    hashed, at = word_hashes(column, lower=True)
+    whole, at, out = mix(grams(hashed, size) + np.uint64(size)), at.tolist(), []
+    for a, b in zip(at, at[1:]):
+        if b - a >= size:
+            s = whole[a : b - size + 1].copy()
+            s.sort()
+            keep = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=keep[1:])
+            out.append(s[keep])
+        else:
+            out.append(mix(grams(hashed[a:b], b - a) + np.uint64(b - a)) if b > a else np.empty(0, np.uint64))
+    return out
 
 
-def shingle_set(text: bytes, size: int) -> np.ndarray:
-    """Sorted distinct shingle hashes; with fewer words the whole sequence is one shingle."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    hashed = _HASHES.of(words)
-    return np.unique(mix(grams(hashed, min(size, len(words))) + np.uint64(min(size, len(words)))))
+def set_id(shingles: np.ndarray) -> int:
+    n = xxhash.xxh3_64_intdigest(shingles.tobytes())
+    return n - (1 << 64) if n >> 63 else n
 
 
-def set_id(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
+def size_class(n: int, num: int, den: int) -> int:
+    """Sets within the radius are of the same or of neighbouring classes."""
+    return int(math.log(max(n, 1)) / math.log(1.02 * den / num))
 
 
-def count_sketch(rows: DataFrame, size: int) -> np.ndarray:
-    """Levels of a fixed-size sketch of document frequencies: 0 near or below the mean of a cell,
-    one more for each doubling beyond it. A function of all documents; 2**SKETCH_BITS bytes."""
-    cells = 1 << SKETCH_BITS
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    starts = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
+    return starts, np.diff(np.append(starts, len(x)))
 
-    def count(batches):
-        found = np.zeros(cells, np.int64)
-        for batch in batches:
-            hashed = [shingle_set(t, size) for t in binary_list(batch["text"])]
-            if hashed:
-                found += np.bincount((np.concatenate(hashed) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
-        parts = found.reshape(_SLICES, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary())], ["slice", "counts"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(cells // _SLICES, np.int64)
-        for x in group["counts"]:
-            total += np.frombuffer(x.as_py(), "<u4")
-        return pa.table({"slice": group["slice"][:1], "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
-
-    summed = rows.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
-    total = np.zeros(cells, np.int64)
-    for r in summed:
-        n = cells // _SLICES
-        total[r["slice"] * n : (r["slice"] + 1) * n] = np.frombuffer(bytes(r["counts"]), "<i8")
-    mean = max(1.0, total.mean())
-    return np.clip(np.ceil(np.log2(np.maximum(total, 1) / (2 * mean))), 0, 255).astype(np.uint8)
-
-
-def shared_regions(num: int, den: int) -> int:
-    """k: SHARED, or the fewest common shingles of any linked pair of different sets if that is less."""
-    n = next(n for n in range(1, 10 * den) if -(-num * n // den) < n)
-    return min(SHARED, -(-num * n // den))
-
-
-def prefix(shingles: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first pivots of a set under the global order."""
-    n = len(shingles)
-    need = -(-num * n // den)
-    if need == n and den * n < num * (n + 1):  # not even a superset of one more shingle is within the radius
-        return shingles[:0]
-    order = np.lexsort((shingles, levels[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
-    return shingles[order[: n - need + shared_regions(num, den)]]
-
-
-def _verify(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """pairs (a, b) with their exact distance: a, b, d, linked. texts holds compressed texts."""
-    a, b = (texts.select(F.col("sid").alias(x), F.col("packed").alias(f"text_{x}")) for x in "ab")
-    both = pairs.select("a", "b").join(a, "a").join(b, "b")
+
+class Chunk:
+    """Pool entries (shingle, node, size class) of many nodes of one task, dealt to slices at its end.
+
+    A shingle of more than ``leaf`` nodes of the chunk is large already: one marker stands for its
+    entries, which are counted with their nodes here, so a shingle that a third of all rows hold
+    costs a few entries a chunk.
+    """
+
+    def __init__(self, slices: int, leaf: int):
+        self.slices, self.leaf = slices, leaf
+        self.clear()
+
+    def clear(self) -> None:
+        self.shingles, self.sids, self.classes, self.counts, self.total = [], [], [], [], 0
+
+    def add(self, sid: int, size_of: int, pool: np.ndarray) -> None:
+        self.sids.append(sid), self.classes.append(size_of), self.counts.append(len(pool)), self.shingles.append(pool)
+        self.total += len(pool)
+
+    def dealt(self):
+        """(large entries of each node added, their shingles by entry, their nodes), then a row for each slice with anything in it."""
+        if not self.total:
+            return np.zeros(len(self.sids), np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), []
+        shingles = np.concatenate(self.shingles)
+        node = np.repeat(np.arange(len(self.sids)), self.counts)
+        order = np.argsort(shingles, kind="stable")
+        starts, lengths = _runs(shingles[order])
+        crowd = np.zeros(len(shingles), bool)
+        crowd[order] = np.repeat(lengths > self.leaf, lengths)
+        marks = shingles[order][starts[lengths > self.leaf]]
+        sids, classes = np.array(self.sids, np.int64), np.array(self.classes, np.uint8)
+        part = lambda x: ((x >> np.uint64(32)) * np.uint64(self.slices) >> np.uint64(32)).astype(np.int64)
+        rest, owner = shingles[~crowd], node[~crowd]
+        where = part(rest)
+        order = np.argsort(where, kind="stable")  # keeps a node's entries together: its id compresses
+        rest, owner = rest[order], owner[order]
+        cuts, mark_cuts = np.searchsorted(where[order], np.arange(self.slices + 1)), np.searchsorted(part(marks), np.arange(self.slices + 1))
+        rows = []
+        for k in np.flatnonzero((np.diff(cuts) > 0) | (np.diff(mark_cuts) > 0)).tolist():
+            a, b = cuts[k], cuts[k + 1]
+            rows.append((k, rest[a:b].tobytes(), sids[owner[a:b]].tobytes(), classes[owner[a:b]].tobytes(), marks[mark_cuts[k] : mark_cuts[k + 1]].tobytes()))
+        return np.bincount(node[crowd], minlength=len(sids)), shingles[crowd], sids[node[crowd]], rows
+
+
+_SLICE = "slice int, shingles binary, sids binary, classes binary, marks binary"
+_SLICE_TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _proposed(slices: DataFrame, leaf: int, keep_large: bool) -> DataFrame:
+    """Of each slice: pairs (a, b, k: shared small regions) whose size classes allow a link, and (a,
+    null, k: its large regions); with keep_large (a, null, 1, region) for each large region instead."""
+
+    def join(group: pa.Table) -> pa.Table:
+        get = lambda c, kind: np.frombuffer(b"".join(x for x in group[c].to_pylist()), kind)
+        shingles, sids, classes, marks = get("shingles", "<u8"), get("sids", "<i8"), get("classes", np.uint8), get("marks", "<u8")
+        order = np.lexsort((sids, shingles))
+        shingles, sids, classes = shingles[order], sids[order], classes[order]
+        if len(shingles):  # a set that several tasks met
+            fresh = np.append(True, (shingles[1:] != shingles[:-1]) | (sids[1:] != sids[:-1]))
+            shingles, sids, classes = shingles[fresh], sids[fresh], classes[fresh]
+        starts, lengths = _runs(shingles)
+        large = (lengths > leaf) | np.isin(shingles[starts], marks)
+        entries = np.repeat(large, lengths)
+        first, second = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for m in np.unique(lengths[~large & (lengths > 1)]).tolist():
+            at = starts[~large & (lengths == m)]
+            i, j = np.triu_indices(m, 1)
+            x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+            near = np.abs(classes[x].astype(np.int16) - classes[y]) <= 1
+            first.append(sids[x[near]]), second.append(sids[y[near]])
+        a, b = np.concatenate(first), np.concatenate(second)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.empty(0, np.int64)
+        k = np.diff(np.append(at, len(a)))
+        if keep_large:
+            who, counts, region = sids[entries], np.ones(int(entries.sum()), np.int64), signed(shingles[entries])
+        else:
+            who, counts = np.unique(sids[entries], return_counts=True)
+            region = np.zeros(len(who), np.int64)
+        none = pa.nulls(len(who), pa.int64())
+        return pa.table({
+            "a": pa.array(np.concatenate([a[at], who])), "b": pa.concat_arrays([pa.array(b[at]), none]),
+            "k": pa.array(np.concatenate([k, counts]).astype(np.int64)), "region": pa.array(np.concatenate([np.zeros(len(at), np.int64), region])),
+        })
+
+    return slices.groupBy("slice").applyInArrow(join, "a long, b long, k long, region long")
+
+
+def _candidates(proposed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that share as many small regions as a link must. nodes(sid, n, c)."""
+    counted = proposed.where("b is not null").groupBy("a", "b").agg(F.sum("k").alias("k"))
+    na, nb = (nodes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}")) for x in "ab")
+    both = counted.join(na, "a").join(nb, "b")
+    overlap = F.ceil(num * (F.col("na") + F.col("nb")) / (num + den) - 1e-9)
+    need = F.greatest(F.lit(1), F.col("ca") - F.col("na") + overlap, F.col("cb") - F.col("nb") + overlap)
+    alike = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+    return both.where(alike & (F.col("k") >= need)).select("a", "b")
+
+
+def _open(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Nodes with so few small regions that a link may share none of them."""
+    return nodes.where((F.col("n") > 0) & (F.col("c") <= F.col("n") - F.ceil(num * F.col("n") / den - 1e-9)))
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs (a, b) with their exact distance: a, b, d, linked. sets(sid, shingles)."""
+    sa, sb = (sets.select(F.col("sid").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    both = pairs.select("a", "b").join(sa, "a").join(sb, "b")
 
     def measure(batches):
-        last, sets, spread = None, None, zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            d, linked = [], []
-            for key, ta, tb in zip(batch["b"].to_pylist(), batch["text_a"].to_pylist(), batch["text_b"].to_pylist()):
+            d, linked, last, one = [], [], None, None
+            for key, ta, tb in zip(batch["b"].to_pylist(), batch["set_a"], batch["set_b"]):
                 if key != last:
-                    last, sets = key, shingle_set(spread(tb), size)
-                other = shingle_set(spread(ta), size)
-                same = len(np.intersect1d(other, sets, assume_unique=True))
-                union = len(other) + len(sets) - same
+                    last, one = key, np.frombuffer(tb.as_buffer(), "<u8")
+                other = np.frombuffer(ta.as_buffer(), "<u8")
+                both = np.concatenate([one, other])
+                both.sort()
+                same = int((both[1:] == both[:-1]).sum())
+                union = len(both) - same
                 d.append(1 - same / union)
                 linked.append(den * same >= num * union)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "d", "linked"])
 
-    found = both.mapInArrow(measure, "a long, b long, d double, linked boolean")
-    return stored(found.dropDuplicates(["a", "b"]), "verified")  # repeated rows of one id give a text twice
-
+    return stored(both.mapInArrow(measure, "a long, b long, d double, linked boolean"), "verified")
 
-def _pairs_of(regions: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of each region's members whose sizes allow a link."""
-    members = F.array_sort(F.collect_list(F.struct("sid", "n")))
-    seen = regions.groupBy("region").agg(members.alias("x")).where(F.size("x") > 1)
-    left = seen.select("region", "x", F.posexplode("x").alias("i", "one"))
-    right = F.filter(F.slice("x", F.col("i") + 2, F.size("x")), lambda o: (den * F.least(o["n"], F.col("one.n")) >= num * F.greatest(o["n"], F.col("one.n"))))
-    return left.select("region", F.col("one.sid").alias("a"), F.explode(right).alias("two")).select("region", "a", F.col("two.sid").alias("b"))
 
-
-def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, num: int = NUM, den: int = DEN, leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
-    """Per row: key, n_shingles, set_id, component_id (null sets link with nothing)."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    levels = docs.sparkSession.sparkContext.broadcast(count_sketch(rows, size))
+def _links_of(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links that connect what the pairs' links connect: each node with its first partner, then only
+    pairs whose ends are not connected by those."""
+    star = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
+    links = _verify(star, sets, num, den).where("linked").select("a", "b")
+    known = components(links)
+    la, lb = (known.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    rest = pairs.join(star, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left")
+    rest = stored(rest.where(F.coalesce(F.col("la") != F.col("lb"), F.lit(True))).select("a", "b"), "rest")
+    return stored(links.union(_verify(rest, sets, num, den).where("linked").select("a", "b")), "links")
+
+
+def _by_documents(regions: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Components (node, label) of the links within the large regions (region, sid, n), found by pivot
+    documents, and of ``links``, known before."""
+    radius, level = 1 - num / den, 0
+    while True:
+        known = components(links)
+        named = regions.join(known.withColumnRenamed("node", "sid"), "sid", "left").select("region", "sid", "n", F.coalesce("label", "sid").alias("label"))
+        draw = F.xxhash64("sid", F.lit(level))
+        live = named.groupBy("region").agg(F.count("*").alias("m"), F.min(F.struct(draw.alias("h"), "sid")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        live = live.where("lo <> hi").select("region", "m", F.col("p.sid").alias("first"))
+        named = stored(named.join(live, "region"), "regions")
+        if named.isEmpty():
+            return known
+        # Pivots: about GROWTH**level members of each region, by a draw that is the same in all of them.
+        share = (draw.cast("double") / 2.0**64 + 0.5) * F.col("m")
+        pivots = named.where((F.col("sid") == F.col("first")) | ((share < GROWTH**level) & (F.lit(level) > 0)))
+        pivots = stored(pivots.select("region", F.col("sid").alias("pivot"), F.col("n").alias("np"), F.col("label").alias("lp")), "pivots")
+        placed = named.join(pivots, "region").where("sid <> pivot")
+        alike = den * F.least("n", "np") >= num * F.greatest("n", "np")
+        pairs = placed.where(alike).select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
+        measured = _verify(pairs, sets, num, den)
+        links = stored(links.union(measured.where("linked").select("a", "b")), "links")
+        both = placed.withColumns({"a": F.least("sid", "pivot"), "b": F.greatest("sid", "pivot")}).join(measured, ["a", "b"], "left")
+        both = both.select("region", "sid", "pivot", F.col("label") == F.col("lp"), F.coalesce("d", 1 - F.least("n", "np") / F.greatest("n", "np")).alias("d"), F.coalesce("linked", F.lit(False)).alias("linked"))
+        both = stored(both.toDF("region", "sid", "pivot", "same", "d", "linked"), "placed")
+        # A member of a ball stays only if it is in the rim, near enough to the shell; pivots are done.
+        shell = both.where("not linked and not same").groupBy("region", "pivot").agg(F.min("d").alias("nearest"))
+        inner = both.where("linked").join(shell, ["region", "pivot"], "left").where(F.col("nearest").isNull() | (F.col("d") < F.col("nearest") - radius - 1e-9))
+        gone = inner.select("region", "sid").union(pivots.select("region", F.col("pivot").alias("sid"))).distinct()
+        regions = stored(named.select("region", "sid", "n").join(gone, ["region", "sid"], "left_anti"), "left")
+        level += 1
+
+
+def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, num: int = NUM, den: int = DEN, leaf: int = LEAF, pool: float = POOL) -> DataFrame:
+    """Per row: key, text_hash, n_shingles, set_id, component_id, and whether the row is its component's
+    first by (key, text_hash), ``keeper`` (true for rows without words)."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    letters = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = min(1.0, pool * (1 - num / den))
+    below, slices = np.uint64(min(2**64 - 1, int(share * 2**64))), int((64 + letters / 6 * share / SLICE) / share)
 
     def enter(batches):
-        """The document's digest in one row without region, then a row for each region."""
-        seen: set[int] = set()
-        for batch in batches:
-            keys, sids, ns, regions = [], [], [], []
-            for k, t in zip(batch["key"].to_pylist(), binary_list(batch["text"])):
-                s = shingle_set(t, size)
-                sid = set_id(s)
-                keys.append(k), sids.append(sid), ns.append(len(s)), regions.append(None)
-                if sid in seen or not len(s):
-                    continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(sid)
-                p = signed(prefix(s, levels.value, num, den)).tolist()
-                keys += [None] * len(p)
-                sids += [sid] * len(p)
-                ns += [len(s)] * len(p)
-                regions += p
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sids, pa.int64()), pa.array(ns, pa.int32()), pa.array(regions, pa.int64())], ["key", "sid", "n", "region"])
-
-    entered = stored(rows.mapInArrow(enter, "key long, sid long, n int, region long"), "entered")
-    digests = stored(entered.where("region is null").select("key", "sid", "n"), "digests")
-    entries = entered.where("region is not null").select("region", "sid", "n")
-    crowd = stored(entries.groupBy("region").agg(F.count("*").alias("m")).where("m > 1").select("region"), "crowd")
-    shared = stored(entries.join(crowd, "region").dropDuplicates(["region", "sid"]), "shared")
+        """A digest row for each text, then the rows of slices."""
+        chunk, keys, hashes, digests, seen = Chunk(slices, leaf), [], [], [], set()
+        names = ["key", "text_hash", "sid", "n", "c", "slice", "shingles", "sids", "classes", "marks"]
+
+        def flush():
+            large, _, _, dealt = chunk.dealt()
+            sid, n, c, at = (np.array(x, np.int64) for x in zip(*digests))
+            c[at >= 0] -= large[at[at >= 0]]
+            k = len(digests)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.concat_arrays(hashes), pa.array(sid), pa.array(n), pa.array(c), *(pa.nulls(k, t) for t in _SLICE_TYPES)], names)
+            for a in range(0, len(dealt), 64):
+                some = list(zip(*dealt[a : a + 64]))
+                none = [pa.nulls(len(some[0]), pa.int64())] * 5
+                yield pa.RecordBatch.from_arrays([*none, *(pa.array(x, t) for x, t in zip(some, _SLICE_TYPES))], names)
+            chunk.clear(), keys.clear(), hashes.clear(), digests.clear(), seen.clear()
+
+        for block in text_blocks(batches):
+            keys.append(block["key"]), hashes.append(block["text_hash"])
+            for s in shingle_sets(block["text"], size):
+                sid, c, at = set_id(s), int(np.searchsorted(s, below)), -1
+                if len(s) and sid not in seen:
+                    seen.add(sid)
+                    at = len(chunk.sids)
+                    chunk.add(sid, size_class(len(s), num, den), s[:c])
+                digests.append((sid, len(s), c, at))
+            if chunk.total >= CHUNK or len(digests) >= CHUNK:
+                yield from flush()
+        if digests:
+            yield from flush()
+
+    schema = f"key long, text_hash long, sid long, n long, c long, {_SLICE}"
+    entered = stored(rows.mapInArrow(enter, schema), "entered")
+    digests = entered.where("slice is null").select("key", "text_hash", "sid", "n", "c")
+    # A copy's c is one met again in its chunk and not lessened; the least is that of the first.
+    first = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "text_hash"))
+    nodes = stored(digests.groupBy("sid").agg(first.alias("first"), F.first("n").alias("n"), F.min("c").alias("c")), "nodes")
+    proposed = stored(_proposed(entered.where("slice is not null").select("slice", "shingles", "sids", "classes", "marks"), leaf, False), "proposed")
+    digests = stored(digests.drop("c"), "digests")
     discard(entered)
-    discard(crowd)
-    sizes = shared.groupBy("region").agg(F.count("*").alias("m")).where("m > 1")
-    entries = stored(shared.join(sizes, "region"), "regions")
-    discard(shared)
-    small, large = entries.where(F.col("m") <= leaf), stored(entries.where(F.col("m") > leaf).select("region", "sid", "n"), "large")
-
-    # Pairs of small regions that share k of them. A pair with fewer shares a large region, which the
-    # recursion below joins whole, or cannot be within the radius.
-    counted = _pairs_of(small, num, den).groupBy("a", "b").agg(F.count("*").alias("c"))
-    pairs = stored(counted.where(F.col("c") >= shared_regions(num, den)).select("a", "b"), "pairs")
-
-    # Texts of all nodes that any verification can need, once.
-    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(large.select("sid")).distinct()
-    reps = digests.groupBy("sid").agg(F.min("key").alias("rep"))
-    wanted = needed.join(reps, "sid")
-
-    def squeeze(batches):
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["sid"], pa.array([pack(t.lower()) for t in binary_list(batch["text"])], pa.binary())], ["sid", "packed"])
-
-    texts = rows.join(wanted.withColumnRenamed("rep", "key"), "key").select("sid", "text")
-    texts = stored(texts.mapInArrow(squeeze, "sid long, packed binary"), "texts", compression="none")
+    large = proposed.where("b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("k").alias("large"))
+    counted = stored(nodes.join(large, "sid", "left").select("sid", "first", "n", (F.col("c") - F.coalesce("large", F.lit(0))).alias("c")), "counted")
+    pairs = stored(_candidates(proposed, counted, num, den), "pairs")
+    discard(proposed)
+    unsure = _open(counted, num, den).select("sid", F.lit(1).alias("open"))
+    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).select("sid", F.lit(0).alias("open"))
+    wanted = unsure.union(ends).groupBy("sid").agg(F.max("open").alias("open")).join(nodes, "sid").select("sid", "open", F.coalesce("first.key", F.lit(0)).alias("k0"), "first.text_hash")
+
+    def sets_of(batches):
+        for block in text_blocks(batches):
+            found = [s.tobytes() for s in shingle_sets(block["text"], size)]
+            yield pa.RecordBatch.from_arrays([block["sid"], block["open"], pa.array(found, pa.binary())], ["sid", "open", "shingles"])
+
+    # The text hash tells the text; the key spreads copies.
+    texts = rows.select(F.coalesce("key", F.lit(0)).alias("k0"), "text_hash", "text").join(wanted, ["k0", "text_hash"])
+    sets = stored(texts.dropDuplicates(["k0", "text_hash"]).select("sid", "open", "text").mapInArrow(sets_of, "sid long, open int, shingles binary"), "sets", compression="none")
+
+    # Open nodes among themselves, over all their shingles.
+    entries = sets.where("open = 1").agg(F.sum(F.octet_length("shingles") / 8)).first()[0] or 0
+    slices_open = 64 + int(entries / SLICE)
+
+    def enter_open(batches):
+        chunk, names = Chunk(slices_open, leaf), ["sid", "region", "slice", "shingles", "sids", "classes", "marks"]
+
+        def flush():
+            _, regions, sids, dealt = chunk.dealt()
+            yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array(signed(regions)), *(pa.nulls(len(sids), t) for t in _SLICE_TYPES)], names)
+            for a in range(0, len(dealt), 64):
+                some = list(zip(*dealt[a : a + 64]))
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some[0]), pa.int64())] * 2, *(pa.array(x, t) for x, t in zip(some, _SLICE_TYPES))], names)
+            chunk.clear()
 
-    # Each node with its first partner, then only pairs that those links do not connect already.
-    star = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
-    links = _verify(star, texts, size, num, den).where("linked").select("a", "b")
-    known = components(links)
-    la, lb = (known.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    open_pairs = pairs.join(star, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left")
-    open_pairs = stored(open_pairs.where(F.coalesce(F.col("la") != F.col("lb"), F.lit(True))).select("a", "b"), "open")
-    links = links.union(_verify(open_pairs, texts, size, num, den).where("linked").select("a", "b"))
-
-    radius = 1 - num / den
-    for level in range(rounds + 1):
-        if large.isEmpty():
-            break
-        if level == rounds:
-            left = _pairs_of(large, num, den).select("a", "b").distinct()
-            links = links.union(_verify(left, texts, size, num, den).where("linked").select("a", "b"))
-            break
-        # A pivot per region: the member of the smallest hash at this level, the same for regions of one group.
-        drawn = large.groupBy("region").agg(F.min(F.struct(F.xxhash64("sid", F.lit(level)).alias("h"), F.col("sid").alias("pivot"))).alias("p")).select("region", "p.pivot")
-        placed = large.join(drawn, "region")
-        measured = _verify(placed.where("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct(), texts, size, num, den)
-        links = links.union(measured.where("linked").select("a", "b"))
-        far = placed.where("sid <> pivot").join(measured.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "d", "linked"), ["sid", "pivot"])
-        shell = far.where("not linked").groupBy("region").agg(F.min("d").alias("nearest"))
-        rest = far.join(shell, "region").where(~F.col("linked") | (F.col("d") >= F.col("nearest") - radius - 1e-9)).select("region", "sid", "n")
-        rest = stored(rest.dropDuplicates(["region", "sid"]), "rest")
-        sizes = rest.groupBy("region").agg(F.count("*").alias("m")).where("m > 1")
-        rest = stored(rest.join(sizes, "region"), "rest")
-        leaves = _pairs_of(rest.where(F.col("m") <= leaf), num, den).select("a", "b").distinct()
-        links = links.union(_verify(leaves, texts, size, num, den).where("linked").select("a", "b"))
-        large = rest.where(F.col("m") > leaf).select("region", "sid", "n")
-
-    named = links.distinct().join(reps.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("sid").alias("b"), F.col("rep").alias("rb")), "b")
-    parts = components(named.select("ra", "rb"))
-    nodes = reps.join(parts, F.col("rep") == F.col("node"), "left").select("sid", F.coalesce("label", "rep").alias("part"))
-    return digests.join(nodes, "sid").select(
-        F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("sid").alias("set_id"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("part")).alias("component_id")
-    )
+        for batch in batches:
+            for sid, raw in zip(batch["sid"].to_pylist(), batch["shingles"]):
+                s = np.frombuffer(raw.as_buffer(), "<u8")
+                chunk.add(sid, size_class(len(s), num, den), s)
+                if chunk.total >= CHUNK:
+                    yield from flush()
+        yield from flush()
+
+    opened = stored(sets.where("open = 1").select("sid", "shingles").mapInArrow(enter_open, f"sid long, region long, {_SLICE}"), "opened")
+    proposed = stored(_proposed(opened.where("slice is not null").select("slice", "shingles", "sids", "classes", "marks"), leaf, True), "proposed")
+    crowded = opened.where("slice is null").select("region", "sid").union(proposed.where("b is null").select("region", F.col("a").alias("sid"))).distinct()
+    crowded = stored(crowded, "crowded")
+    discard(opened)
+    large = crowded.groupBy("sid").agg(F.count("*").alias("large"))
+    again = unsure.select("sid").join(counted.select("sid", "n"), "sid").join(large, "sid", "left")
+    again = stored(again.select("sid", "n", (F.col("n") - F.coalesce("large", F.lit(0))).alias("c")), "again")
+    pairs = stored(pairs.union(_candidates(proposed, again, num, den)).distinct(), "pairs")
+    links = _links_of(pairs, sets, num, den)
+
+    # Large regions of what is still open: of a node's rarest shingles, as many as a partner cannot lack.
+    still = _open(again, num, den)
+    crowds = crowded.groupBy("region").agg(F.count("*").alias("m"))
+    mine = crowded.join(still, "sid").join(crowds, "region").groupBy("sid", "n", "c").agg(F.array_sort(F.collect_list(F.struct("m", "region"))).alias("all"))
+    lack = (F.col("n") - F.ceil(num * F.col("n") / den - 1e-9) + 1 - F.col("c")).cast("int")
+    regions = stored(mine.select("sid", "n", F.explode(F.slice("all", F.lit(1), lack)).alias("x")).select(F.col("x.region").alias("region"), "sid", "n"), "regions")
+    parts = _by_documents(regions, links, sets, num, den)
+    labels = nodes.join(parts, F.col("sid") == F.col("node"), "left").select("sid", "first", F.coalesce("label", "sid").alias("label"))
+    firsts = labels.groupBy("label").agg(F.min("first").alias("keeps"))
+    labels = stored(labels.join(firsts, "label").select("sid", "keeps"), "labels")
+    empty = F.col("n") == 0
+    return digests.join(labels, "sid").select(
+        F.col("key").alias(key), "text_hash", F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.when(empty, F.col("key")).otherwise(F.col("keeps.key")).alias("component_id"),
+        (empty | (F.col("key").eqNullSafe(F.col("keeps.key")) & (F.col("text_hash") == F.col("keeps.text_hash")))).alias("keeper"),
+    )
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """One document of each group stays, that of the smallest id; documents without words stay.
-
-    Rows with equal ids count as one document here, of which one row of each text stays.
-    """
-    found = joined(docs, key, text, size, num, den)
-    kept = found.where((F.col("component_id") == F.col(key)) | F.col(key).isNull()).select(key).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept[key]), "left_semi").withColumn("__text_hash", F.xxhash64(text)).dropDuplicates([key, "__text_hash"]).drop("__text_hash")
+    """One document of each group stays, the first by (id, hash of the text), nulls last; documents without
+    words stay, each once. All columns stay as they are, whatever their names. Rows equal in id and text
+    are one document, of which one row stays. An empty table gives an empty one."""
+    k, h = "__oddgraph_key", "__oddgraph_text"
+    found = joined(docs.select(key, text), key, text, size, num, den)
+    kept = found.where("keeper").select(F.xxhash64(key).alias(k), F.col("text_hash").alias(h)).distinct()
+    marked = docs.withColumns({k: F.xxhash64(F.col(key).cast("long")), h: F.xxhash64(text)})
+    return marked.join(kept, [k, h], "left_semi").dropDuplicates([k, h]).drop(k, h)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
