@@ -20,8 +20,8 @@ partner cannot lack. These are joined recursively by pivots that are documents:
 region's pivots are computed exactly; members within the radius of a pivot (its ball) are linked to
 it, so connected among themselves. A link between ball and shell needs |d(x,p) - d(y,p)| <= r, so of
 the ball only the rim, at least the nearest shell distance - r from the pivot, stays with the shell.
-A region is done when all of its members are connected. Level after level draws four times as many
-pivots, until no region is left; nothing is capped.
+A region is done when all of its members are connected. Level after level draws ``GROWTH``
+times as many pivots, until no region is left; nothing is capped.
 
 Verification is exact, on whole sets; pairs that links verified before connect already are skipped,
 because the result is components, not pairs. Defined results: null or empty texts have empty sets, which
@@ -45,7 +45,7 @@ from oddgraph.llm.common import discard, grams, mix, signed, stored, text_blocks
 from oddgraph.llm.components import components
 
 SHINGLE, NUM, DEN = 4, 85, 100
-POOL, LEAF, GROWTH = 1.7, 24, 4
+POOL, LEAF, GROWTH = 1.7, 24, 16
 #: Entries of a chunk of one task, and of a slice of the hash space (its share of all chunks).
 CHUNK, SLICE = 1 << 19, 1 << 18
 
@@ -229,26 +229,29 @@ def _by_documents(regions: DataFrame, links: DataFrame, sets: DataFrame, num: in
     while True:
         known = components(links)
         named = regions.join(known.withColumnRenamed("node", "sid"), "sid", "left").select("region", "sid", "n", F.coalesce("label", "sid").alias("label"))
-        draw = F.xxhash64("sid", F.lit(level))
-        live = named.groupBy("region").agg(F.count("*").alias("m"), F.min(F.struct(draw.alias("h"), "sid")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        live = live.where("lo <> hi").select("region", "m", F.col("p.sid").alias("first"))
-        named = stored(named.join(live, "region"), "regions")
+        # Pivots: about GROWTH**level members of each region, none of its largest connected part, by a draw
+        # that is the same in all regions. When all others have been pivots, one part is left.
+        parts = named.groupBy("region", "label").agg(F.count("*").alias("m"))
+        live = parts.groupBy("region").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+        named = stored(named.join(live.select("region", "m", F.col("top.label").alias("top")), "region"), "regions")
         if named.isEmpty():
             return known
-        # Pivots: about GROWTH**level members of each region, by a draw that is the same in all of them.
+        draw = F.xxhash64("sid", F.lit(level))
+        others = named.where("label <> top")
+        firsts = others.groupBy("region").agg(F.min(F.struct(draw.alias("h"), "sid")).alias("p")).select("region", F.col("p.sid").alias("first"))
         share = (draw.cast("double") / 2.0**64 + 0.5) * F.col("m")
-        pivots = named.where((F.col("sid") == F.col("first")) | ((share < GROWTH**level) & (F.lit(level) > 0)))
+        pivots = others.join(firsts, "region").where((F.col("sid") == F.col("first")) | ((share < GROWTH**level) & (F.lit(level) > 0)))
         pivots = stored(pivots.select("region", F.col("sid").alias("pivot"), F.col("n").alias("np"), F.col("label").alias("lp")), "pivots")
-        placed = named.join(pivots, "region").where("sid <> pivot")
+        placed = named.join(pivots, "region").where("label <> lp")
         alike = den * F.least("n", "np") >= num * F.greatest("n", "np")
         pairs = placed.where(alike).select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
         measured = _verify(pairs, sets, num, den)
         links = stored(links.union(measured.where("linked").select("a", "b")), "links")
         both = placed.withColumns({"a": F.least("sid", "pivot"), "b": F.greatest("sid", "pivot")}).join(measured, ["a", "b"], "left")
-        both = both.select("region", "sid", "pivot", F.col("label") == F.col("lp"), F.coalesce("d", 1 - F.least("n", "np") / F.greatest("n", "np")).alias("d"), F.coalesce("linked", F.lit(False)).alias("linked"))
-        both = stored(both.toDF("region", "sid", "pivot", "same", "d", "linked"), "placed")
+        both = both.select("region", "sid", "pivot", F.coalesce("d", 1 - F.least("n", "np") / F.greatest("n", "np")).alias("d"), F.coalesce("linked", F.lit(False)).alias("linked"))
+        both = stored(both, "placed")
         # A member of a ball stays only if it is in the rim, near enough to the shell; pivots are done.
-        shell = both.where("not linked and not same").groupBy("region", "pivot").agg(F.min("d").alias("nearest"))
+        shell = both.where("not linked").groupBy("region", "pivot").agg(F.min("d").alias("nearest"))
         inner = both.where("linked").join(shell, ["region", "pivot"], "left").where(F.col("nearest").isNull() | (F.col("d") < F.col("nearest") - radius - 1e-9))
         gone = inner.select("region", "sid").union(pivots.select("region", F.col("pivot").alias("sid"))).distinct()
         regions = stored(named.select("region", "sid", "n").join(gone, ["region", "sid"], "left_anti"), "left")
