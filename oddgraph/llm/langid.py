@@ -4,8 +4,10 @@ Known words are scored by their log frequency in each language; a word that was
 to its character n-grams (with word ends marked), the longest length of which any gram is known,
 from four signs down to one. A document's score per language is the sum over its words.
 
-The model is fitted on a bounded sample: at most ``TRAIN_DOCS`` documents of each language, chosen by
-a hash of the id, so it behaves alike at every size. Prediction reads every word of every text.
+The model is fitted on a bounded sample: about ``TRAIN_DOCS`` documents of each language (a draw by a hash
+of the id with that expectation), so it behaves alike at every size; of the sample every word and
+n-gram that occurs twice is kept. It is two arrays, 64-bit hashes and log frequencies, so that a worker
+holds a few megabytes. Prediction reads every word of every text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; with no labelled
 document at all every text is ``und``; ties go to the language that sorts first; repeated rows give
@@ -20,14 +22,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddgraph.llm.common import held_out
+from oddgraph.llm.common import held_out, text_blocks
 
 TRAIN_DOCS = 2000
 LONGEST, LEAST_COUNT = 4, 2
-MOST_ENTRIES = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -40,28 +42,48 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def item_hash(item: str, kind: int) -> int:
+    """kind: 0 for words, else the length of the n-gram."""
+    return xxhash.xxh3_64_intdigest(item.encode("utf-8", "surrogatepass"), seed=kind)
+
+
 @dataclass
 class Model:
-    """languages sorted; words and grams map to rows of log frequencies."""
+    """languages sorted; ``logs`` holds the log frequencies of the items whose sorted hashes are ``keys``."""
 
     languages: list[str] = field(default_factory=list)
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def row(self, word: str) -> np.ndarray:
-        if (known := self.words.get(word)) is not None:
-            return known
+    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    logs: np.ndarray = field(default_factory=lambda: np.empty((0, 0), np.float32))
+
+    def places(self, hashes: list[int]) -> np.ndarray:
+        """Row of each hash, -1 where it is unknown."""
+        h = np.array(hashes, np.uint64)
+        at = np.minimum(np.searchsorted(self.keys, h), max(len(self.keys) - 1, 0))
+        return np.where(self.keys[at] == h, at, -1) if len(self.keys) else np.full(len(h), -1)
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Log frequencies of each word: its own if it is known, else the mean of its longest known n-grams, else 0."""
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        at = self.places([item_hash(w, 0) for w in words])
+        out[at >= 0] = self.logs[at[at >= 0]]
+        left = np.flatnonzero(at < 0)
         for n in range(LONGEST, 0, -1):
-            known = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.languages), np.float32)
+            grams = [grams_of(words[i], n) for i in left.tolist()]
+            owner = np.repeat(np.arange(len(left)), [len(g) for g in grams])
+            at = self.places([item_hash(g, n) for gs in grams for g in gs])
+            owner, at = owner[at >= 0], at[at >= 0]
+            known = np.bincount(owner, minlength=len(left))
+            total = np.zeros((len(left), out.shape[1]), np.float64)
+            np.add.at(total, owner, self.logs[at])
+            out[left[known > 0]] = total[known > 0] / known[known > 0, None]
+            left = left[known == 0]
+        return out
 
 
 class Scorer:
     """Scores texts; the rows of words met before are kept in a table of bounded size."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __init__(self, model: Model):
         self.model, self.width = model, len(model.languages)
@@ -74,25 +96,35 @@ class Scorer:
     def ids_of(self, words: list[str]) -> np.ndarray:
         if len(self.ids) > self.LIMIT:
             self.clear()
-        for w in set(words).difference(self.ids):
-            i = self.ids[w] = len(self.ids)
-            if i >= len(self.table):
+        if fresh := list(set(words).difference(self.ids)):
+            n = len(self.ids)
+            while n + len(fresh) > len(self.table):
                 self.table = np.vstack([self.table, np.zeros_like(self.table)])
-            self.table[i] = self.model.row(w)
+            self.table[n : n + len(fresh)] = self.model.rows(fresh)
+            self.ids.update(zip(fresh, range(n, n + len(fresh))))
         return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
 
+    def many(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text; the unknown words of all texts are looked up together."""
+        split = [words_of(t) if self.width else [] for t in texts]
+        ids = self.ids_of([w for ws in split for w in ws])
+        out, a = [], 0
+        for ws in split:
+            if not ws:
+                out.append(("und", 0.0))
+                continue
+            total = self.table[ids[a : a + len(ws)]].sum(axis=0, dtype=np.float64)
+            a += len(ws)
+            best = int(total.argmax())
+            out.append((self.model.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())))
+        return out
+
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.width:
-            return "und", 0.0
-        ids = self.ids_of(words)
-        total = self.table[ids].sum(axis=0, dtype=np.float64)
-        best = int(total.argmax())
-        return self.model.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
+        return self.many([text])[0]
 
 
 def counted(docs: DataFrame, key: str, text: str, lang: str, train: Column, bound: int) -> DataFrame:
-    """Counts (lang, kind, item, n) over the training sample."""
+    """Counts (lang, kind, item: its hash, n) over the training sample."""
     rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).alias("lang"), (F.pmod(F.xxhash64(F.col(key), F.lit(41)), F.lit(1_000_000)) / 1e6).alias("u")
     )
@@ -111,27 +143,27 @@ def counted(docs: DataFrame, key: str, text: str, lang: str, train: Column, boun
                         for g in grams_of(w, n):
                             into[g] += c
         for (lang, n), c in found.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(c), pa.string()), pa.array([n] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())],
-                ["lang", "kind", "item", "n"],
-            )
+            items = np.array([item_hash(x, n) for x in c], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array([n] * len(c), pa.int32()), pa.array(items), pa.array(list(c.values()), pa.int64())], ["lang", "kind", "item", "n"])
 
-    return sample.mapInArrow(count, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    return sample.mapInArrow(count, "lang string, kind int, item long, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = TRAIN_DOCS) -> Model:
-    counts = counted(docs, key, text, lang, train, bound).where(F.col("n") >= LEAST_COUNT)
-    rows = counts.orderBy(F.desc("n"), "lang", "kind", "item").limit(MOST_ENTRIES).toPandas()
-    if rows.empty:
+    found = counted(docs, key, text, lang, train, bound).where(F.col("n") >= LEAST_COUNT).toArrow()
+    if not found.num_rows:
         return Model()
-    languages = sorted(rows["lang"].unique())
-    model = Model(languages)
-    for kind, part in rows.groupby("kind"):
-        wide = part.pivot(index="item", columns="lang", values="n").reindex(columns=languages).fillna(0.0)
-        counts = wide.to_numpy() + 0.5
-        logs = np.log(counts / counts.sum(axis=0)).astype(np.float32)
-        (model.words if kind == 0 else model.grams).update(zip(wide.index, logs))
-    return model
+    names = pa.concat_arrays(found["lang"].chunks).dictionary_encode()
+    languages = sorted(names.dictionary.to_pylist())
+    order = np.array([languages.index(x) for x in names.dictionary.to_pylist()])
+    column, kind = order[names.indices.to_numpy()], found["kind"].to_numpy()
+    keys, at = np.unique(found["item"].to_numpy().view(np.uint64), return_inverse=True)
+    counts, kinds = np.zeros((len(keys), len(languages))), np.zeros(len(keys), np.int32)
+    counts[at, column], kinds[at] = found["n"].to_numpy(), kind
+    counts += 0.5
+    for k in np.unique(kinds):
+        counts[kinds == k] /= counts[kinds == k].sum(axis=0)
+    return Model(languages, keys, np.log(counts).astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,8 +172,8 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     def score(batches):
         scorer = Scorer(shared.value)
-        for batch in batches:
-            out = [scorer(t) for t in batch["text"].to_pylist()]
+        for batch in text_blocks(batches):
+            out = scorer.many(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch["key"], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["key", "lang_pred", "score"]
             )
@@ -157,8 +189,8 @@ def identified(docs: DataFrame, model: Model, text: str = "text", least: float =
 
     def keep(batches):
         scorer = Scorer(shared.value)
-        for batch in batches:
-            told = [scorer(t) for t in batch[text].to_pylist()]
+        for batch in text_blocks(batches, text):
+            told = scorer.many(batch[text].to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in told], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -1,7 +1,10 @@
 """Language identification, toxicity, licences, decontamination."""
 
+import math
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from oddgraph.llm import decontaminate, langid, licenses, toxicity
@@ -19,9 +22,56 @@ def test_language(spark, documents):
     assert kept.columns == docs.columns and kept.count() == 22
 
 
-def test_unseen_words_fall_back_to_grams():
-    m = langid.Model(["a", "b"], {}, {"^xy": [0.0, -1.0], "z": [-5.0, 0.0]})
-    assert list(m.row("xyq")) == [0.0, -1.0] and list(m.row("z")) == [-5.0, 0.0] and list(m.row("q")) == [0.0, 0.0]
+def plain_scores(train, texts):
+    """The definition of the score, word by word, over dictionaries."""
+    langs = sorted({lang for _, lang in train})
+    counts = {}
+    for text, lang in train:
+        for w in langid.words_of(text):
+            for kind, items in [(0, [w])] + [(n, langid.grams_of(w, n)) for n in range(1, langid.LONGEST + 1)]:
+                for x in items:
+                    counts.setdefault(kind, {}).setdefault(x, Counter())[lang] += 1
+    kept = {k: {x: {g: (c[g] if c[g] >= langid.LEAST_COUNT else 0) + 0.5 for g in langs} for x, c in xs.items() if max(c.values()) >= langid.LEAST_COUNT} for k, xs in counts.items()}
+    total = {k: {g: sum(c[g] for c in xs.values()) for g in langs} for k, xs in kept.items()}
+    logs = {k: {x: [math.log(c[g] / total[k][g]) for g in langs] for x, c in xs.items()} for k, xs in kept.items()}
+
+    def row(w):
+        if w in logs[0]:
+            return logs[0][w]
+        for n in range(langid.LONGEST, 0, -1):
+            if known := [logs[n][x] for x in langid.grams_of(w, n) if x in logs[n]]:
+                return [sum(x) / len(known) for x in zip(*known)]
+        return [0.0] * len(langs)
+
+    for text in texts:
+        words = langid.words_of(text)
+        if not words:
+            yield "und", 0.0
+            continue
+        sums = [sum(x) for x in zip(*map(row, words))]
+        best = sums.index(max(sums))
+        yield langs[best], 1 / sum(math.exp(x - sums[best]) for x in sums)
+
+
+def test_language_equals_plain_scoring(spark, documents):
+    rng = random.Random(8)
+    sign = {"en": "abcdefgh", "de": "abcdefuvw", "fr": "abcdéèxyz"}
+    make = lambda g, n: " ".join("".join(rng.choice(sign[g]) for _ in range(rng.randrange(1, 6))) for _ in range(n))
+    langs = [rng.choice("en de fr".split()) for _ in range(60)]
+    texts = [make(g, rng.randrange(1, 30)) for g in langs]
+    odd = [None, "", "12 !", "Q", "ÀÉÎ", texts[0], texts[0], make("fr", 5000), "q" * 5000]
+    docs = documents(texts + odd, langs + ["en"] * len(odd)).repartition(4)
+    model = langid.fit(docs, F.col("doc_id") < 60)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, model).collect()}
+    want = list(plain_scores(list(zip(texts, langs)), texts + odd))
+    assert [got[i][0] for i in range(len(want))] == [w for w, _ in want]
+    assert [got[i][1] for i in range(len(want))] == pytest.approx([x for _, x in want], abs=1e-3)
+
+
+def test_language_ties_go_to_the_first(spark, documents):
+    docs = documents(["same words here"] * 8, ["b", "a"] * 4)
+    got = langid.predict(docs, langid.fit(docs, F.lit(True))).collect()
+    assert {(r["lang_pred"], round(r["score"], 6)) for r in got} == {("a", 0.5)}
 
 
 def test_language_without_training(spark, documents):
