@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 from functools import cache
 
 from tokenizers import Tokenizer
@@ -36,40 +37,52 @@ def _byte_signs() -> dict[int, str]:
 
 
 _SIGNS = _byte_signs()
+#: Pre-tokens that a generation keeps.
+PARTS = 300_000
+
+
+class Kept(dict):
+    """Results of ``make``, kept for arguments met before. Two generations of at most ``limit``: what is
+    used again moves to the young one, so frequent arguments stay."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, x: str) -> bytes:
+        if (out := self.old.get(x)) is None:
+            out = self.make(x)
+        if len(self) >= self.limit:
+            self.old = self.copy()
+            self.clear()
+        self[x] = out
+        return out
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers. kind: "word", "byte", or "" for a
     vocabulary without a known split, which encodes every text whole."""
 
-    LIMIT = 500_000
-
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split, self.lower, self.known = _SPLIT.get(kind), kind == "word", {}
+        self.split, self.lower, self.known = _SPLIT.get(kind), kind == "word", Kept(self.merged, PARTS)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def merged(self, part: str) -> bytes:
         """Ids of one pre-token, by the library's merges alone."""
-        return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_SIGNS))]).tobytes()
+        signs = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(_SIGNS)
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        low = text.lower()
-        if self.split is None or not _PLAIN.fullmatch(text) or any(a in low for a in self.added):
+        low = text.lower() if self.lower else text
+        if self.split is None or not _PLAIN.fullmatch(text) or any(a in text.lower() for a in self.added if a[0] in text):
             return self.whole([text])[0]
-        parts = self.split.findall(low if self.lower else text)
-        fresh = set(parts).difference(self.known)
-        if fresh:
-            if len(self.known) > self.LIMIT:
-                self.known.clear()
-                fresh = set(parts)
-            self.known.update((w, self.merged(w)) for w in fresh)
-        return b"".join(map(self.known.__getitem__, parts))
+        return b"".join(map(self.known.__getitem__, self.split.findall(low)))
 
 
 @cache
