@@ -1,19 +1,23 @@
 """Packing by cutting-stock column generation.
 
-Texts are encoded and cut into pieces of the sequence length and one shorter rest. Only the histogram
-of piece lengths (at most as many rows as the sequence length) reaches the driver. There a linear
-program over patterns (how many pieces of each length share a sequence) is solved by a revised
-simplex whose columns are priced by an unbounded-knapsack dynamic program. Patterns are rounded down
-and become ranges of ranks: the pieces of one length are ranked over all documents, and a piece's
-rank gives its sequence and offset. Pieces that no pattern takes (many lengths over half a sequence
-have no partner that fills it) form a stream in rank order that is cut at the sequence length, so
-only the patterns' small slack and the last sequence are padded.
-
-Ranks are computed in salted groups (length, hash bucket), so a length that a third of all pieces
-share is split over ``BUCKETS`` groups.
-
-Defined results: a null text is empty and packs its end id alone; repeated rows are packed each;
-an empty table gives an empty result; extra columns are ignored.
+Texts are encoded and cut into pieces of the sequence length and a rest. A rest is cut once more, at its
+last multiple of a ``GRID``th of a sequence: a rest of over half a sequence rarely finds a partner that
+fills the sequence, while multiples and their small remainders do, so that patterns waste next to nothing.
+Only the histogram of piece lengths (under a hundred rows) reaches the driver. There a linear program over patterns (how
+many pieces of each length share a sequence) is solved by a revised simplex that starts from patterns
+of one length and whose columns are priced by an unbounded-knapsack dynamic program. Patterns are
+rounded down; the pieces that rounding leaves, a few for each length, get patterns of their own by
+first fit in decreasing length, and only what would pad those is a stream that is cut at the sequence length.
+So nearly all sequences are patterns, and the padding is their slack. Patterns become ranges of ranks:
+the pieces of one length are ranked over all documents, and a piece's rank gives its sequence and offset.
+
+A piece's rank is its place among those of its length in the task that cut it, kept with the piece, plus
+the counts of the tasks before; so no length, however frequent, is gathered or sorted.
+
+Defined results: a null text is empty and packs its end id alone; repeated rows, equal and null ids are
+packed each; very long texts are cut like others; an empty table gives an empty result; extra columns are
+ignored. The simplex ends at a gap of ``GAP`` or after ``MOST_PIVOTS`` pivots, whose patterns are whole
+packings too; ``waste`` tells how much of the sequences is padding and how much patterns fill.
 """
 
 from __future__ import annotations
@@ -23,30 +27,37 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddgraph.llm.common import stored
+from oddgraph.llm.common import stored, text_blocks
 from oddgraph.llm.encode import encoder
 
-LENGTH, END_ID, BUCKETS = 1024, 0, 256
-#: What cutting a piece of the stream costs, as a share of its length: patterns with less padding than this pay.
-CUT_COST = 0.01
+LENGTH, END_ID, GRID = 1024, 0, 16
+#: Patterns of the rounding rest that are filled to this share are kept.
+FULL = 0.985
 #: The simplex stops when no pattern gains more than GAP, or after so many pivots.
-GAP, MOST_PIVOTS = 1e-3, 600
+GAP, MOST_PIVOTS = 1e-3, 1500
 
 
-def priced(values: np.ndarray, lengths: np.ndarray, room: int) -> tuple[float, Counter]:
+def steps(lengths: np.ndarray, room: int) -> list[np.ndarray]:
+    """What room is left of each room by each of the lengths that fit it."""
+    return [c - lengths[: np.searchsorted(lengths, c, "right")] for c in range(room + 1)]
+
+
+def priced(values: np.ndarray, lengths: np.ndarray, room: int, left: list[np.ndarray] | None = None) -> tuple[float, Counter]:
     """Unbounded knapsack: the pattern of the highest total value that fits the room."""
-    best, last = np.zeros(room + 1), np.full(room + 1, -1)
+    best, last, left = np.zeros(room + 1), [-1] * (room + 1), left or steps(lengths, room)
     for c in range(1, room + 1):
-        k = int(np.searchsorted(lengths, c, "right"))
-        best[c] = best[c - 1]
-        if k:
-            got = best[c - lengths[:k]] + values[:k]
-            i = int(got.argmax())
-            if got[i] > best[c] + 1e-12:
-                best[c], last[c] = got[i], i
+        most = best[c - 1]
+        if len(left[c]):
+            got = best[left[c]]
+            got += values[: len(got)]
+            i = got.argmax()
+            if got[i] > most + 1e-12:
+                most, last[c] = got[i], i
+        best[c] = most
     found, c = Counter(), room
     while c > 0:
         if last[c] < 0:
@@ -58,17 +69,15 @@ def priced(values: np.ndarray, lengths: np.ndarray, room: int) -> tuple[float, C
 
 
 def linear_program(lengths: np.ndarray, demand: np.ndarray, room: int) -> tuple[list[Counter], np.ndarray]:
-    """Patterns by index into ``lengths`` and how often each is used; what they leave is streamed.
+    """Patterns by index into ``lengths`` and how often each is used, in fractions, for all of the demand.
 
-    Streaming a piece costs its share of a sequence and ``CUT_COST`` of that more; the stream columns
-    are the first basis, so every step is a feasible packing.
+    Patterns of one length are the first basis, so every step is a feasible packing.
     """
-    m, stream = len(lengths), (1 + CUT_COST) * lengths / room
-    basis: list[Counter | None] = [None] * m
-    cost, inverse, used = stream.copy(), np.eye(m), demand.astype(float)
+    m, each = len(lengths), room // lengths
+    basis = [Counter({i: int(n)}) for i, n in enumerate(each)]
+    inverse, used, left = np.diag(1.0 / each), demand / each, steps(lengths, room)
     for _ in range(MOST_PIVOTS):
-        dual = cost @ inverse
-        value, pattern = priced(dual, lengths, room)
+        value, pattern = priced(inverse.sum(axis=0), lengths, room, left)
         if value <= 1 + GAP:
             break
         column = np.zeros(m)
@@ -81,9 +90,24 @@ def linear_program(lengths: np.ndarray, demand: np.ndarray, room: int) -> tuple[
         inverse[rows] -= np.outer(along[rows], pivot)
         inverse[out] = pivot
         used = np.maximum(used - ratio[out] * along, 0)
-        used[out], basis[out], cost[out] = ratio[out], pattern, 1.0
-    kept = [i for i in range(m) if basis[i] is not None]
-    return [basis[i] for i in kept], used[kept]
+        used[out], basis[out] = ratio[out], pattern
+    return basis, used
+
+
+def first_fit(left: dict[int, int], room: int) -> list[Counter]:
+    """Sequences for the few pieces that rounding leaves, by first fit in decreasing length."""
+    found: list[tuple[int, Counter]] = []
+    for length in sorted(left, reverse=True):
+        at = 0
+        for _ in range(left[length]):
+            while at < len(found) and found[at][0] < length:
+                at += 1  # what this length does not fit is full for the next of its length too
+            if at == len(found):
+                found.append((room, Counter()))
+            space, pattern = found[at]
+            pattern[length] += 1
+            found[at] = (space - length, pattern)
+    return [p for _, p in found]
 
 
 def patterns(histogram: dict[int, int], room: int = LENGTH) -> list[tuple[dict[int, int], int]]:
@@ -93,14 +117,23 @@ def patterns(histogram: dict[int, int], room: int = LENGTH) -> list[tuple[dict[i
     if not len(lengths):
         return out
     left = np.array([histogram[int(x)] for x in lengths])
-    found, used = linear_program(lengths, left, room)
+    found, used = linear_program(lengths, left.astype(float), room)
     for pattern, x in sorted(zip(found, used), key=lambda z: -z[1]):
         times = min(int(x + 1e-6), *(int(left[i]) // n for i, n in pattern.items()))
-        if times > 0:
+        if times > 0 and sum(int(lengths[i]) * n for i, n in pattern.items()) >= FULL * room:
             for i, n in pattern.items():
                 left[i] -= times * n
             out.append(({int(lengths[i]): n for i, n in pattern.items()}, times))
-    return out
+    rest = Counter(tuple(sorted(p.items())) for p in first_fit({int(x): int(n) for x, n in zip(lengths, left) if n}, room))
+    return out + [(dict(p), times) for p, times in rest.items() if sum(x * n for x, n in p) >= FULL * room]
+
+
+def waste(histogram: dict[int, int], room: int = LENGTH) -> tuple[float, float]:
+    """Shares of the sequences' places that are padding, and of the pieces' ids that lie in patterns."""
+    plan, ids = Plan(histogram, room), sum(x * n for x, n in histogram.items())
+    streamed = sum((n - plan.taken.get(x, 0)) * x for x, n in histogram.items())
+    sequences = plan.first_stream + -(-streamed // room)
+    return 1 - ids / (sequences * room), 1 - streamed / ids
 
 
 class Plan:
@@ -138,41 +171,52 @@ class Plan:
         return [(0, cut, sequence, offset), (cut, length, sequence + 1, 0)]
 
 
+def cuts(n: int, room: int) -> list[int]:
+    """Lengths of the pieces of n ids."""
+    rest = n % room
+    small = rest % max(1, room // GRID)
+    return [room] * (n // room) + [x for x in (rest - small, small) if x]
+
+
 def pieces(docs: DataFrame, path: str, kind: str = "byte", end_id: int = END_ID, room: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode every text and cut it; written to the shared folder once."""
+    """Encode every text and cut it; written to the shared folder once. ``part`` and ``place``: the task
+    that cut the piece, and the piece's place among those of its length there."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind_of_key = docs.schema[key].dataType.simpleString()
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "part", "place"]
 
     def cut(batches):
-        encode, end = encoder(path, kind), end_id.to_bytes(4, "little")
-        for batch in batches:
-            at, start, tokens, ids = [], [], [], []
+        encode, end, part, counts = encoder(path, kind), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), Counter()
+        for batch in text_blocks(batches, limit=1 << 22):
+            at, start, length, tokens, ids, place = [], [], [], [], [], []
             for i, t in enumerate(batch["text"].to_pylist()):
-                raw = encode(t) + end
-                for a in range(0, len(raw), 4 * room):
+                raw, a = encode(t) + end, 0
+                for n in cuts(len(raw) // 4, room):
                     at.append(i)
-                    start.append(a // 4)
+                    start.append(a)
+                    length.append(n)
                     tokens.append(len(raw) // 4)
-                    ids.append(raw[a : a + 4 * room])
-            yield pa.RecordBatch.from_arrays(
-                [batch["key"].take(pa.array(at, pa.int64())), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(tokens, pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
-            )
+                    ids.append(raw[4 * a : 4 * (a + n)])
+                    place.append(counts[n])
+                    counts[n] += 1
+                    a += n
+            long = lambda x: pa.array(x, pa.int64())
+            crcs = [zlib.crc32(x) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch["key"].take(long(at)), long(start), long(length), long(crcs), long(tokens), pa.array(ids, pa.binary()), pa.array([part] * len(at), pa.int32()), long(place)], names)
 
-    return stored(rows.mapInArrow(cut, f"doc_id {kind_of_key}, start long, length long, ids_crc32 long, doc_tokens long, ids binary"), "pieces")
+    schema = f"doc_id {kind_of_key}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, part int, place long"
+    return stored(rows.mapInArrow(cut, schema), "pieces")
 
 
-def packed(cut: DataFrame, room: int = LENGTH, buckets: int = BUCKETS) -> DataFrame:
+def packed(cut: DataFrame, room: int = LENGTH) -> DataFrame:
     """sequence_id, offset and ids of every piece."""
-    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int")
-    counts = cut.groupBy("length", bucket.alias("_b")).agg(F.count("*").alias("_n"))
-    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    counts = stored(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # under GRID + room / GRID rows
     plan = Plan(histogram, room)
-    before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    within = Window.partitionBy("length", "_b").orderBy("doc_id", "start", "ids_crc32")
-    ranked = cut.withColumn("_b", bucket).withColumn("_r", F.row_number().over(within)).join(offsets, ["length", "_b"])
-    ranked = ranked.withColumn("rank", F.col("_r") + F.col("_o") - 1).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "rank")
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = cut.join(offsets.hint("shuffle_hash"), ["part", "length"]).withColumn("rank", F.col("place") + F.col("before"))
+    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "rank")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset"]
 
     def place(batches):

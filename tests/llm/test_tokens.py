@@ -103,3 +103,24 @@ def test_packing(spark, documents):
         got.sort()
         assert all(o == sum(n for _, n in got[:i]) for i, (o, _) in enumerate(got)) and sum(n for _, n in got) <= 1024
     assert packing.packed(packing.pieces(documents([]), P.path("byte_bpe_50k.json"))).count() == 0
+
+
+def test_packing_of_null_and_repeated_ids(spark, documents):
+    docs = documents(["a b c"] * 3 + [None]).withColumn("doc_id", F.when(F.col("doc_id") > 0, None).otherwise(7).cast("long"))
+    rows = packing.packed(packing.pieces(docs, P.path("byte_bpe_50k.json"))).collect()
+    assert sum(r["length"] for r in rows) == 3 * 4 + 1 and sum(r["doc_id"] == 7 for r in rows) >= 1
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+
+
+def test_patterns_hold_nearly_all_pieces():
+    """Against the bound of the linear program, which is all ids over the room: nothing can be packed tighter."""
+    rng = np.random.default_rng(4)
+    for docs, most in ((300, 0.01), (3000, 0.002)):
+        histogram = Counter(n for x in rng.lognormal(6.4, 0.9, docs).astype(int) + 1 for n in packing.cuts(int(x), 1024))
+        padding, in_patterns = packing.waste(histogram)
+        lengths = np.array(sorted(x for x in histogram if x < 1024))
+        _, used = packing.linear_program(lengths, np.array([histogram[int(x)] for x in lengths], float), 1024)
+        bound = sum(int(x) * histogram[int(x)] for x in lengths) / 1024
+        assert bound - 1e-6 <= used.sum() <= bound * 1.003
+        short = Counter({x: n for x, n in histogram.items() if x < 1024})
+        assert padding < most and in_patterns > 0.97 and packing.waste(short)[1] > 0.95
