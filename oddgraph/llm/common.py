@@ -89,24 +89,6 @@ def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
             a = b
 
 
-_MASK = (1 << 64) - 1
-
-
-class WordHash(dict):
-    """64-bit hashes of words, kept for words met before; bounded in size."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser over 64 bits, vectorised."""
     h = h.copy()

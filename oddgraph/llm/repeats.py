@@ -23,10 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddgraph.llm.common import WordHash, binary_list, discard, grams, mix, signed, stored
+from oddgraph.llm.common import binary_list, discard, grams, mix, signed, stored, text_blocks, word_hashes
 
 WINDOW, SEED = 50, 25
-_HASHES = WordHash()
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -39,12 +38,18 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - done : width - done + n])
 
 
-def anchors_and_windows(text: bytes, window: int, seed: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    words = text.split()
-    if len(words) < window:
-        return words, np.empty(0, np.uint64), np.empty(0, np.uint64)
-    hashed = _HASHES.of(words)
-    return words, sliding_min(mix(grams(hashed, seed)), window - seed + 1), grams(hashed, window)
+def anchors(column: pa.Array, window: int, seed: int) -> list[np.ndarray]:
+    """The anchor of each window of each text."""
+    hashed, at = word_hashes(column)
+    seeds, at = mix(grams(hashed, seed)), at.tolist()
+    return [sliding_min(seeds[a : max(a, b - seed + 1)], window - seed + 1) for a, b in zip(at, at[1:])]
+
+
+def windows_of(column: pa.Array, window: int) -> list[np.ndarray]:
+    """The hash of each window of each text."""
+    hashed, at = word_hashes(column)
+    whole, at = grams(hashed, window), at.tolist()
+    return [whole[a : max(a, b - window + 1)] for a, b in zip(at, at[1:])]
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -53,30 +58,29 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def seeds(batches):
-        for batch in batches:
+        for batch in text_blocks(batches):
             keys, found = [], []
-            for k, t in zip(batch["key"].to_pylist(), binary_list(batch["text"])):
-                words = t.split()
-                if len(words) >= window:
-                    a = np.unique(sliding_min(mix(grams(_HASHES.of(words), seed)), window - seed + 1))
+            for k, a in zip(batch["key"].to_pylist(), anchors(batch["text"], window, seed)):
+                if len(a):
+                    a = np.unique(a)
                     keys.append(np.full(len(a), k, np.int64))
                     found.append(a)
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(found))), pa.array(np.concatenate(keys))], ["anchor", "key"])
 
-    anchors = stored(rows.mapInArrow(seeds, "anchor long, key long"), "anchors")
-    shared = stored(anchors.groupBy("anchor").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("anchor"), "shared")
-    wanted = stored(anchors.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "wanted")
-    discard(anchors)
+    found = stored(rows.mapInArrow(seeds, "anchor long, key long"), "anchors")
+    shared = stored(found.groupBy("anchor").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("anchor"), "shared")
+    wanted = stored(found.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "wanted")
+    discard(found)
     discard(shared)
     touched = stored(rows.join(wanted, "key"), "touched")
     discard(wanted)
 
     def extend(batches):
-        for batch in batches:
+        for batch in text_blocks(batches):
             keys, found, at = [], [], []
-            for k, t, wanted in zip(batch["key"].to_pylist(), binary_list(batch["text"]), batch["anchors"].to_pylist()):
-                _, anchor, whole = anchors_and_windows(t, window, seed)
+            both = zip(anchors(batch["text"], window, seed), windows_of(batch["text"], window))
+            for k, (anchor, whole), wanted in zip(batch["key"].to_pylist(), both, batch["anchors"].to_pylist()):
                 anchor = signed(anchor)
                 mine = np.isin(anchor, np.array(wanted, np.int64))
                 w, first = np.unique(whole[mine], return_index=True)
@@ -95,10 +99,10 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     discard(least)
 
     def cut(batches):
-        for batch in batches:
+        for batch in text_blocks(batches):
             out = []
-            for k, h, t, repeated in zip(batch["key"].to_pylist(), batch["text_hash"].to_pylist(), binary_list(batch["text"]), batch["repeated"].to_pylist()):
-                words, _, whole = anchors_and_windows(t, window, seed)
+            for k, h, t, whole, repeated in zip(batch["key"].to_pylist(), batch["text_hash"].to_pylist(), binary_list(batch["text"]), windows_of(batch["text"], window), batch["repeated"].to_pylist()):
+                words = t.split()
                 starts = np.flatnonzero(np.isin(signed(whole), np.array(repeated, np.int64)))
                 if not len(starts):
                     continue
@@ -122,13 +126,14 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     Texts that lose nothing stay as they are; a text that loses every word goes.
     """
-    lost = removals(docs, key, text, window).select(F.col("key").alias("_k"), F.col("text_hash").alias("_h"), F.col("kept").alias("_kept"))
-    hit = stored(lost, "kept")
-    joined = docs.join(hit, (docs[key] == hit["_k"]) & (F.xxhash64(docs[text]) == hit["_h"]), "left").where(F.col("_kept").isNull() | (F.col("_kept") != ""))
-    chosen = {text: F.coalesce("_kept", docs[text])}
+    k, h, cut = "__oddgraph_key", "__oddgraph_text", "__oddgraph_cut"
+    hit = stored(removals(docs.select(key, text), key, text, window).select(F.col("key").alias(k), F.col("text_hash").alias(h), F.col("kept").alias(cut)), "kept")
+    marked = docs.withColumns({k: F.col(key).cast("long"), h: F.xxhash64(text)})
+    joined = marked.join(hit, [k, h], "left").where(F.col(cut).isNull() | (F.col(cut) != ""))
+    chosen = {text: F.coalesce(cut, text)}
     if "n_chars" in docs.columns:
-        chosen["n_chars"] = F.when(F.col("_kept").isNull(), docs["n_chars"]).otherwise(F.char_length("_kept")).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[chosen.get(c, docs[c]).alias(c) for c in docs.columns])
+        chosen["n_chars"] = F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.char_length(cut)).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[chosen.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
