@@ -83,7 +83,7 @@ class Model:
 class Scorer:
     """Scores texts; the rows of words met before are kept in a table of bounded size."""
 
-    LIMIT = 100_000
+    LIMIT = 200_000
 
     def __init__(self, model: Model):
         self.model, self.width = model, len(model.languages)
