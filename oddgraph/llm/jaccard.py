@@ -45,7 +45,7 @@ from oddgraph.llm.common import discard, grams, mix, signed, stored, text_blocks
 from oddgraph.llm.components import components
 
 SHINGLE, NUM, DEN = 4, 85, 100
-POOL, LEAF, GROWTH = 1.7, 24, 16
+POOL, LEAF, FIRST, GROWTH = 1.7, 24, 4, 16
 #: Entries of a chunk of one task, and of a slice of the hash space (its share of all chunks).
 CHUNK, SLICE = 1 << 19, 1 << 18
 
@@ -225,11 +225,10 @@ def _links_of(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 def _by_documents(regions: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Components (node, label) of the links within the large regions (region, sid, n), found by pivot
     documents, and of ``links``, known before."""
-    radius, level = 1 - num / den, 0
+    radius, level, known = 1 - num / den, 0, components(links)
     while True:
-        known = components(links)
         named = regions.join(known.withColumnRenamed("node", "sid"), "sid", "left").select("region", "sid", "n", F.coalesce("label", "sid").alias("label"))
-        # Pivots: about GROWTH**level members of each region, none of its largest connected part, by a draw
+        # Pivots: about FIRST * GROWTH**level members of each region, none of its largest connected part, by a draw
         # that is the same in all regions. When all others have been pivots, one part is left.
         parts = named.groupBy("region", "label").agg(F.count("*").alias("m"))
         live = parts.groupBy("region").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
@@ -240,13 +239,15 @@ def _by_documents(regions: DataFrame, links: DataFrame, sets: DataFrame, num: in
         others = named.where("label <> top")
         firsts = others.groupBy("region").agg(F.min(F.struct(draw.alias("h"), "sid")).alias("p")).select("region", F.col("p.sid").alias("first"))
         share = (draw.cast("double") / 2.0**64 + 0.5) * F.col("m")
-        pivots = others.join(firsts, "region").where((F.col("sid") == F.col("first")) | ((share < GROWTH**level) & (F.lit(level) > 0)))
+        pivots = others.join(firsts, "region").where((F.col("sid") == F.col("first")) | (share < FIRST * GROWTH**level))
         pivots = stored(pivots.select("region", F.col("sid").alias("pivot"), F.col("n").alias("np"), F.col("label").alias("lp")), "pivots")
         placed = named.join(pivots, "region").where("label <> lp")
         alike = den * F.least("n", "np") >= num * F.greatest("n", "np")
         pairs = placed.where(alike).select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
         measured = _verify(pairs, sets, num, den)
-        links = stored(links.union(measured.where("linked").select("a", "b")), "links")
+        if not measured.where("linked").isEmpty():
+            links = stored(links.union(measured.where("linked").select("a", "b")), "links")
+            known = components(links)
         both = placed.withColumns({"a": F.least("sid", "pivot"), "b": F.greatest("sid", "pivot")}).join(measured, ["a", "b"], "left")
         both = both.select("region", "sid", "pivot", F.coalesce("d", 1 - F.least("n", "np") / F.greatest("n", "np")).alias("d"), F.coalesce("linked", F.lit(False)).alias("linked"))
         both = stored(both, "placed")
