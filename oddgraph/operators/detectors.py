@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from oddgraph.functions import exprs as X
 from oddgraph.operators import neighbours as N
-from oddgraph.operators.features import prototypes
+from oddgraph.operators.features import gram_rows, prototypes
 
 
 def _one_row(centres: DataFrame) -> DataFrame:
@@ -61,15 +64,11 @@ def support_and_codes(query: DataFrame, support: DataFrame, codes: DataFrame, sc
 
 def dominant_error(e: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """|z_i Z^T - a_i| per node from one width x width aggregate and an edge join, without N x N."""
-    f = F.col("f")
-    g = nodes.agg(F.array(*[F.sum(f[i] * f[j]) for i in range(width) for j in range(width)]).alias("gram"))  # one row
+    rows = gram_rows(nodes, width)  # width rows
+    g = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda r: r["row"]).alias("gram"))
     got = N.both_ends(e, nodes).groupBy(F.col("src").alias("id")).agg(F.sum(F.col("w") * X.dot("fs", "fd")).alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"))
     x = nodes.join(got, "id", "left").na.fill(0.0, ["s", "q"]).crossJoin(F.broadcast(g))
-    quad = None
-    for i in range(width):
-        for j in range(width):
-            term = f[i] * f[j] * F.col("gram")[i * width + j]
-            quad = term if quad is None else quad + term
+    quad = X.dot("f", F.transform("gram", lambda row: X.dot("f", row)))
     return x.select("id", F.sqrt(F.greatest(quad - 2 * F.col("s") + F.col("q"), F.lit(0.0))).alias("structure"))
 
 
@@ -88,21 +87,10 @@ def js_distance(p: DataFrame, q: DataFrame) -> DataFrame:
     return x.agg(F.sqrt(F.greatest(F.sum(part("p")) / 2 + F.sum(part("q")) / 2, F.lit(0.0))).alias("js"))
 
 
-def structure_bce(e: DataFrame, nodes: DataFrame, blocks: int = 8) -> DataFrame:
-    """Mean over all ordered pairs of BCE(logit z_i . z_j, a_ij) = softplus(l) - a l, for small graphs:
-    the softplus part runs over block pairs, the edge part over the edges."""
-    import numpy as np
-    import pyarrow as pa
-
-    dealt = nodes.select("id", "f", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    pairs = dealt.select("f", F.col("b").alias("i"), every.alias("j"), F.lit(True).alias("left")).union(dealt.select("f", every.alias("i"), F.col("b").alias("j"), F.lit(False)))
-
-    def total(group: pa.Table) -> pa.Table:
-        left, f = group["left"].to_numpy(), np.array(group["f"].to_pylist())
-        return pa.table({"s": [float(np.logaddexp(0, f[left] @ f[~left].T).sum()) if left.any() and not left.all() else 0.0]})
-
-    soft = pairs.groupBy("i", "j").applyInArrow(total, "s double").agg(F.sum("s").alias("soft"))
+def structure_bce(e: DataFrame, nodes: DataFrame, block: int = 2048) -> DataFrame:
+    """Mean over all ordered pairs of BCE(logit z_i . z_j, a_ij) = softplus(l) - a l: the softplus part runs
+    over pairs of blocks of about ``block`` nodes, the edge part over the edges."""
+    soft = pair_sums(nodes, "f", "f", lambda s: np.logaddexp(0, s), block).agg(F.sum("t").alias("soft"))
     edge = N.both_ends(e, nodes).agg(F.sum(F.col("w") * X.dot("fs", "fd")).alias("edge"))
     n = nodes.agg(F.count("*").cast("double").alias("n"))
     return soft.crossJoin(edge).crossJoin(n).select(((F.col("soft") - F.coalesce("edge", F.lit(0.0))) / (F.col("n") * F.col("n"))).alias("loss"))
@@ -121,10 +109,9 @@ def margin_loss(pairs: DataFrame, margin: float = 0.0) -> DataFrame:
     return pairs.agg(F.avg(F.when(F.col("y") == 0, 1 - F.col("c")).otherwise(F.greatest(F.lit(0.0), F.col("c") - margin))).alias("loss"))
 
 
-def exp_sums(nodes: DataFrame, left: str, right: str, tau: float = 1.0, block: int = 2048) -> DataFrame:
-    """(id, t): the sum over all nodes j of exp(left . right_j / tau). Nodes are dealt into blocks; every
-    pair of blocks is one matrix product in one task of bounded size."""
-    import numpy as np
+def pair_sums(nodes: DataFrame, left: str, right: str, of: Callable[[np.ndarray], np.ndarray], block: int = 2048) -> DataFrame:
+    """(id, t): the sum over all nodes j of of(left . right_j). Nodes are dealt into blocks; every pair of
+    blocks is one matrix product in one task of bounded size."""
     import pyarrow as pa
 
     blocks = max(1, -(-nodes.count() // block))
@@ -134,12 +121,17 @@ def exp_sums(nodes: DataFrame, left: str, right: str, tau: float = 1.0, block: i
 
     def total(group: pa.Table) -> pa.Table:
         query, v = group["query"].to_numpy(), np.array(group["v"].to_pylist())
-        t = np.exp(v[query] @ v[~query].T / tau).sum(axis=1) if query.any() and not query.all() else np.zeros(query.sum())
+        t = of(v[query] @ v[~query].T).sum(axis=1) if query.any() and not query.all() else np.zeros(query.sum())
         return pa.table({"id": group["id"].to_numpy()[query], "t": t})
 
     return pairs.groupBy("i", "j").applyInArrow(total, "id long, t double").groupBy("id").agg(F.sum("t").alias("t"))
 
 
+def exp_sums(nodes: DataFrame, left: str, right: str, tau: float = 1.0, block: int = 2048) -> DataFrame:
+    """(id, t): the sum over all nodes j of exp(left . right_j / tau)."""
+    return pair_sums(nodes, left, right, lambda s: np.exp(s / tau), block)
+
+
 def contrast_loss(e: DataFrame, nodes: DataFrame, batch: int = 1000, tau: float = 1.0) -> DataFrame:
     """Mean of means over logical blocks of -log(positives / all) of exp(cos / tau): the positives are the
     pairs of e, the denominator runs over all nodes; blocks of consecutive ids only average."""

@@ -33,12 +33,32 @@ def row_normalised(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("f", F.transform("f", lambda x: F.when(total != 0, x / total).otherwise(0.0)))
 
 
+def gram_rows(nodes: DataFrame, width: int) -> DataFrame:
+    """(i, row): the rows of X transposed X. Each task adds up one width x width product over its batches,
+    so ``width`` rows a task are shuffled."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def products(batches):
+        g = np.zeros((width, width))
+        for batch in batches:
+            x = pc.list_flatten(batch["f"]).to_numpy(zero_copy_only=False).reshape(-1, width)
+            g += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(list(g))], ["i", "row"])
+
+    rows = nodes.where("f is not null").select("f").mapInArrow(products, "i int, row array<double>")
+    return rows.groupBy("i").agg(X.sum_vectors("row", width).alias("row"))
+
+
 def gram(nodes: DataFrame, width: int) -> DataFrame:
-    """(i, j, v) of X transposed X, i <= j: one aggregate, combined before the shuffle."""
-    f = F.col("f")
-    pairs = [(i, j) for i in range(width) for j in range(i, width)]
-    one = nodes.agg(*[F.sum(f[i] * f[j]).alias(f"g{i}_{j}") for i, j in pairs])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"g{i}_{j}").alias("v")) for i, j in pairs])).alias("g")).select("g.*")
+    """(i, j, v) of X transposed X, i <= j."""
+    return gram_rows(nodes, width).select("i", F.posexplode("row").alias("j", "v")).where("i <= j")
+
+
+def projected(nodes: DataFrame, m: np.ndarray) -> DataFrame:
+    """f times a fixed matrix, which is one row of columns."""
+    one = nodes.sparkSession.createDataFrame([([[float(x) for x in c] for c in m.T],)], "_m array<array<double>>")
+    return nodes.crossJoin(F.broadcast(one)).withColumn("f", F.transform("_m", lambda c: X.dot("f", c))).drop("_m")
 
 
 def svd_align(nodes: DataFrame, width: int, rank: int) -> DataFrame:
@@ -50,15 +70,12 @@ def svd_align(nodes: DataFrame, width: int, rank: int) -> DataFrame:
     _, v = np.linalg.eigh(g)
     v = v[:, ::-1][:, :rank]
     v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
-    f = F.col("f")
-    return nodes.withColumn("f", F.array(*[sum((f[i] * float(v[i, k]) for i in range(1, width)), f[0] * float(v[0, k])) for k in range(v.shape[1])]))
+    return projected(nodes, v)
 
 
 def random_projection(nodes: DataFrame, width: int, to: int, seed: int = 0) -> DataFrame:
     """Gaussian projection to more or fewer columns with a fixed matrix."""
-    m = np.random.default_rng(seed).standard_normal((width, to)) / np.sqrt(to)
-    f = F.col("f")
-    return nodes.withColumn("f", F.array(*[sum((f[i] * float(m[i, k]) for i in range(1, width)), f[0] * float(m[0, k])) for k in range(to)]))
+    return projected(nodes, np.random.default_rng(seed).standard_normal((width, to)) / np.sqrt(to))
 
 
 def sign_rule(nodes: DataFrame, width: int) -> DataFrame:

@@ -127,16 +127,22 @@ def structural_fingerprint(local: DataFrame, e: DataFrame, names: list[str]) ->
 
 
 def diversity(e: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """Population variance of the pairwise cosines among a node's neighbours, by moments: per node the
-    sum and the outer-product sum of unit vectors, never a pair of neighbours."""
-    x = e.select("src", "dst").join(nodes.select(F.col("id").alias("dst"), "u"), "dst")
-    u = F.col("u")
-    got = x.groupBy(F.col("src").alias("id")).agg(
-        F.count("*").cast("double").alias("n"), X.sum_vectors("u", width).alias("sums"), F.array(*[F.sum(u[i] * u[j]) for i in range(width) for j in range(width)]).alias("outer")
-    )
-    p = F.col("n") * (F.col("n") - 1) / 2
-    mean, second = (X.dot("sums", "sums") - F.col("n")) / (2 * p), (X.dot("outer", "outer") - F.col("n")) / (2 * p)
-    got = got.select("id", F.when(F.col("n") >= 2, F.greatest(second - mean * mean, F.lit(0.0))).otherwise(0.0).alias("m"))
+    """Population variance of the pairwise cosines among a node's neighbours, by the sums S of the unit
+    vectors and of the squared cosines. Up to ``width`` neighbours the squares come from the list of their
+    vectors, beyond that from the rows of the outer-product sum, so no list grows with a hub."""
+    k = e.groupBy("src").agg(F.count("*").alias("k"))
+    x = e.select("src", "dst").join(k, "src").join(nodes.select(F.col("id").alias("dst"), "u"), "dst")
+    few = x.where(F.col("k") <= width).groupBy("src").agg(F.count("*").alias("n"), F.collect_list("u").alias("us"))
+    one = lambda a: F.aggregate("us", F.lit(0.0), lambda s, b: s + a(b))
+    first = F.aggregate("us", F.lit(0.0), lambda s, a: s + one(lambda b: X.dot(a, b)))
+    square = F.aggregate("us", F.lit(0.0), lambda s, a: s + one(lambda b: X.dot(a, b) * X.dot(a, b)))
+    few = few.select("src", "n", first.alias("a"), square.alias("b"))
+    row = x.where(F.col("k") > width).select("src", F.posexplode("u").alias("i", "ui"), "u")
+    row = row.groupBy("src", "i").agg(F.count("*").alias("n"), F.sum("ui").alias("s"), X.sum_vectors("u", width, F.col("ui")).alias("o"))
+    many = row.groupBy("src").agg(F.first("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("a"), F.sum(X.dot("o", "o")).alias("b"))
+    n, p = F.col("n"), F.col("n") * (F.col("n") - 1.0)
+    mean, second = (F.col("a") - n) / p, (F.col("b") - n) / p
+    got = few.union(many).select(F.col("src").alias("id"), F.when(n >= 2, F.greatest(second - mean * mean, F.lit(0.0))).otherwise(0.0).alias("m"))
     return nodes.select("id").join(got, "id", "left").na.fill(0.0)
 
 

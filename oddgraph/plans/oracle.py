@@ -22,12 +22,11 @@ _REL = {
     "det": "SELECT method, 'real' AS src_type, 'real' AS tgt_type, target, mode, round(avg(auroc), 4) AS auroc_mean, round(stddev_pop(auroc), 4) AS auroc_std, count(auroc) AS n FROM res GROUP BY 1, 4, 5",
     "delta": "SELECT method, src_type, tgt_type, target, max(CASE WHEN mode = 'single' THEN auroc_mean END) AS single_auroc, max(CASE WHEN mode = 'multi' THEN auroc_mean END) AS multi_auroc, round(max(CASE WHEN mode = 'multi' THEN auroc_mean END) - max(CASE WHEN mode = 'single' THEN auroc_mean END), 4) AS delta FROM det WHERE NOT (target = 't3' AND mode = 'multi') GROUP BY 1, 2, 3, 4",
     "sweep": "SELECT event_type AS context_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 5 END AS shot, event_id % 3 AS seed, 't' || (user_id % 6) AS target, min(CASE WHEN user_id % 6 = 4 AND event_id % 2 = 1 THEN 'skipped' WHEN user_id % 6 = 5 AND event_id % 3 = 0 THEN 'failed' ELSE 'ok' END) AS status, avg(1 / (1 + exp(-value / 100))) AS auroc FROM events GROUP BY 1, 2, 3, 4",
-    "v8": "SELECT id, y, f[1:8] AS f FROM vec",
-    "sup": "SELECT * FROM (SELECT * FROM v8 WHERE y = 0 ORDER BY id LIMIT 10) UNION ALL SELECT * FROM (SELECT * FROM v8 WHERE y = 1 ORDER BY id LIMIT 10)",
-    "ctr": "SELECT k.j, c.y, avg(s.f[k.j]) AS c FROM (SELECT unnest(range(1, 9)) AS j) k, (VALUES (0), (1)) c(y) LEFT JOIN sup s ON s.y = c.y GROUP BY 1, 2",
+    "sup": "SELECT * FROM (SELECT * FROM vec WHERE y = 0 ORDER BY id LIMIT 10) UNION ALL SELECT * FROM (SELECT * FROM vec WHERE y = 1 ORDER BY id LIMIT 10)",
+    "ctr": "SELECT k.j, c.y, avg(s.f[k.j]) AS c FROM (SELECT unnest(range(1, 65)) AS j) k, (VALUES (0), (1)) c(y) LEFT JOIN sup s ON s.y = c.y GROUP BY 1, 2",
     "cc": "SELECT list(coalesce(a.c, 0) ORDER BY a.j) AS c0, list(coalesce(b.c, 0) ORDER BY a.j) AS c1 FROM ctr a JOIN ctr b USING (j) WHERE a.y = 0 AND b.y = 1",
 }
-_NEED = {"knn": ["vec"], "und": ["knn"], "unw": ["knn"], "ps": ["half"], "psl": ["ps", "psn"], "pb": ["ps"], "aff": ["und"], "sc": ["aff"], "cnt": ["sc"], "det": ["res"], "delta": ["det"], "v8": ["vec"], "sup": ["v8"], "ctr": ["sup"], "cc": ["ctr"]}
+_NEED = {"knn": ["vec"], "und": ["knn"], "unw": ["knn"], "ps": ["half"], "psl": ["ps", "psn"], "pb": ["ps"], "aff": ["und"], "sc": ["aff"], "cnt": ["sc"], "det": ["res"], "delta": ["det"], "sup": ["vec"], "ctr": ["sup"], "cc": ["ctr"]}
 
 
 def _with(need: str, body: str, **more: str) -> str:
@@ -56,10 +55,10 @@ def _sum2(end: str, other: str, edge: str, x: str, weight: str = "e.w") -> str:
     return f"SELECT x.id, [coalesce(g.a, 0), coalesce(g.b, 0)] AS f FROM {x} x LEFT JOIN (SELECT e.{end} AS id, sum({weight} * x.f[1]) AS a, sum({weight} * x.f[2]) AS b FROM {edge} e JOIN {x} x ON x.id = e.{other} GROUP BY 1) g USING (id)"
 
 
-def _sum4(end: str, other: str, edge: str, x: str) -> str:
-    cols = ", ".join(f"sum(e.w * x.f[{i}]) AS c{i}" for i in range(1, 5))
-    out = ", ".join(f"coalesce(g.c{i}, 0)" for i in range(1, 5))
-    return f"SELECT x.id, [{out}] AS f FROM {x} x LEFT JOIN (SELECT e.{end} AS id, {cols} FROM {edge} e JOIN {x} x ON x.id = e.{other} GROUP BY 1) g USING (id)"
+def _sumw(end: str, other: str, edge: str, x: str) -> str:
+    """The same for whole vectors."""
+    one = f"SELECT e.{end} AS id, k.j, sum(e.w * x.f[k.j]) AS c FROM {edge} e JOIN {x} x ON x.id = e.{other}, (SELECT unnest(range(1, 65)) AS j) k GROUP BY 1, 2"
+    return f"SELECT x.id, coalesce(g.f, list_transform(x.f, lambda v: 0.0)) AS f FROM {x} x LEFT JOIN (SELECT id, list(c ORDER BY j) AS f FROM ({one}) GROUP BY 1) g USING (id)"
 
 
 def _summed(edges: str) -> str:
@@ -108,7 +107,7 @@ def _cos(a: str, b: str) -> str:
     return f"(list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b}))))"
 
 
-_MM16 = "SELECT v.id, k.j, CASE WHEN b.hi > b.lo THEN (v.f[k.j] - b.lo) / (b.hi - b.lo) ELSE 0 END AS x FROM vec v, (SELECT unnest(range(1, 17)) AS j) k JOIN (SELECT j, min(f[j]) AS lo, max(f[j]) AS hi FROM vec, (SELECT unnest(range(1, 17)) AS j) GROUP BY 1) b USING (j)"
+_MM = "SELECT v.id, k.j, CASE WHEN b.hi > b.lo THEN (v.f[k.j] - b.lo) / (b.hi - b.lo) ELSE 0 END AS x FROM vec v, (SELECT unnest(range(1, 65)) AS j) k JOIN (SELECT j, min(f[j]) AS lo, max(f[j]) AS hi FROM vec, (SELECT unnest(range(1, 65)) AS j) GROUP BY 1) b USING (j)"
 _SMOOTH = "SELECT (a.j - 1)::INT AS j, avg((a.x - b.x) * (a.x - b.x)) AS smooth FROM und e JOIN mm a ON a.id = e.src JOIN mm b ON b.id = e.dst AND b.j = a.j GROUP BY 1"
 _LOOPED = "SELECT src, dst, w FROM psl WHERE src <> dst UNION ALL SELECT id, id, 1.0 FROM psn"
 _RAWLOOP = "SELECT src, dst, sum(w) AS w FROM (SELECT * FROM psl UNION ALL SELECT id, id, 1.0 FROM psn) GROUP BY 1, 2"
@@ -166,16 +165,14 @@ for _i in range(1, 6):
     _PAGE[f"p{_i}"] = f"SELECT id, n, 0.15 / n + 0.85 * (g + (SELECT 1 - sum(g) FROM g{_i}) / n) AS p FROM g{_i}"
 _POOL = "(SELECT id, y FROM doc WHERE mark)"
 _DIV = {
-    "w8": "SELECT id, list_transform(f[1:8], lambda x: x / sqrt(list_inner_product(f[1:8], f[1:8]))) AS u FROM vec",
-    "pc": "SELECT a.src AS id, list_inner_product(x.u, z.u) AS c FROM knn a JOIN knn b ON b.src = a.src AND a.dst < b.dst JOIN w8 x ON x.id = a.dst JOIN w8 z ON z.id = b.dst",
+    "pc": "SELECT a.src AS id, list_inner_product(x.u, z.u) AS c FROM knn a JOIN knn b ON b.src = a.src AND a.dst < b.dst JOIN vec x ON x.id = a.dst JOIN vec z ON z.id = b.dst",
 }
 _TPCA = {
-    "v4": "SELECT id, f[1:4] AS f FROM vec",
-    "cp": f"SELECT e.src AS id, exp(-pow({_L2}, 2)) AS c, b.f FROM {_ends('knn', 'v4')}",
-    "ag": "SELECT id, [" + ", ".join(f"sum(c * f[{i}]) / sum(c)" for i in range(1, 5)) + "] AS m, avg(c) AS c FROM cp GROUP BY 1",
-    "ts": f"SELECT v.id, 1 - a.c AS topology, {_dist('v.f', 'a.m')} AS drift FROM v4 v JOIN ag a USING (id)",
+    "cp": f"SELECT e.src AS id, exp(-pow({_L2}, 2)) AS c, b.f FROM {_ends('knn', 'vec')}",
+    "ag": "SELECT id, [" + ", ".join(f"sum(c * f[{i}]) / sum(c)" for i in range(1, 65)) + "] AS m, avg(c) AS c FROM cp GROUP BY 1",
+    "ts": f"SELECT v.id, 1 - a.c AS topology, {_dist('v.f', 'a.m')} AS drift FROM vec v JOIN ag a USING (id)",
 }
-_CODES = {"codes": "SELECT id AS code, f AS c FROM v8 WHERE id < 20"}
+_CODES = {"codes": "SELECT id AS code, f AS c FROM vec WHERE id < 20"}
 _NEAR = "SELECT id, code, c, s FROM (SELECT v.id, k.code, k.c, list_inner_product(v.f, k.c) AS s, row_number() OVER (PARTITION BY v.id ORDER BY round(list_inner_product(v.f, k.c), 12) DESC, k.code) AS r FROM {x} v, codes k) WHERE r = 1"
 _TRUNC = {
     "ed": f"SELECT e.src, e.dst, {_L2} AS dist FROM {_ends('und')}",
@@ -230,12 +227,12 @@ ORACLE: dict[str, str] = {
     ),
     "norm_difference": _with("knn", f"SELECT src, dst, round(w, 6) AS w FROM ({_sym_t('knn')})"),
     "spmm": _with("ps psn", _long("y", "f"), y=_sum2("src", "dst", "ps", "psn")),
-    "spmm_transpose": _with("knn", _long("y", "f"), v4="SELECT id, f[1:4] AS f FROM vec", y=_sum4("dst", "src", "knn", "v4")),
+    "spmm_transpose": _with("knn", _long("y", "f"), y=_sumw("dst", "src", "knn", "vec")),
     "propagate_2hop": _with("pb psn", _long("hops", "h0", "h1", "h2"), **_PROP),
     "propagate_no_loop": _with(
-        "und", _long("hops", "h0", "h1", "h2"), v4="SELECT id, f[1:4] AS f FROM vec", dg="SELECT src AS id, sum(w) AS d FROM und GROUP BY 1",
-        an="SELECT e.src, e.dst, e.w * pow(a.d, -0.5) * pow(b.d, -0.5) AS w FROM und e JOIN dg a ON a.id = e.src JOIN dg b ON b.id = e.dst", x1=_sum4("dst", "src", "an", "v4"), x2=_sum4("dst", "src", "an", "x1"),
-        hops="SELECT a.id, a.f AS h0, b.f AS h1, c.f AS h2 FROM v4 a JOIN x1 b USING (id) JOIN x2 c USING (id)",
+        "und", _long("hops", "h0", "h1", "h2"), dg="SELECT src AS id, sum(w) AS d FROM und GROUP BY 1",
+        an="SELECT e.src, e.dst, e.w * pow(a.d, -0.5) * pow(b.d, -0.5) AS w FROM und e JOIN dg a ON a.id = e.src JOIN dg b ON b.id = e.dst", x1=_sumw("dst", "src", "an", "vec"), x2=_sumw("dst", "src", "an", "x1"),
+        hops="SELECT a.id, a.f AS h0, b.f AS h1, c.f AS h2 FROM vec a JOIN x1 b USING (id) JOIN x2 c USING (id)",
     ),
     "laplacian_powers": _with("ps psn", _long("hops", "h0", "h1", "h2"), **_LAP),
     "beta_wavelet": _with("ps psn", _long("wv", "b0", "b1", "b2"), **_LAP, wv=_HOPB),
@@ -254,8 +251,8 @@ ORACLE: dict[str, str] = {
         raw=f"SELECT e.src AS id, avg({_L2}) AS l2, avg({_L1}) AS l1, avg({_COS}) AS cos FROM {_ends('knn')} GROUP BY 1",
         sc2="SELECT id, " + ", ".join(f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER () + 1e-8) AS {c}" for c in ("l2", "l1", "cos")) + " FROM raw", sc3="SELECT *, l2 + l1 + cos AS t FROM sc2",
     ),
-    "smoothness_order": _with("und", "SELECT j, round(smooth, 6) AS smooth, (row_number() OVER (ORDER BY round(smooth, 9), j) - 1)::INT AS place FROM sm", mm=_MM16, sm=_SMOOTH),
-    "smoothness_composite": _with("und", "SELECT j, round(0.5 * smooth + 0.5 * v, 6) AS score FROM sm JOIN (SELECT (j - 1)::INT AS j, var_pop(x) AS v FROM mm GROUP BY 1) USING (j)", mm=_MM16, sm=_SMOOTH),
+    "smoothness_order": _with("und", "SELECT j, round(smooth, 6) AS smooth, (row_number() OVER (ORDER BY round(smooth, 9), j) - 1)::INT AS place FROM sm", mm=_MM, sm=_SMOOTH),
+    "smoothness_composite": _with("und", "SELECT j, round(0.5 * smooth + 0.5 * v, 6) AS score FROM sm JOIN (SELECT (j - 1)::INT AS j, var_pop(x) AS v FROM mm GROUP BY 1) USING (j)", mm=_MM, sm=_SMOOTH),
     "edge_distance": _with("knn", "SELECT src, dst, round(dist, 6) AS dist, round((SELECT avg(dist) FROM ed WHERE dist <> 0), 6) AS mean_dist FROM ed", ed=f"SELECT e.src, e.dst, {_L2} AS dist FROM {_ends('knn')}"),
     "lookup_edges": _with("knn", "SELECT p.src, p.dst, round(coalesce(k.w, 0), 6) AS w FROM (SELECT id AS src, (id * 7 + 3) % 50 AS dst FROM vec UNION SELECT src, dst FROM knn WHERE src % 10 = 0) p LEFT JOIN knn k USING (src, dst)"),
     "clustering_coeff": _with("und", "SELECT id, round(degree, 6) AS degree, round(clustering, 6) AS clustering FROM loc", **_TRI),
@@ -270,35 +267,35 @@ ORACLE: dict[str, str] = {
     "batch_norm": _with("psn", _long("y", "f"), y=f"SELECT id, [(f[1] - m1) / sqrt(s1 * s1 + 1e-5), (f[2] - m2) / sqrt(s2 * s2 + 1e-5)] AS f FROM psn, ({_MOM})"),
     "center": _with("psn", _long("y", "f"), y=f"SELECT id, [f[1] - m1, f[2] - m2] AS f FROM psn, ({_MOM})"),
     "minmax": _with("psn", _long("y", "f"), y=f"SELECT id, [(f[1] - a1) / (b1 - a1), (f[2] - a2) / (b2 - a2)] AS f FROM psn, ({_MOM})"),
-    "row_normalize": _with("vec", _long("y", "f", "g"), y="SELECT id, list_transform(a, lambda x: x / list_sum(a)) AS f, list_transform(a, lambda x: x / sqrt(list_inner_product(a, a))) AS g FROM (SELECT id, list_transform(f[1:4], lambda x: abs(x)) AS a FROM vec)"),
-    "gram_matrix": _with("v8", "SELECT (i - 1)::INT AS i, (j - 1)::INT AS j, round(sum(f[i] * f[j]), 6) AS v FROM v8, (SELECT unnest(range(1, 9)) AS i), (SELECT unnest(range(1, 9)) AS j) WHERE i <= j GROUP BY 1, 2"),
-    "sign_rule": _with("v8", "SELECT v.id, 0::INT AS hop, (k.j - 1)::INT AS j, round(CASE WHEN t.s < 0 THEN -v.f[k.j] ELSE v.f[k.j] END, 6) AS v FROM v8 v, (SELECT unnest(range(1, 9)) AS j) k JOIN (SELECT j, first(f[j] ORDER BY abs(f[j]) DESC, id) AS s FROM v8, (SELECT unnest(range(1, 9)) AS j) GROUP BY 1) t USING (j)"),
-    "svd_gram_energy": _with("v8", "SELECT round(sum(list_inner_product(f, f)), 6) AS energy, count(*) AS n FROM v8"),
+    "row_normalize": _with("vec", _long("y", "f", "g"), y="SELECT id, list_transform(a, lambda x: x / list_sum(a)) AS f, list_transform(a, lambda x: x / sqrt(list_inner_product(a, a))) AS g FROM (SELECT id, list_transform(f, lambda x: abs(x)) AS a FROM vec)"),
+    "gram_matrix": _with("vec", "SELECT (i - 1)::INT AS i, (j - 1)::INT AS j, round(sum(f[i] * f[j]), 6) AS v FROM vec, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 65)) AS j) WHERE i <= j GROUP BY 1, 2"),
+    "sign_rule": _with("vec", "SELECT v.id, 0::INT AS hop, (k.j - 1)::INT AS j, round(CASE WHEN t.s < 0 THEN -v.f[k.j] ELSE v.f[k.j] END, 6) AS v FROM vec v, (SELECT unnest(range(1, 65)) AS j) k JOIN (SELECT j, first(f[j] ORDER BY abs(f[j]) DESC, id) AS s FROM vec, (SELECT unnest(range(1, 65)) AS j) GROUP BY 1) t USING (j)"),
+    "svd_gram_energy": _with("vec", "SELECT round(sum(list_inner_product(f, f)), 6) AS energy, count(*) AS n, 0.0::DOUBLE AS off_diagonal FROM vec"),
     "class_weight": _with("doc", "SELECT count(*) FILTER (y = 0) AS normal, count(*) FILTER (y = 1) AS anomaly, round(count(*) FILTER (y = 0) / count(*) FILTER (y = 1)::DOUBLE, 6) AS weight FROM doc WHERE mark"),
     "prototypes": _with("ctr", "SELECT y AS id, 0::INT AS hop, (j - 1)::INT AS j, round(coalesce(c, 0), 6) AS v FROM ctr"),
-    "prototype_softmax": _with("cc", f"SELECT id, round(1 / (1 + exp({_cos('f', 'c0')} - {_cos('f', 'c1')})), 6) AS score, round({_cos('f', 'c1')} - {_cos('f', 'c0')}, 6) AS log_odds FROM v8, cc"),
-    "centroid_distance": _with("cc", f"SELECT id, round(1 / (1 + exp((b - a) / sqrt(a * a + b * b))), 6) AS score FROM (SELECT id, pow({_dist('f', 'c0')}, 2) AS a, pow({_dist('f', 'c1')}, 2) AS b FROM v8, cc)"),
+    "prototype_softmax": _with("cc", f"SELECT id, round(1 / (1 + exp({_cos('f', 'c0')} - {_cos('f', 'c1')})), 6) AS score, round({_cos('f', 'c1')} - {_cos('f', 'c0')}, 6) AS log_odds FROM vec, cc"),
+    "centroid_distance": _with("cc", f"SELECT id, round(1 / (1 + exp((b - a) / sqrt(a * a + b * b))), 6) AS score FROM (SELECT id, pow({_dist('f', 'c0')}, 2) AS a, pow({_dist('f', 'c1')}, 2) AS b FROM vec, cc)"),
     "support_attention": _with(
-        "sup", f"SELECT v.id, round({_dist('v.f', 'a.m')}, 6) AS score FROM v8 v JOIN at2 a USING (id)", at1="SELECT v.id, s.f, exp(list_inner_product(v.f, s.f) / sqrt(8)) AS e FROM v8 v, sup s WHERE s.y = 0",
-        at2="SELECT id, [" + ", ".join(f"sum(e * f[{i}]) / sum(e)" for i in range(1, 9)) + "] AS m FROM at1 GROUP BY 1",
+        "sup", f"SELECT v.id, round({_dist('v.f', 'a.m')}, 6) AS score FROM vec v JOIN at2 a USING (id)", at1="SELECT v.id, s.f, exp(list_inner_product(v.f, s.f) / 8) AS e FROM vec v, sup s WHERE s.y = 0",
+        at2="SELECT id, [" + ", ".join(f"sum(e * f[{i}]) / sum(e)" for i in range(1, 65)) + "] AS m FROM at1 GROUP BY 1",
     ),
-    "nearest_code": _with("v8", f"SELECT id, code, round(s, 6) AS sim FROM ({_NEAR.format(x='v8')})", **_CODES),
+    "nearest_code": _with("vec", f"SELECT id, code, round(s, 6) AS sim FROM ({_NEAR.format(x='vec')})", **_CODES),
     "support_codes_fusion": _with(
-        "sup sc", f"SELECT v.id, round(0.25 * ({_dist('v.f', 'm')} + {_dist('v.f', 'k')}) + 0.5 * a.score, 6) AS score FROM v8 v, mm, mk, sraw a WHERE a.id = v.id", **_CODES, s0="SELECT * FROM sup WHERE y = 0",
-        mm="SELECT [" + ", ".join(f"avg(f[{i}])" for i in range(1, 9)) + "] AS m FROM s0", mk="SELECT [" + ", ".join(f"avg(c[{i}])" for i in range(1, 9)) + f"] AS k FROM ({_NEAR.format(x='s0')})",
+        "sup sc", f"SELECT v.id, round(0.25 * ({_dist('v.f', 'm')} + {_dist('v.f', 'k')}) + 0.5 * a.score, 6) AS score FROM vec v, mm, mk, sraw a WHERE a.id = v.id", **_CODES, s0="SELECT * FROM sup WHERE y = 0",
+        mm="SELECT [" + ", ".join(f"avg(f[{i}])" for i in range(1, 65)) + "] AS m FROM s0", mk="SELECT [" + ", ".join(f"avg(c[{i}])" for i in range(1, 65)) + f"] AS k FROM ({_NEAR.format(x='s0')})",
         araw=f"SELECT e.src AS id, sum(e.w * list_inner_product(a.u, b.u)) / max(d) AS m FROM {_ends('und')} JOIN (SELECT dst AS id, sum(w) AS d FROM und GROUP BY 1) c ON c.id = e.src GROUP BY 1",
         sraw="SELECT id, 1 - (m - (SELECT min(m) FROM araw)) / (SELECT max(m) - min(m) FROM araw) AS score FROM araw",
     ),
     "kde_js": _with(
         "vec", "SELECT round(sqrt(greatest(sum(CASE WHEN a.p > 0 THEN a.p * ln(a.p / ((a.p + b.p) / 2)) ELSE 0 END) / 2 + sum(CASE WHEN b.p > 0 THEN b.p * ln(b.p / ((a.p + b.p) / 2)) ELSE 0 END) / 2, 0)), 6) AS js FROM dn a JOIN dn b USING (g) WHERE a.y = 0 AND b.y = 1",
-        dn="SELECT y, g, p / sum(p) OVER (PARTITION BY y) AS p FROM (SELECT y, g, sum(exp(-pow((-1.0 + 2.0 * g / 499 - f[1]) / 0.1, 2) / 2)) AS p FROM vec, (SELECT unnest(range(500)) AS g) GROUP BY 1, 2)",
+        dn="SELECT y, g, p / sum(p) OVER (PARTITION BY y) AS p FROM (SELECT y, g, sum(exp(-pow((-1.0 + 2.0 * g / 499 - list_sum(f) / 8) / 0.1, 2) / 2)) AS p FROM vec, (SELECT unnest(range(500)) AS g) GROUP BY 1, 2)",
     ),
-    "dominant_row_error": _with("unw v8", "SELECT a.id, round(sqrt(sum(pow(list_inner_product(a.f, b.f) - coalesce(e.w, 0), 2))), 6) AS structure FROM v8 a CROSS JOIN v8 b LEFT JOIN unw e ON e.src = a.id AND e.dst = b.id GROUP BY 1"),
-    "structure_bce": _with("unw v8", "SELECT round(avg(greatest(l, 0) + ln(1 + exp(-abs(l))) - w * l), 6) AS loss FROM (SELECT list_inner_product(a.f, b.f) AS l, coalesce(e.w, 0) AS w FROM v8 a CROSS JOIN v8 b LEFT JOIN unw e ON e.src = a.id AND e.dst = b.id)"),
+    "dominant_row_error": _with("unw vec", "SELECT a.id, round(sqrt(sum(pow(list_inner_product(a.f, b.f) - coalesce(e.w, 0), 2))), 6) AS structure FROM vec a CROSS JOIN vec b LEFT JOIN unw e ON e.src = a.id AND e.dst = b.id GROUP BY 1"),
+    "structure_bce": _with("unw vec", "SELECT round(avg(greatest(l, 0) + ln(1 + exp(-abs(l))) - w * l), 6) AS loss FROM (SELECT list_inner_product(a.f, b.f) AS l, coalesce(e.w, 0) AS w FROM vec a CROSS JOIN vec b LEFT JOIN unw e ON e.src = a.id AND e.dst = b.id)"),
     "link_loss": _with("knn", f"SELECT round(avg(l - s), 6) AS loss FROM (SELECT t.src, max({_cos('a.f', 'p.f')} / 0.5) AS s, ln(sum(exp({_cos('a.f', 'n.f')} / 0.5))) AS l FROM (SELECT src, min(dst) AS positive FROM knn GROUP BY 1) t JOIN vec a ON a.id = t.src JOIN vec p ON p.id = t.positive, vec n WHERE n.id IN (11, 23, 37) GROUP BY 1)"),
     "margin_loss": _with("knn", f"SELECT round(avg(CASE WHEN a.y = 0 THEN 1 - list_inner_product(a.u, b.u) ELSE greatest(0, list_inner_product(a.u, b.u) - 0.2) END), 6) AS loss FROM {_ends('knn')}"),
     "weighted_ce": _with("doc", "SELECT round(sum(-c * CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) / sum(c), 6) AS loss FROM (SELECT y, 1 / (1 + exp(-(n_chars / 1000 - 2))) AS p, CASE WHEN y = 1 THEN (SELECT count(*) FILTER (y = 0) / count(*) FILTER (y = 1)::DOUBLE FROM doc WHERE mark) ELSE 1 END AS c FROM doc WHERE mark)"),
-    "contrast_loss": _with("knn", "SELECT round(avg(l), 6) AS loss FROM (SELECT b, avg(-ln(greatest(p, 1e-8) / greatest(t, 1e-8))) AS l FROM (SELECT a.id // 50 AS b, a.id, sum(CASE WHEN e.src IS NULL THEN 0 ELSE exp(list_inner_product(a.u, z.u)) END) AS p, sum(exp(list_inner_product(a.u, z.u))) AS t FROM vec a JOIN vec z ON z.id // 50 = a.id // 50 LEFT JOIN knn e ON e.src = a.id AND e.dst = z.id GROUP BY 1, 2) GROUP BY 1)"),
+    "contrast_loss": _with("knn", "SELECT round(avg(l), 6) AS loss FROM (SELECT b, avg(-ln(greatest(p, 1e-8) / greatest(t, 1e-8))) AS l FROM (SELECT a.id // 1000 AS b, a.id, sum(CASE WHEN e.src IS NULL THEN 0 ELSE exp(list_inner_product(a.u, z.u)) END) AS p, sum(exp(list_inner_product(a.u, z.u))) AS t FROM vec a CROSS JOIN vec z LEFT JOIN knn e ON e.src = a.id AND e.dst = z.id GROUP BY 1, 2) GROUP BY 1)"),
     "difference_loss": _with("knn", "SELECT round(avg(CASE WHEN y = 0 THEN -c ELSE c END), 6) AS loss FROM df", **_MEANDIFF),
     "prune_bottom_edges": _with(
         "pb psn", _summed("SELECT * FROM fu WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.src = fu.src AND g.dst = fu.dst)"), fu="SELECT * FROM pb UNION ALL SELECT id, id, 1.0 FROM psn", an=_sym_t("fu"),
@@ -349,28 +346,28 @@ ORACLE: dict[str, str] = {
     "marks_union": "SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE doc_id % 3 = 0 OR doc_id % 4 = 0 OR doc_id % 5 = 0)",
     "event_graph": "SELECT user_id AS src, event_type AS dst, count(*) AS w, round(sum(value), 6) AS value FROM events GROUP BY 1, 2",
     "hop_attention": _with(
-        "und", _long("y", "f"), v4="SELECT id, f[1:4] AS f FROM vec", dg="SELECT src AS id, sum(w) AS d FROM und GROUP BY 1",
-        an="SELECT e.src, e.dst, e.w * pow(a.d, -0.5) * pow(b.d, -0.5) AS w FROM und e JOIN dg a ON a.id = e.src JOIN dg b ON b.id = e.dst", x1=_sum4("dst", "src", "an", "v4"), x2=_sum4("dst", "src", "an", "x1"),
-        rs="SELECT a.id, a.f AS h, list_transform(list_zip(b.f, a.f), lambda z: z[1] - z[2]) AS r1, list_transform(list_zip(c.f, a.f), lambda z: z[1] - z[2]) AS r2 FROM v4 a JOIN x1 b USING (id) JOIN x2 c USING (id)",
-        ex="SELECT id, r1, r2, exp(CASE WHEN a > 0 THEN a ELSE 0.2 * a END) AS e1, exp(CASE WHEN b > 0 THEN b ELSE 0.2 * b END) AS e2 FROM (SELECT *, list_inner_product(h, r1) / 2 AS a, list_inner_product(h, r2) / 2 AS b FROM rs)",
+        "und", _long("y", "f"), dg="SELECT src AS id, sum(w) AS d FROM und GROUP BY 1",
+        an="SELECT e.src, e.dst, e.w * pow(a.d, -0.5) * pow(b.d, -0.5) AS w FROM und e JOIN dg a ON a.id = e.src JOIN dg b ON b.id = e.dst", x1=_sumw("dst", "src", "an", "vec"), x2=_sumw("dst", "src", "an", "x1"),
+        rs="SELECT a.id, a.f AS h, list_transform(list_zip(b.f, a.f), lambda z: z[1] - z[2]) AS r1, list_transform(list_zip(c.f, a.f), lambda z: z[1] - z[2]) AS r2 FROM vec a JOIN x1 b USING (id) JOIN x2 c USING (id)",
+        ex="SELECT id, r1, r2, exp(CASE WHEN a > 0 THEN a ELSE 0.2 * a END) AS e1, exp(CASE WHEN b > 0 THEN b ELSE 0.2 * b END) AS e2 FROM (SELECT *, list_inner_product(h, r1) / 8 AS a, list_inner_product(h, r2) / 8 AS b FROM rs)",
         y="SELECT id, list_transform(list_zip(r1, r2), lambda z: (z[1] * e1 + z[2] * e2) / (e1 + e2)) AS f FROM ex",
     ),
     "query_affinity_fusion": _with(
-        "knn", "SELECT id, round(0.9 * q + 0.1 * (1 - (t - (SELECT min(t) FROM sc3)) / (SELECT max(t) - min(t) FROM sc3)), 6) AS score FROM sc3 JOIN (SELECT id, abs(f[1]) AS q FROM vec) USING (id)",
+        "knn", "SELECT id, round(0.9 * q + 0.1 * (1 - (t - (SELECT min(t) FROM sc3)) / (SELECT max(t) - min(t) FROM sc3)), 6) AS score FROM sc3 JOIN (SELECT id, list_sum(list_transform(f, lambda x: abs(x))) / 64 AS q FROM vec) USING (id)",
         raw=f"SELECT e.src AS id, avg({_L2}) AS l2, avg({_L1}) AS l1, avg({_COS}) AS cos FROM {_ends('knn')} GROUP BY 1",
         sc2="SELECT id, " + ", ".join(f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER () + 1e-8) AS {c}" for c in ("l2", "l1", "cos")) + " FROM raw", sc3="SELECT id, l2 + l1 + cos AS t FROM sc2",
     ),
     "context_contrast": _with(
-        "knn v8", "SELECT x.id, round(avg(1 / (1 + exp(-list_inner_product(x.f, b.c))) - 1 / (1 + exp(-list_inner_product(x.f, a.c)))), 6) AS score FROM v8 x JOIN ctx a ON a.id = x.id JOIN ng ON ng.id = x.id JOIN ctx b ON b.id = ng.negative AND b.seed = a.seed GROUP BY 1",
+        "knn vec", "SELECT x.id, round(avg(1 / (1 + exp(-list_inner_product(x.f, b.c))) - 1 / (1 + exp(-list_inner_product(x.f, a.c)))), 6) AS score FROM vec x JOIN ctx a ON a.id = x.id JOIN ng ON ng.id = x.id JOIN ctx b ON b.id = ng.negative AND b.seed = a.seed GROUP BY 1",
         rk="SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r, count(*) OVER (PARTITION BY src) AS k FROM knn",
         dr=" UNION ALL ".join(f"SELECT {s} AS seed, e.src AS id, e.dst AS node FROM (SELECT DISTINCT src, k FROM rk) n, (SELECT unnest(range(1, 4)) AS slot) t JOIN rk e ON e.src = n.src AND e.r = floor({_u('n.src', 't.slot', seed=s)} * n.k)::INT + 1" for s in (0, 1)),
-        ctx="SELECT seed, dr.id, [" + ", ".join(f"avg(v.f[{i}])" for i in range(1, 9)) + "] AS c FROM dr JOIN v8 v ON v.id = dr.node GROUP BY 1, 2",
+        ctx="SELECT seed, dr.id, [" + ", ".join(f"avg(v.f[{i}])" for i in range(1, 65)) + "] AS c FROM dr JOIN vec v ON v.id = dr.node GROUP BY 1, 2",
         ng="SELECT id, coalesce(lag(id) OVER (PARTITION BY id // 64 ORDER BY id), nth_value(id, CASE WHEN n > 1 THEN n - 1 ELSE 1 END) OVER (PARTITION BY id // 64 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS negative FROM (SELECT id, count(*) OVER (PARTITION BY id // 64) AS n FROM vec)",
     ),
     "alignment_loss": _with(
         "knn", "SELECT round((a + b + c + d) / 2, 6) AS loss FROM (SELECT avg(zi - s) FILTER (i = j) AS a, avg(zj - s) FILTER (i = j) AS b FROM zz), (SELECT avg(v) AS c FROM (SELECT i, sum(w * (zi - s)) / sum(w) AS v FROM zz JOIN knn ON src = i AND dst = j GROUP BY 1)), (SELECT avg(v) AS d FROM (SELECT j, sum(w * (zj - s)) / sum(w) AS v FROM zz JOIN knn ON src = i AND dst = j GROUP BY 1))",
-        pr=f"SELECT a.id AS i, b.id AS j, {_cos('a.f[1:8]', 'b.f[9:16]')} AS s FROM vec a JOIN vec b ON a.id // 50 = b.id // 50", zz="SELECT *, ln(sum(exp(s)) OVER (PARTITION BY i)) AS zi, ln(sum(exp(s)) OVER (PARTITION BY j)) AS zj FROM pr",
+        pr=f"SELECT a.id AS i, b.id AS j, {_cos('a.f[1:32]', 'b.f[33:64]')} AS s FROM vec a CROSS JOIN vec b", zz="SELECT *, ln(sum(exp(s)) OVER (PARTITION BY i)) AS zi, ln(sum(exp(s)) OVER (PARTITION BY j)) AS zj FROM pr",
     ),
-    "prompt_entropy": _with("vec", "SELECT round(avg(h), 6) AS entropy FROM (SELECT id, sum(-p * ln(p)) AS h FROM (SELECT id, abs(f[j]) / (abs(f[1]) + abs(f[2]) + abs(f[3]) + abs(f[4])) AS p FROM vec, (SELECT unnest(range(1, 5)) AS j)) GROUP BY 1)"),
-    "pca_energy": _with("v8", "SELECT round(sum(v), 6) AS energy, max(n) AS n FROM (SELECT j, var_pop(f[j]) * count(*) AS v, count(*) AS n FROM v8, (SELECT unnest(range(1, 9)) AS j) GROUP BY 1)"),
+    "prompt_entropy": _with("vec", "SELECT round(avg(h), 6) AS entropy FROM (SELECT id, sum(-p * ln(p)) AS h FROM (SELECT id, abs(f[j]) / list_sum(list_transform(f, lambda x: abs(x))) AS p FROM vec, (SELECT unnest(range(1, 65)) AS j)) GROUP BY 1)"),
+    "pca_energy": _with("vec", "SELECT round(sum(v), 6) AS energy, max(n) AS n, 0.0::DOUBLE AS off_diagonal FROM (SELECT j, var_pop(f[j]) * count(*) AS v, count(*) AS n FROM vec, (SELECT unnest(range(1, 65)) AS j) GROUP BY 1)"),
 }

@@ -50,8 +50,8 @@ def unweighted(spark: SparkSession, d: str) -> DataFrame:
     return G.binary(knn(spark, d).select("src", "dst"))
 
 
-def first(nodes: DataFrame, n: int) -> DataFrame:
-    return nodes.withColumn("f", F.slice("f", 1, n))
+def total(f: Column | str) -> Column:
+    return F.aggregate(X.col(f), F.lit(0.0), lambda s, x: s + x)
 
 
 def ps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -206,7 +206,7 @@ def spmm(spark, d):
 
 
 def spmm_transpose(spark, d):
-    return wide(P.spmm_t(knn(spark, d), first(vec(spark, d), 4), 4), "f")
+    return wide(P.spmm_t(knn(spark, d), vec(spark, d), W), "f")
 
 
 def propagate_2hop(spark, d):
@@ -215,7 +215,7 @@ def propagate_2hop(spark, d):
 
 
 def propagate_no_loop(spark, d):
-    return wide(P.propagate(und(spark, d), first(vec(spark, d), 4), 2, 4, add_loop=False), "h0", "h1", "h2")
+    return wide(P.propagate(und(spark, d), vec(spark, d), 2, W, add_loop=False), "h0", "h1", "h2")
 
 
 def _powers(spark, d):
@@ -273,12 +273,12 @@ def neighbor_scores(spark, d):
 
 
 def smoothness_order(spark, d):
-    x = N.smoothness(und(spark, d), first(vec(spark, d), 16), 16).withColumn("smooth", r("smooth", 9))
+    x = N.smoothness(und(spark, d), vec(spark, d), W).withColumn("smooth", r("smooth", 9))
     return x.join(FT.column_order(x), "j").select("j", r("smooth").alias("smooth"), "place")
 
 
 def smoothness_composite(spark, d):
-    return rounded(N.smoothness_composite(und(spark, d), first(vec(spark, d), 16), 16), "score")
+    return rounded(N.smoothness_composite(und(spark, d), vec(spark, d), W), "score")
 
 
 def edge_distance(spark, d):
@@ -311,8 +311,7 @@ def pagerank_fixed(spark, d):
 
 
 def neighbor_diversity(spark, d):
-    nodes = vec(spark, d).withColumn("u", X.unit(F.slice("f", 1, 8)))
-    return rounded(N.diversity(knn(spark, d), nodes, 8), "m")
+    return rounded(N.diversity(knn(spark, d), vec(spark, d), W), "m")
 
 
 def global_similarity(spark, d):
@@ -321,7 +320,7 @@ def global_similarity(spark, d):
 
 
 def tpca_aggregate(spark, d):
-    x = N.compatible_mean(knn(spark, d), first(vec(spark, d), 4), 4)
+    x = N.compatible_mean(knn(spark, d), vec(spark, d), W)
     return rounded(x.select("id", "topology", "drift", (0.5 * F.col("drift") + 0.5 * F.col("topology")).alias("score")), "topology", "drift", "score")
 
 
@@ -346,22 +345,27 @@ def minmax(spark, d):
 
 
 def row_normalize(spark, d):
-    x = first(vec(spark, d), 4).withColumn("f", F.transform("f", F.abs))
+    x = vec(spark, d).withColumn("f", F.transform("f", F.abs))
     return wide(FT.row_normalised(x.withColumn("g", X.unit("f"))), "f", "g")
 
 
 def gram_matrix(spark, d):
-    return rounded(FT.gram(first(vec(spark, d), 8), 8), "v")
+    return rounded(FT.gram(vec(spark, d), W), "v")
 
 
 def sign_rule(spark, d):
-    return wide(FT.sign_rule(first(vec(spark, d), 8), 8), "f")
+    return wide(FT.sign_rule(vec(spark, d), W), "f")
+
+
+def _components(x: DataFrame) -> DataFrame:
+    """Total energy of the columns, and the largest product of two different ones: only the decomposition's
+    own rotation keeps the one and brings the other to zero."""
+    off = FT.gram(x, W).agg(r(F.max(F.when(F.col("i") < F.col("j"), F.abs("v")))).alias("off_diagonal"))
+    return x.agg(r(F.sum(X.dot("f", "f"))).alias("energy"), F.count("*").alias("n")).crossJoin(off)  # single rows
 
 
 def svd_gram_energy(spark, d):
-    """The decomposition's columns have the Gram matrix's trace where the rank is full."""
-    x = FT.svd_align(first(vec(spark, d), 8), 8, 8)
-    return x.agg(r(F.sum(X.dot("f", "f"))).alias("energy"), F.count("*").alias("n"))
+    return _components(FT.svd_align(vec(spark, d), W, W))
 
 
 def class_weight(spark, d):
@@ -369,53 +373,53 @@ def class_weight(spark, d):
 
 
 def _support(spark, d) -> DataFrame:
-    """Ten nodes of either class by the smallest ids, with eight dimensions."""
-    nodes = first(vec(spark, d), 8)
+    """Ten nodes of either class by the smallest ids."""
+    nodes = vec(spark, d)
     return nodes.where("y = 0").orderBy("id").limit(SHOT).union(nodes.where("y = 1").orderBy("id").limit(SHOT))
 
 
 def prototypes(spark, d):
-    return wide(FT.prototypes(_support(spark, d), 8).withColumnRenamed("y", "id"), "c")
+    return wide(FT.prototypes(_support(spark, d), W).withColumnRenamed("y", "id"), "c")
 
 
 def prototype_softmax(spark, d):
-    return rounded(D.prototype_softmax(first(vec(spark, d), 8), _support(spark, d), 8), "score", "log_odds")
+    return rounded(D.prototype_softmax(vec(spark, d), _support(spark, d), W), "score", "log_odds")
 
 
 def centroid_distance(spark, d):
-    return rounded(D.centroid_distance(first(vec(spark, d), 8), _support(spark, d), 8), "score")
+    return rounded(D.centroid_distance(vec(spark, d), _support(spark, d), W), "score")
 
 
 def support_attention(spark, d):
-    return rounded(D.support_attention(first(vec(spark, d), 8), _support(spark, d).where("y = 0"), 8), "score")
+    return rounded(D.support_attention(vec(spark, d), _support(spark, d).where("y = 0"), W), "score")
 
 
 def _codes(spark, d) -> DataFrame:
-    return first(vec(spark, d), 8).where("id < 20").select(F.col("id").alias("code"), F.col("f").alias("c"))
+    return vec(spark, d).where("id < 20").select(F.col("id").alias("code"), F.col("f").alias("c"))
 
 
 def nearest_code(spark, d):
-    return rounded(D.nearest_code(first(vec(spark, d), 8), _codes(spark, d)).drop("c"), "sim")
+    return rounded(D.nearest_code(vec(spark, d), _codes(spark, d)).drop("c"), "sim")
 
 
 def support_codes_fusion(spark, d):
     nodes = vec(spark, d)
     a = N.inverted(N.affinity(und(spark, d), nodes))
-    return rounded(D.support_and_codes(first(nodes, 8), _support(spark, d).where("y = 0"), _codes(spark, d), a, 8), "score")
+    return rounded(D.support_and_codes(nodes, _support(spark, d).where("y = 0"), _codes(spark, d), a, W), "score")
 
 
 def kde_js(spark, d):
-    x = vec(spark, d).select(F.col("f")[0].alias("score"), "y")
+    x = vec(spark, d).select((total("f") / W**0.5).alias("score"), "y")
     p, q = (D.kde(x.where(F.col("y") == c), 500, -1.0, 1.0, 0.1) for c in (0, 1))
     return rounded(D.js_distance(p, q), "js")
 
 
 def dominant_row_error(spark, d):
-    return rounded(D.dominant_error(unweighted(spark, d), first(vec(spark, d), 8), 8), "structure")
+    return rounded(D.dominant_error(unweighted(spark, d), vec(spark, d), W), "structure")
 
 
 def structure_bce(spark, d):
-    return rounded(D.structure_bce(unweighted(spark, d), first(vec(spark, d), 8)), "loss")
+    return rounded(D.structure_bce(unweighted(spark, d), vec(spark, d)), "loss")
 
 
 def link_loss(spark, d):
@@ -647,12 +651,12 @@ def lsh_knn(spark, d):
 
 
 def kmeans_codes(spark, d):
-    return wide(D.kmeans_codes(first(vec(spark, d), 8), 8).withColumnRenamed("code", "id"), "c")
+    return wide(D.kmeans_codes(vec(spark, d), 20).withColumnRenamed("code", "id"), "c")
 
 
 def aligned_features(spark, d):
     nodes = vec(spark, d)
-    return wide(FT.aligned(first(nodes, 16), und(spark, d), 16, 8), "f")
+    return wide(FT.aligned(nodes, und(spark, d), W, 8), "f")
 
 
 def demo_graph(spark, d):
@@ -673,34 +677,32 @@ def flagship_report(spark, d):
 
 
 def hop_attention(spark, d):
-    h = P.propagate(und(spark, d), first(vec(spark, d), 4), 2, 4, add_loop=False)
-    return wide(D.hop_attention(h, 2, 4), "f")
+    h = P.propagate(und(spark, d), vec(spark, d), 2, W, add_loop=False)
+    return wide(D.hop_attention(h, 2, W), "f")
 
 
 def query_affinity_fusion(spark, d):
     nodes = vec(spark, d)
-    q = nodes.select("id", F.abs(F.col("f")[0]).alias("q"))
+    q = nodes.select("id", (total(F.transform("f", F.abs)) / W).alias("q"))
     return rounded(D.query_with_affinity(q, N.neighbour_scores(knn(spark, d), nodes)), "score")
 
 
 def context_contrast(spark, d):
-    return rounded(D.context_contrast(knn(spark, d), first(vec(spark, d), 8), 8, 2), "score")
+    return rounded(D.context_contrast(knn(spark, d), vec(spark, d), W, 2), "score")
 
 
 def alignment_loss(spark, d):
-    nodes = vec(spark, d).select("id", F.slice("f", 1, 8).alias("f"), F.slice("f", 9, 8).alias("g"))
+    nodes = vec(spark, d).select("id", F.slice("f", 1, W // 2).alias("f"), F.slice("f", W // 2 + 1, W // 2).alias("g"))
     return rounded(D.alignment_loss(knn(spark, d), nodes), "loss")
 
 
 def prompt_entropy(spark, d):
-    x = FT.row_normalised(first(vec(spark, d), 4).withColumn("f", F.transform("f", F.abs)))
+    x = FT.row_normalised(vec(spark, d).withColumn("f", F.transform("f", F.abs)))
     return rounded(D.prompt_entropy(x), "entropy")
 
 
 def pca_energy(spark, d):
-    """Centred components of full rank keep the total variance."""
-    x = FT.pca_align(first(vec(spark, d), 8), 8, 8)
-    return x.agg(r(F.sum(X.dot("f", "f"))).alias("energy"), F.count("*").alias("n"))
+    return _components(FT.pca_align(vec(spark, d), W, W))
 
 
 def laplacian_positions(spark, d):
