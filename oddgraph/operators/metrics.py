@@ -7,24 +7,42 @@ from pyspark.sql import functions as F
 
 
 def _by_score(scores: DataFrame, by: list[str]) -> DataFrame:
-    """Positives and negatives per distinct score: the windows below run over these counts only."""
+    """Positives and negatives per distinct score."""
     return scores.groupBy(*by, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
 
 
+def before(rows: DataFrame, sums: list[str], order: str = "score", by: list[str] | None = None, desc: bool = False, cells: int = 65536) -> DataFrame:
+    """Adds _s for each s of ``sums``: its sum over the rows that come earlier in the order of a numeric column.
+
+    The span of the column is cut into equal cells: rows are sorted within their cell only, and one
+    window runs over the sums per cell, at most ``cells`` rows a group. Nulls come first and NaN last.
+    """
+    by, way, o = by or [], F.desc if desc else F.asc, F.col(order).cast("double")
+    span = rows.agg(F.min(o).alias("_lo"), F.max(o).alias("_hi"))  # one row
+    at = F.when(F.col("_hi") > F.col("_lo"), (o - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    cell = F.when(o.isNull(), -1).when(F.isnan(o), cells + 1).when((at >= 0) & (at <= 1), F.floor(at * cells)).otherwise(0)
+    dealt = rows.crossJoin(F.broadcast(span)).withColumn("_cell", cell.cast("int")).drop("_lo", "_hi")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    over = earlier(Window.partitionBy(*by).orderBy(way("_cell")))
+    whole = dealt.groupBy(*by, "_cell").agg(*[F.sum(s).alias(s) for s in sums]).select(*by, "_cell", *[F.coalesce(F.sum(s).over(over), F.lit(0)).alias(f"_w{s}") for s in sums])
+    inside = earlier(Window.partitionBy(*by, "_cell").orderBy(way(order)))
+    x = dealt.withColumns({f"_{s}": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums}).join(whole, [*by, "_cell"])
+    return x.select(*rows.columns, *[(F.col(f"_{s}") + F.col(f"_w{s}")).alias(f"_{s}") for s in sums])
+
+
 def auroc(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Over scores(score, y in 0/1): sum of p (negatives below + half of those tied) / (P N); one class only gives null."""
     by = by or []
-    w = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    x = _by_score(scores, by).withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    x = before(_by_score(scores, by), ["n"], by=by)
     total = F.sum("p") * F.sum("n")
-    return x.groupBy(*by).agg(F.when(total > 0, F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("n"))) / total).alias("auroc"))
+    return x.groupBy(*by).agg(F.when(total > 0, F.sum(F.col("p") * (F.col("_n") + 0.5 * F.col("n"))) / total).alias("auroc"))
 
 
 def average_precision(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
-    w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    x = _by_score(scores, by).select(*by, "p", F.sum("p").over(w).alias("tp"), F.sum(F.col("p") + F.col("n")).over(w).alias("k"))
-    return x.groupBy(*by).agg(F.when(F.sum("p") > 0, F.sum(F.col("p") * F.col("tp") / F.col("k")) / F.sum("p")).alias("auprc"))
+    x = before(_by_score(scores, by), ["p", "n"], by=by, desc=True)
+    tp, fp = F.col("p") + F.col("_p"), F.col("n") + F.col("_n")
+    return x.groupBy(*by).agg(F.when(F.sum("p") > 0, F.sum(F.when(F.col("p") > 0, F.col("p") * tp / (tp + fp)).otherwise(0.0)) / F.sum("p")).alias("auprc"))
 
 
 def recall_at_k(scores: DataFrame) -> DataFrame:
@@ -34,12 +52,11 @@ def recall_at_k(scores: DataFrame) -> DataFrame:
     """
     counts = scores.groupBy("score").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
     total = counts.agg(F.sum("p").alias("K"))  # one row
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    x = counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).crossJoin(F.broadcast(total))
-    full = x.where(F.col("before") + F.col("n") <= F.col("K")).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("whole"))
-    edge = x.where((F.col("before") < F.col("K")) & (F.col("before") + F.col("n") > F.col("K"))).select("score", (F.col("K") - F.col("before")).alias("room"))
-    tied = scores.join(F.broadcast(edge), "score").withColumn("r", F.row_number().over(Window.partitionBy("score").orderBy("id")))
-    part = tied.where("r <= room").agg(F.coalesce(F.sum("y"), F.lit(0)).alias("part"))
+    x = before(counts, ["n"], desc=True).crossJoin(F.broadcast(total))
+    full = x.where(F.col("_n") + F.col("n") <= F.col("K")).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("whole"))
+    edge = x.where((F.col("_n") < F.col("K")) & (F.col("_n") + F.col("n") > F.col("K"))).select("score", (F.col("K") - F.col("_n")).alias("room"))  # one row
+    tied = before(scores.join(F.broadcast(edge), "score").select("id", "y", "room", F.lit(1).alias("one")), ["one"], "id")
+    part = tied.where("_one < room").agg(F.coalesce(F.sum("y"), F.lit(0)).alias("part"))
     return total.crossJoin(full).crossJoin(part).select(F.when(F.col("K") > 0, (F.col("whole") + F.col("part")) / F.col("K")).otherwise(float("nan")).alias("recall_at_k"))
 
 

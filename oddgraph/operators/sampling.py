@@ -10,8 +10,18 @@ from oddgraph.functions.exprs import ordered_key, uniform
 
 
 def ranked(nodes: DataFrame, seed: int, by: list[str] | None = None, name: str = "r") -> DataFrame:
-    """1-based rank in shuffle order, per group of ``by``."""
-    return nodes.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [])).orderBy(ordered_key(seed, "id"), "id")))
+    """1-based rank in shuffle order, per group of ``by``. The first three digits of the key cut the order
+    into 4096 even ranges: rows are sorted within a range, and a window runs over the ranges' counts."""
+    by, key = by or [], ordered_key(seed, "id")
+    dealt = nodes.withColumn("_k", key).withColumn("_d", F.substring("_k", 1, 3))
+    counts = dealt.groupBy(*by, "_d").agg(F.count("*").alias("_c"))
+    over = Window.partitionBy(*by).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col("_d").alias("_e"), F.coalesce(F.sum("_c").over(over), F.lit(0)).alias("_o"))
+    x = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_d").orderBy("_k", "id")))
+    same = F.col("_d") == F.col("_e")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_b{i}"))
+    return x.join(starts, same).select(*[c for c in nodes.columns if c != name], (F.col("_r") + F.col("_o")).alias(name))
 
 
 def prefix(nodes: DataFrame, k: int, seed: int) -> DataFrame:

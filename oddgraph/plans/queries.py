@@ -63,9 +63,10 @@ def doc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def affinity_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Written once: the metrics read it several times."""
     nodes = vec(spark, d)
     m = rounded(N.affinity(und(spark, d), nodes), "m")
-    return N.inverted(m).join(nodes.select("id", "y"), "id").withColumn("score", r("score"))
+    return P.cut(N.inverted(m).join(nodes.select("id", "y"), "id").withColumn("score", r("score")))
 
 
 def auroc_affinity_vec(spark, d):

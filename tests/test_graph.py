@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,39 @@ def test_laplacian_positions_of_sparse_edges_and_of_all_nodes(spark):
     if os.path.isdir("/root/testdata/sf0.001"):
         ids = {r["id"] for r in QUERIES["laplacian_positions"](spark, "/root/testdata/sf0.001").select("id").distinct().collect()}
         assert ids == set(range(500))
+
+
+def test_metrics_against_plain_ranks_with_ties_and_outliers(spark):
+    rng = np.random.default_rng(3)
+    score = np.concatenate([np.round(rng.normal(size=150), 1), [1e9, -1e9, 0.0, 0.0]])
+    y = rng.integers(0, 2, len(score))
+    df = spark.createDataFrame([(i, float(s), int(t)) for i, (s, t) in enumerate(zip(score, y))], "id long, score double, y int")
+    above = (score[:, None] > score[None, :]) + 0.5 * (score[:, None] == score[None, :])
+    assert M.auroc(df).first()[0] == pytest.approx(above[y == 1][:, y == 0].mean())
+    tops = sorted(set(score[y == 1]), reverse=True)
+    want = sum(y[score == s].sum() * y[score >= s].sum() / (score >= s).sum() for s in tops) / y.sum()
+    assert M.average_precision(df).first()[0] == pytest.approx(want)
+    first = sorted(range(len(score)), key=lambda i: (-score[i], i))[: y.sum()]
+    assert M.recall_at_k(df).first()[0] == pytest.approx(y[first].sum() / y.sum())
+
+
+def test_ranks_count_every_row_once(spark):
+    nodes = spark.createDataFrame([(i, None if i % 7 == 0 else i % 2) for i in range(500)], "id long, y int")
+    assert sorted(x["r"] for x in S.ranked(nodes, 5).collect()) == list(range(1, 501))
+    got = S.ranked(nodes, 5, ["y"]).toPandas()
+    assert len(got) == 500 and all(sorted(g["r"]) == list(range(1, len(g) + 1)) for _, g in got.groupby("y", dropna=False))
+
+
+def test_diversity_of_hubs_and_small_nodes(spark):
+    rng = np.random.default_rng(4)
+    u = rng.normal(size=(12, 4))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(u)], "id long, u array<double>")
+    ends = {0: range(1, 12), 1: range(2, 5), 2: [3]}
+    e = spark.createDataFrame([(a, b) for a, bs in ends.items() for b in bs], "src long, dst long")
+    got = {x["id"]: x["m"] for x in N.diversity(e, nodes, 4).collect()}
+    for a, bs in ends.items():
+        bs = list(bs)
+        c = [u[p] @ u[q] for i, p in enumerate(bs) for q in bs[:i]]
+        assert got[a] == pytest.approx(np.var(c) if c else 0.0, abs=1e-9)
+    assert got[5] == 0.0
