@@ -1,12 +1,12 @@
 """Licence scan over a positional rare-token index. Native: SQL functions only.
 
-Each template is a fixed word sequence. Its postings are (word, template, position); a word's
-inverse document frequency is taken over the templates, and each template is looked up by its rarest
-word (its anchor). A file's anchor words are found with their positions; an anchor at file position i
-proposes template t at start i - position(anchor in t); the proposals of all words that vote for the
-same (template, start) are intersected by comparing the file's slice with the template word for word.
-Base phrases must match whole; full templates may differ in a share of their words but must hold
-their mandatory key phrase at its place.
+Each template is a fixed word sequence with a mandatory key phrase. Its postings are (word, template,
+position); a word's inverse document frequency is taken over the templates, and each template is looked
+up by the ANCHORS words of its key phrase that are rarest. An anchor at file position i proposes template
+t at start i - position(anchor in t); the proposals of a template's anchors are intersected, and what all
+of them propose is compared with the template word for word. Base phrases must match whole; full templates
+may differ in a share of their words but must hold their key phrase at its place, so no place that the
+rule accepts lacks an anchor.
 
 All work is narrow: no row leaves its task, the index is a constant of the plan whose size is that
 of the fixed template list. Null and empty texts have no words and no labels; extra columns are kept
@@ -47,22 +47,24 @@ TEMPLATES = (
     ("boost software license", "boost software license", "bsl"),
 )
 LEAST_SHARE = 0.85
+ANCHORS = 2
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def index(templates: list[tuple[str, str, str, bool]]) -> list[dict]:
-    """Per template: its words, its anchor (the word of highest IDF, the first of equals) and the
-    anchor's position, and the positions of the mandatory phrase."""
+    """Per template: its words, the positions of the mandatory phrase, and its anchors as (word, position):
+    different words of that phrase by falling IDF, the longer and then the first of equals."""
     words = [t[0].split() for t in templates]
     df = Counter(w for ws in words for w in set(ws))
     out = []
     for ws, (_, key, label, exact) in zip(words, templates):
-        idf = [math.log(len(words) / df[w]) for w in ws]
-        at = max(range(len(ws)), key=lambda i: (idf[i], len(ws[i]), -i))
         ks = key.split()
         start = next(i for i in range(len(ws)) if ws[i : i + len(ks)] == ks)
-        out.append({"words": ws, "anchor": ws[at], "at": at, "key": range(start, start + len(ks)), "label": label, "exact": exact})
+        places = range(start, start + len(ks))
+        first = {ws[i]: i for i in reversed(places)}
+        rare = sorted(first, key=lambda w: (-math.log(len(words) / df[w]), -len(w), first[w]))[:ANCHORS]
+        out.append({"words": ws, "anchors": [(w, first[w]) for w in rare], "key": places, "label": label, "exact": exact})
     return out
 
 
@@ -75,32 +77,35 @@ def normalised(text: Column) -> Column:
 
 
 def _starts(words: Column, hits: Column, t: dict) -> Column:
-    """Starts at which template t stands in the file, from the anchor's postings."""
+    """Starts at which template t stands in the file, from the postings of its anchors."""
+    held = {i for _, i in t["anchors"]}
 
     def fits(start: Column) -> Column:
-        same = [F.coalesce(F.get(words, start + i) == F.lit(w), F.lit(False)) for i, w in enumerate(t["words"]) if not (t["exact"] and i == t["at"])]
-        if t["exact"]:
-            every = F.lit(True)
-            for s in same:
-                every = every & s
-            return (start >= 0) & every
-        held = F.lit(True)
+        same = {i: F.coalesce(F.get(words, start + i) == F.lit(w), F.lit(False)) for i, w in enumerate(t["words"]) if not (t["exact"] and i in held)}
+        every = start >= 0
         for i in t["key"]:
-            held = held & same[i]
-        votes = sum((s.cast("int") for s in same[1:]), same[0].cast("int"))
-        return (start >= 0) & held & (votes >= math.ceil(LEAST_SHARE * len(t["words"])))
+            if i in same:
+                every = every & same[i]
+        if not t["exact"]:
+            votes = sum((s.cast("int") for s in same.values()), F.lit(0))
+            every = every & (votes >= math.ceil(LEAST_SHARE * len(t["words"])))
+        return every
 
-    mine = F.filter(hits, lambda h: h["w"] == F.lit(t["anchor"]))
-    return F.filter(F.transform(mine, lambda h: h["i"] - F.lit(t["at"])), fits)
+    found = None
+    for word, at in t["anchors"]:
+        mine = F.transform(F.filter(hits, lambda h: h["w"] == F.lit(word)), lambda h: h["i"] - F.lit(at))
+        found = mine if found is None else F.array_intersect(found, mine)
+    return F.filter(found, fits)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Matches per document: key, n_words, matches array<struct<label, start, base>>, score."""
-    anchors = sorted({t["anchor"] for t in INDEX})
+    rarest = sorted({t["anchors"][0][0] for t in INDEX})
+    anchors = sorted({w for t in INDEX for w, _ in t["anchors"]})
     norm = normalised(F.col(text))
     seen = docs.select(F.col(key).alias(key), norm.alias("_norm"))
     n = F.when(F.col("_norm") == "", 0).otherwise(F.length("_norm") - F.length(F.replace("_norm", F.lit(" "))) + 1).cast("long")
-    maybe = F.col("_norm").rlike(r"(?:^| )(?:" + "|".join(anchors) + r")(?: |$)")
+    maybe = F.col("_norm").rlike(r"(?:^| )(?:" + "|".join(rarest) + r")(?: |$)")
     words = F.when(maybe, F.split("_norm", " "))
     step = seen.select(key, n.alias("n_words"), words.alias("_w"))
     hits = F.filter(F.transform(F.col("_w"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(anchors))

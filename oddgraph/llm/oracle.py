@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from oddgraph.llm.licenses import INDEX, LEAST_SHARE
+from oddgraph.llm.licenses import BASE, LEAST_SHARE, TEMPLATES
 
 _SPACE = r"'[\x20\x09-\x0D]+'"
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -56,31 +56,31 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN part USING (doc_id)
 """
 
 
-def _license_starts(t: dict) -> str:
+def _license_starts(phrase: str, key: str, exact: bool) -> str:
     """Starts (from 0) of a template in the word list w, by the same rule over all places."""
-    same = [f"CAST(coalesce(w[i + {k + 1}] = '{word}', false) AS INT)" for k, word in enumerate(t["words"])]
-    if t["exact"]:
-        rule = " AND ".join(f"{s} = 1" for s in same)
-    else:
-        must = sorted({t["at"], *t["key"]})
-        rule = " AND ".join(f"{same[k]} = 1" for k in must) + f" AND {' + '.join(same)} >= {math.ceil(LEAST_SHARE * len(same))}"
+    words, ks = phrase.split(), key.split()
+    same = [f"CAST(coalesce(w[i + {k + 1}] = '{word}', false) AS INT)" for k, word in enumerate(words)]
+    at = next(k for k in range(len(words)) if words[k : k + len(ks)] == ks)
+    rule = " AND ".join(f"{s} = 1" for s in same[at : at + len(ks)])
+    if not exact:
+        rule += f" AND {' + '.join(same)} >= {math.ceil(LEAST_SHARE * len(same))}"
     return f"list_filter(range(len(w)), lambda i: {rule})"
 
 
 def _license_sql() -> str:
     split = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
-    maybe = " OR ".join(f"list_contains(w, '{a}')" for a in sorted({t["anchor"] for t in INDEX}))
-    found = ", ".join(f"CASE WHEN m THEN {_license_starts(t)} ELSE [] END AS t{k}" for k, t in enumerate(INDEX))
-    base = [k for k, t in enumerate(INDEX) if t["exact"]]
+    every = [(p, p, label, True) for p, label in BASE] + [(p, k, label, False) for p, k, label in TEMPLATES]
+    maybe = " OR ".join(f"list_contains(w, '{word}')" for word in sorted({k.split()[0] for _, k, _, _ in every}))
+    found = ", ".join(f"CASE WHEN m THEN {_license_starts(p, k, exact)} ELSE [] END AS t{n}" for n, (p, k, _, exact) in enumerate(every))
+    base = range(len(BASE))
     starts = " || ".join(f"t{k}" for k in base)
-    labels = lambda ks: "[" + ", ".join(f"CASE WHEN len(t{k}) > 0 THEN '{INDEX[k]['label']}' END" for k in ks) + "]"
+    labels = lambda ks: "[" + ", ".join(f"CASE WHEN len(t{k}) > 0 THEN '{every[k][2]}' END" for k in ks) + "]"
     joined = lambda ks: f"coalesce(array_to_string(list_sort(list_distinct(list_filter({labels(ks)}, lambda x: x IS NOT NULL))), ','), '')"
-    every = range(len(INDEX))
     return f"""
 WITH d AS (SELECT doc_id, {_words(f"translate(coalesce(text, ''), {_UP}, {_LOW})", split)} AS w FROM documents),
 e AS (SELECT *, {maybe} AS m FROM d), f AS (SELECT doc_id, w, {found} FROM e)
 SELECT doc_id, len(w)::BIGINT AS n_words, len({starts})::BIGINT AS n_base, list_min({starts})::BIGINT AS first_word, list_max({starts})::BIGINT AS last_word,
-  {joined(base)} AS base_labels, {joined(every)} AS labels, CASE WHEN {" OR ".join(f"len(t{k}) > 0" for k in every)} THEN 1.0 ELSE 0.0 END::DOUBLE AS score
+  {joined(base)} AS base_labels, {joined(range(len(every)))} AS labels, CASE WHEN {" OR ".join(f"len(t{k}) > 0" for k in range(len(every)))} THEN 1.0 ELSE 0.0 END::DOUBLE AS score
 FROM f
 """
 

@@ -125,6 +125,31 @@ def test_licences(spark, documents):
     assert licenses.scan(documents([])).count() == 0
 
 
+def test_licences_that_differ_in_rare_words_equal_a_plain_scan(spark, documents):
+    rng = random.Random(7)
+    texts = ["released under the Apache License, Version 2.0", "Permission is hereby granted, free of charge, to anyone who gets a copy of this software"]
+    for phrase, _, _ in licenses.TEMPLATES:
+        words = phrase.split()
+        for _ in range(8):
+            ws = [rng.choice(["other", "license", "by", w]) if rng.random() < 0.12 else w for w in words]
+            texts.append(" ".join(["by"] * rng.randrange(3) + ws + ["license"] * rng.randrange(3) + ws))
+
+    def plain(text):
+        ws, out = text.lower().replace(",", " ").replace(".", " ").split(), []
+        for phrase, key, label, exact in [(p, p, label, True) for p, label in licenses.BASE] + [(p, k, label, False) for p, k, label in licenses.TEMPLATES]:
+            p, k = phrase.split(), key.split()
+            at = next(i for i in range(len(p)) if p[i : i + len(k)] == k)
+            for i in range(len(ws)):
+                same = sum(a == b for a, b in zip(p, ws[i:]))
+                if ws[i + at : i + at + len(k)] == k and same >= (len(p) if exact else 0.85 * len(p)):
+                    out.append((label, i, exact))
+        return sorted(out)
+
+    for r in licenses.scan(documents(texts)).collect():
+        assert sorted((m["label"], m["start"], m["base"]) for m in r["matches"]) == plain(texts[r["doc_id"]]), texts[r["doc_id"]]
+    assert {m[0] for m in plain(texts[0])} == {"apache", "apache-2.0"}
+
+
 def test_wand_equals_brute_force():
     rng = random.Random(1)
     items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 15)))) for i in range(90)]
