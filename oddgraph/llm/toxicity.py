@@ -3,7 +3,7 @@
 Texts are folded first: lower case, look-alike letters of other scripts and full-width forms to Latin,
 digit and sign substitutions to letters, invisible signs removed, everything that is no letter to one
 space. The lexicon holds word beginnings and whole words; its weights are the log-odds of a
-bounded sample of labelled documents. A match inside an exception phrase (the word before or after
+bounded sample of labelled documents, and every term and exception phrase which that sample yields is kept. A match inside an exception phrase (the word before or after
 it, where such pairs stand in clean documents) doesn't count. The document's features are the summed
 weight and the summed weight per word, brought to [0, 1] by a logistic curve fitted on the sample.
 
@@ -30,7 +30,7 @@ from oddgraph.llm.common import held_out
 
 TRAIN_DOCS = 6000
 SHORTEST, LONGEST = 4, 8
-LEAST_DOCS, LEAST_LOG_ODDS, MOST_TERMS = 4, 2.5, 4000
+LEAST_DOCS, LEAST_LOG_ODDS = 4, 2.5
 #: Log-odds count less this many standard errors, so that chance and copied texts weigh little.
 STANDARD_ERRORS = 1.64
 CLEAN_PHRASE = 0.9
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id",
     def terms(exceptions: set[tuple[str, str]], least: float) -> Lexicon:
         found = (
             _counts(sample, exceptions).withColumn("w", odds).where((F.col("n1") >= LEAST_DOCS) & (F.col("w") >= least))
-            .orderBy(F.desc("n1"), F.desc("w"), "term").limit(MOST_TERMS).toPandas()
+            .select("term", "w").toPandas()
         )
         weights: dict[str, float] = {}
         for term, w in sorted(zip(found["term"], found["w"]), key=lambda x: (len(x[0]), x[0])):
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id",
 
     # Exception phrases first, around all terms that lean to toxic; then the weights without them.
     clean = (F.col("n0") >= LEAST_DOCS) & (F.col("n0") >= CLEAN_PHRASE * (F.col("n0") + F.col("n1")))
-    phrases = _phrases(sample, terms(frozenset(), 0.0)).where(clean).orderBy(F.desc("n0"), "a", "b").limit(MOST_TERMS)
+    phrases = _phrases(sample, terms(frozenset(), 0.0)).where(clean)
     lexicon = terms({(r["a"], r["b"]) for r in phrases.collect()}, LEAST_LOG_ODDS)
 
     def measure(batches):
