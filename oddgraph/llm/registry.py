@@ -6,6 +6,7 @@ from oddgraph.llm.decontaminate import op7_decontaminate
 from oddgraph.llm.jaccard import op6_jaccard_join
 from oddgraph.llm.langid import op4_language_id
 from oddgraph.llm.licenses import op9_license_scan
+from oddgraph.llm.middle import op12_fill_in_middle
 from oddgraph.llm.oracle import ORACLE
 from oddgraph.llm.packing import op8_pack_sequences
 from oddgraph.llm.repeats import op5_substring_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_pack_sequences": op8_pack_sequences,
     "op9_license_scan": op9_license_scan,
     "op10_feistel_shards": op10_feistel_shards,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
