@@ -85,6 +85,24 @@ FROM f
 """
 
 
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+
+def _terms(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), {_UP}, {_LOW}), {_TERM})"
+
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_terms("text")} AS w FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(w)) AS terms FROM d WHERE len(w) > 0),
+p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY 1, 2, 3, 4),
+q AS (SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest({_terms("text")}) AS t FROM benchmark WHERE item_id IS NOT NULL) GROUP BY 1, 2),
+v AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY t, docs),
+x AS (SELECT item_id, doc_id, r, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score FROM q JOIN v USING (t) JOIN p USING (t), s GROUP BY 1, 2, 3),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS k, doc_id, score FROM x WHERE score > 0)
+SELECT item_id, k::INT AS rank, doc_id, score FROM o WHERE k <= 20
+"""
+
 _UNITS = r"'[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'"
 
 OP12 = f"""
@@ -98,4 +116,4 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) EN
 FROM x
 """
 
-ORACLE = {"op3_embedding_dedup": OP3, "op5_substring_dedup": OP5, "op6_jaccard_join": OP6, "op9_license_scan": _license_sql(), "op12_fill_in_middle": OP12}
+ORACLE = {"op3_embedding_dedup": OP3, "op5_substring_dedup": OP5, "op6_jaccard_join": OP6, "op9_license_scan": _license_sql(), "op11_ranked_search": OP11, "op12_fill_in_middle": OP12}

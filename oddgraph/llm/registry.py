@@ -10,6 +10,7 @@ from oddgraph.llm.middle import op12_fill_in_middle
 from oddgraph.llm.oracle import ORACLE
 from oddgraph.llm.packing import op8_pack_sequences
 from oddgraph.llm.personal import op13_personal_data
+from oddgraph.llm.ranked import op11_ranked_search
 from oddgraph.llm.repeats import op5_substring_dedup
 from oddgraph.llm.sharding import op10_feistel_shards
 from oddgraph.llm.toxicity import op2_toxicity
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_pack_sequences": op8_pack_sequences,
     "op9_license_scan": op9_license_scan,
     "op10_feistel_shards": op10_feistel_shards,
+    "op11_ranked_search": op11_ranked_search,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_personal_data": op13_personal_data,
 }
