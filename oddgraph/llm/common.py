@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,76 +101,47 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-# ASCII white space, the signs between words.
-_WHITE = b" \t\n\x0b\x0c\r"
-_PIECE = 1 << 15
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of one text that are split into words at a time, and words that are hashed at a time.
+_PIECE, _WORDS = 1 << 24, 1 << 18
+_KEY = "words of a text:"
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
-def _sign_tables() -> dict[bool, np.ndarray]:
-    """A random 64-bit value for each byte, 0 for white space; the second table reads A-Z as a-z."""
-    values = np.frombuffer(b"".join(xxhash.xxh3_64_digest(bytes([b]), seed=17) for b in range(256)), "<u8").copy()
-    values[list(_WHITE)] = 0
-    lower = values.copy()
-    lower[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
-    return {False: values, True: lower}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_VALUES, _POWER, _INVERSE = _sign_tables(), _powers(_BASE, _PIECE), _powers(_BASE_INVERSE, _PIECE)
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text in pieces that end before white space."""
+    a = 0
+    while len(text) - a > _PIECE:
+        gap = _SPACE.search(text, a + _PIECE)
+        b = gap.start() if gap else len(text)
+        yield text[a:b]
+        a = b
+    yield text[a:]
 
 
 def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (runs of signs that are no ASCII white space) of a batch of texts, and where
     each text's words begin: those of text i are hashes[at[i]:at[i + 1]]. Null texts have no words.
 
-    A word's hash is a polynomial over its bytes, so that all words of a piece of the batch come from a
-    few vector operations; a word that goes on in the next piece is put together from its parts.
+    A word's hash is keyed SipHash of its bytes, for which no structure of a word makes collisions.
     """
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    if data is None or not len(column):
-        return np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64)
-    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
-    ends = ends - ends[0]
-    table, found, starts_at, open_word, length = _VALUES[lower], [], [], False, 0
-    for a in range(0, len(raw), _PIECE):
-        piece = raw[a : a + _PIECE]
-        values = np.take(table, piece)
-        inside = values != 0
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        cuts = ends[np.searchsorted(ends, a) : np.searchsorted(ends, a + len(piece))] - a
-        first[cuts] = inside[cuts]
-        goes_on = open_word and inside[0] and not (len(cuts) and cuts[0] == 0)
-        starts = np.flatnonzero(first)
-        if goes_on and (not len(starts) or starts[0] != 0):
-            starts = np.concatenate([[0], starts])
-        if len(starts):
-            values *= _POWER[: len(piece)]
-            running = np.cumsum(values, out=values)
-            upto = running[np.append(starts[1:], len(piece)) - 1]
-            sums = np.diff(upto, prepend=np.uint64(0)) * _INVERSE[starts]
-            if goes_on:
-                with np.errstate(over="ignore"):
-                    found[-1][-1] += sums[0] * np.uint64(pow(_BASE, length, 1 << 64))
-            found.append(sums[1:] if goes_on else sums)
-            starts_at.append((starts[1:] if goes_on else starts) + a)
-            if not len(found[-1]):
-                found.pop(), starts_at.pop()
-            grown = len(piece) - int(starts[-1])
-            length = length + grown if goes_on and len(starts) == 1 else grown
-        open_word = bool(inside[-1])
-    if not found:
-        return np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64)
-    return mix(np.concatenate(found)), np.searchsorted(np.concatenate(starts_at), ends).astype(np.int64)
+    words, hashed, at = [], [], [0]
+
+    def hash_words():
+        hashed.append(pd.util.hash_array(np.array(words, dtype=object), hash_key=_KEY, categorize=False))
+        words.clear()
+
+    for text in binary_list(column):
+        n = 0
+        for piece in _pieces(text):
+            found = (piece.lower() if lower else piece).split()
+            words += found
+            n += len(found)
+            if len(words) >= _WORDS:
+                hash_words()
+        at.append(at[-1] + n)
+    if words:
+        hash_words()
+    return np.concatenate(hashed) if hashed else np.empty(0, np.uint64), np.array(at, np.int64)
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:

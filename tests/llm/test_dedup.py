@@ -164,3 +164,39 @@ def test_jaccard_join_links_the_smallest_sets_with_their_supersets(spark, docume
     assert {(len(s[i]), len(s[j])) for i, j in links} >= {(least + 1, least), (least, least + 1)}
     got = jaccard.joined(documents(texts), size=size, num=num, den=den).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(expected))
+
+
+def thue_morse(n):
+    """Two words of n signs over a and b that differ at every sign."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_long_words_of_equal_polynomials_are_told_apart(spark, documents, n):
+    """Words on which a polynomial hash modulo a power of two collides, through both operators and both stages."""
+    import corpus_pipeline
+
+    one, two = thue_morse(n)
+    docs = documents([" ".join([one] * 60), " ".join([two] * 60), " ".join([one, two] * 30)], extra=False)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.joined(docs).collect()} == {0: 0, 1: 1, 2: 2}
+    assert repeats.removals(docs).count() == 0
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        got = {r["doc_id"]: r["text"] for r in stage(spark, docs, "").collect()}
+        assert got == {r["doc_id"]: r["text"] for r in docs.collect()}, name
+
+
+def test_words_do_not_depend_on_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from oddgraph.llm import common
+
+    texts = ["", None, "a  bb\tccc\n", "x" * 50, " lead and trail ", "ünï cödé \x0b\x0c words", "one two three " * 40]
+    whole, at = common.word_hashes(pa.array(texts), True)
+    monkeypatch.setattr(common, "_PIECE", 7)
+    monkeypatch.setattr(common, "_WORDS", 3)
+    pieces, where = common.word_hashes(pa.array(texts), True)
+    assert whole.tolist() == pieces.tolist() and at.tolist() == where.tolist()
+    assert np.diff(at).tolist() == [len((t or "").encode().split()) for t in texts]
+    assert len(set(whole.tolist())) == len({w for t in texts for w in (t or "").encode().lower().split()})
+    assert not len(common.word_hashes(pa.array([], pa.string()))[0])
