@@ -2,16 +2,16 @@
 
 One pass over the documents counts their terms. Equal texts of a chunk of one task become one row, its
 representative, with the number of its copies, so a large group of copies costs a posting list entry a
-chunk. The postings (term, representative, gain) of the query's terms are written once, dealt by term
-and a salt, each list with its largest gains first; a gain is a document's share of a score that does
-not depend on the item, so one list serves all items.
+chunk. The postings of the query's terms are dealt by term and by bucket of documents and packed into
+list parts, largest gain first; a gain is a document's share of a score that does not depend on the
+item, so one list serves all items.
 
 Phase 1 takes the first k of every list, adds them up per item and document, and the k-th best sum is a
 lower bound of the item's k-th score. Phase 2 divides it by the number of the item's lists: a document
-below that threshold in all lists cannot be among the first k, so every list gives what reaches it.
-Sums of these raise the bound, and what a document may still get from the lists that have not shown it
-(less than the threshold, and no more than the list's first gain) removes most candidates. Phase 3
-looks up the rest's gains in all lists of the item: exact scores.
+below that threshold in all lists cannot be among the first k, so every list gives what reaches it, once
+for all items, to the task that adds up its bucket of documents. What a document may still get from the
+lists that have not shown it (less than the threshold, and no more than the list's first gain) removes
+most candidates. Phase 3 looks up the rest's gains in all lists of the item: exact scores.
 
 Defined results: a null or empty text, and one without terms, is in no list and does not count to N; items
 are their terms (rows of equal item ids are one item, null ids are left out), an item without terms that
@@ -29,14 +29,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from oddgraph.llm.common import discard, stored, text_blocks
 
 TOP = 20
 #: Distinct query terms that tasks may hold as a set; a larger vocabulary is joined instead.
 HELD_TERMS = 200_000
-#: Parts of a posting list: no task gets a whole hot list.
-SALTS = 16
+#: Documents of a bucket, about: a posting list has one part for each, so no task gets a whole hot list.
+BUCKET = 8192
+#: Pairs of item and term that are searched at a time; tasks hold them.
+PAIRS = 1 << 18
 #: Postings of a chunk of one task.
 CHUNK = 1 << 18
 
@@ -137,71 +140,205 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def searched(docs: DataFrame, items: DataFrame, k: int = TOP, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", held_terms: int = HELD_TERMS, salts: int = SALTS) -> DataFrame:
+def packed(rows: DataFrame) -> DataFrame:
+    """List parts (term, bucket, df, top, reps, gains), gains falling, from postings (term, bucket, rep, gain, copies)."""
+    names = ["term", "bucket", "df", "top", "reps", "gains"]
+
+    def pack(batches):
+        held: list[tuple] = []  # the open part: (term, bucket), then slices
+
+        def closed():
+            reps, gains, copies = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+            return (*held[0][0], int(copies.sum()), int(gains[0]), reps.tobytes(), gains.astype(np.int32).tobytes())
+
+        def table(out):
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            words = batch["term"].dictionary_encode()
+            code, bucket = words.indices.to_numpy(), batch["bucket"].to_numpy()
+            reps, gains, copies = (batch[c].to_numpy() for c in ("rep", "gain", "copies"))
+            starts = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (bucket[1:] != bucket[:-1])))
+            out = []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(code)]):
+                name = (words.dictionary[int(code[a])].as_py(), int(bucket[a]))
+                if held and held[0][0] != name:
+                    out.append(closed())
+                    held.clear()
+                held.append((name, reps[a:b], gains[a:b], copies[a:b]))
+            if out:
+                yield table(out)
+        if held:
+            yield table([closed()])
+
+    dealt = rows.repartition("term", "bucket").sortWithinPartitions("term", "bucket", F.desc("gain"), "rep")
+    return dealt.mapInArrow(pack, "term string, bucket long, df long, top long, reps binary, gains binary")
+
+
+def unpacked(part: dict, count: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Representatives and gains of a list part's first ``count`` entries."""
+    return np.frombuffer(part["reps"], np.int64)[:count], np.frombuffer(part["gains"], np.int32)[:count].astype(np.int64)
+
+
+def first_entries(lists: DataFrame, k: int) -> DataFrame:
+    """(term, rep, gain): the first k of every list, from the first k of its parts."""
+
+    def first(batches):
+        for batch in batches:
+            for part in batch.to_pylist():
+                reps, gains = unpacked(part, k)
+                yield pa.RecordBatch.from_arrays([pa.array([part["term"]] * len(reps)), pa.array(reps), pa.array(gains)], ["term", "rep", "gain"])
+
+    found = lists.select("term", "reps", "gains").mapInArrow(first, "term string, rep long, gain long")
+    rank = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("gain"), "rep"))
+    return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+
+
+class Asked:
+    """The items of a block: for each its lower bound and its lists (term, qw, least gain, most of what is below)."""
+
+    def __init__(self, rows: list, kind: pa.DataType, sql: str):
+        self.kind, self.sql, self.items, self.least = kind, sql, {}, {}
+        for r in rows:
+            self.items.setdefault(r["item_id"], (r["bound"], []))[1].append((r["term"], r["qw"], r["least"], r["most"]))
+            self.least[r["term"]] = min(r["least"], self.least.get(r["term"], r["least"]))
+
+    def table(self, out: list[tuple], names: list[str]) -> pa.Table:
+        """(item, columns...) for each item as one table."""
+        ids = pa.array([x[0] for x in out for _ in range(len(x[1]))], self.kind)
+        rest = [np.concatenate([x[k] for x in out]) if out else np.empty(0, np.int64) for k in range(1, len(names) + 1)]
+        return pa.table({"item_id": ids, **{c: pa.array(x, pa.int64()) for c, x in zip(names, rest)}})
+
+
+def fetched(lists: DataFrame, asked: Asked) -> DataFrame:
+    """Phase 2: of each list part the entries that reach the least threshold of any item."""
+
+    def fetch(batches):
+        for batch in batches:
+            out = []
+            for part in batch.to_pylist():
+                least = asked.least.get(part["term"])
+                if least is not None and part["top"] >= least:
+                    reps, gains = unpacked(part)
+                    n = int(np.searchsorted(-gains, -least, "right"))
+                    out.append((part["term"], part["bucket"], part["reps"][: 8 * n], part["gains"][: 4 * n]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["term", "bucket", "reps", "gains"])
+
+    return lists.select("term", "bucket", "top", "reps", "gains").mapInArrow(fetch, "term string, bucket long, reps binary, gains binary")
+
+
+def added_up(parts: DataFrame, asked: Asked, k: int) -> DataFrame:
+    """(item_id, rep, bucket, s, most): sums of what reaches each item's threshold, and the most a document can
+    have, for the documents that may be among the item's first k as far as its bucket tells."""
+
+    def merge(group: pa.Table) -> pa.Table:
+        held = {p["term"]: unpacked(p) for p in group.to_pylist()}
+        docs = np.unique(np.concatenate([reps for reps, _ in held.values()]))
+        held = {t: (np.searchsorted(docs, reps), gains, -gains) for t, (reps, gains) in held.items()}
+        out, bucket = [], group["bucket"][0].as_py()
+        for item, (bound, lists) in asked.items.items():
+            s, rest = np.zeros(len(docs), np.int64), np.full(len(docs), sum(x[3] for x in lists), np.int64)
+            for term, qw, least, most in lists:
+                if term in held:
+                    at, gains, falling = held[term]
+                    n = int(np.searchsorted(falling, -least, "right"))
+                    s[at[:n]] += qw * gains[:n]
+                    rest[at[:n]] -= most
+            least = max(bound, int(np.partition(s, -k)[-k]) if len(s) >= k else 0)
+            keep = np.flatnonzero((s > 0) & (s + rest >= least))
+            out.append((item, docs[keep], np.full(len(keep), bucket), s[keep], s[keep] + rest[keep]))
+        return asked.table(out, ["rep", "bucket", "s", "most"])
+
+    return parts.groupBy("bucket").applyInArrow(merge, f"item_id {asked.sql}, rep long, bucket long, s long, most long")
+
+
+def looked_up(lists: DataFrame, candidates: DataFrame, asked: Asked) -> DataFrame:
+    """Phase 3: (item_id, rep, score) of the candidates (item_id, rep, bucket, s), with what their lists hold below the thresholds."""
+
+    def look(left: pa.Table, right: pa.Table) -> pa.Table:
+        held, by_doc = {p["term"]: p for p in left.to_pylist()}, {}
+        ids, reps, sums = right["item_id"].to_pylist(), right["rep"].to_numpy(), right["s"].to_numpy()
+        rows: dict = {}
+        for k, item in enumerate(ids):
+            rows.setdefault(item, []).append(k)
+        out = []
+        for item, at in rows.items():
+            mine, score = reps[at], sums[at].copy()
+            for term, qw, least, _ in asked.items[item][1]:
+                if term in held:
+                    if term not in by_doc:
+                        docs, gains = unpacked(held[term])
+                        by_doc[term] = docs[order := np.argsort(docs)], gains[order]
+                    docs, gains = by_doc[term]
+                    place = np.minimum(np.searchsorted(docs, mine), len(docs) - 1)
+                    found = (docs[place] == mine) & (gains[place] < least)
+                    score += np.where(found, qw * gains[place], 0)
+            out.append((item, mine, score))
+        return asked.table(out, ["rep", "score"])
+
+    parts = lists.select("term", "bucket", "reps", "gains").join(candidates.select("bucket").distinct(), "bucket", "left_semi")
+    return parts.groupBy("bucket").cogroup(candidates.groupBy("bucket")).applyInArrow(look, f"item_id {asked.sql}, rep long, score long")
+
+
+def searched(docs: DataFrame, items: DataFrame, k: int = TOP, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
+             held_terms: int = HELD_TERMS, bucket: int = BUCKET, pairs: int = PAIRS) -> DataFrame:
     """(item_id, rank, doc_id, score): the k documents of highest score above 0 of each item."""
     asked = stored(item_terms(items, item, item_text), "asked")
-    vocabulary = asked.select("term").distinct()
-    held = None
+    vocabulary, held = asked.select("term").distinct(), None
     if vocabulary.limit(held_terms + 1).count() <= held_terms:
         held = {r["term"].encode() for r in vocabulary.collect()}
-    raw = entered(docs, key, text, held)
-    raw = stored(raw, "entered")
+    raw = stored(entered(docs, key, text, held), "entered")
     total = raw.where("kind = 2").agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
     documents, length = total["N"], max(total["L"], 1)
 
     rows = raw.where("kind = 0").select("term", "rep", "tf", "n", "copies")
     if held is None:
         rows = rows.join(vocabulary, "term", "left_semi")
-    rows = rows.select("term", "rep", "copies", gain(F.col("tf"), F.col("n"), documents, length).alias("gain"), F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int").alias("salt"))
-    lists = stored(rows.repartition("term", "salt").sortWithinPartitions("term", F.desc("gain")), "postings")
-
-    # Phase 1: heads of the lists, first of each part, then of the list.
-    order = Window.partitionBy("term", "salt").orderBy(F.desc("gain"), "rep")
-    heads = lists.select("term", "salt", "rep", "gain").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
-    heads = heads.withColumn("_r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("gain"), "rep"))).where(F.col("_r") <= k)
-    heads = stored(heads.select("term", "rep", "gain"), "heads")
-    counted = lists.groupBy("term").agg(F.sum("copies").alias("df"))
+    where = F.pmod(F.xxhash64("rep"), F.lit(max(1, -(-documents // bucket)))).cast("long")
+    rows = rows.select("term", where.alias("bucket"), "rep", gain(F.col("tf"), F.col("n"), documents, length).alias("gain"), "copies")
+    lists = stored(packed(rows), "postings")
+
     weight = F.floor(1000 * F.log((2.0 * documents + 2.0) / (2.0 * F.col("df") + 1.0))).cast("long")
-    firsts = heads.groupBy("term").agg(F.max("gain").alias("top"))
-    weights = counted.join(firsts, "term").select("term", weight.alias("w"), "top")
-    asked_now = stored(asked.join(weights, "term").select("item_id", "term", (F.col("q") * F.col("w")).alias("qw"), "top").where("qw * top > 0"), "asked")
+    weights = lists.groupBy("term").agg(F.sum("df").alias("df"), F.max("top").alias("top")).select("term", weight.alias("w"), "top")
+    known = asked.join(weights, "term").select("item_id", "term", (F.col("q") * F.col("w")).alias("qw"), "top").where("qw * top > 0")
+    asked_now = stored(known, "asked")
     discard(asked)
-    sums = heads.join(asked_now, "term").groupBy("item_id", "rep").agg(F.sum(F.col("qw") * F.col("gain")).alias("s"))
-    bound = kth(sums, k, "s", "bound")
 
-    # Phase 2: what reaches the uniform threshold, at least 1, in any list of the item. ``most`` is what a list that
-    # has not shown a document may still add.
-    lists_of = asked_now.groupBy("item_id").agg(F.count("*").alias("m"))
+    # Phase 1, and the uniform thresholds, at least 1. ``most`` is what a list that has not shown a document may still add.
+    sums = first_entries(lists, k).join(asked_now, "term").groupBy("item_id", "rep").agg(F.sum(F.col("qw") * F.col("gain")).alias("s"))
+    lists_of = asked_now.groupBy("item_id").agg(F.count("*").alias("m")).join(kth(sums, k, "s", "bound"), "item_id")
     threshold = F.greatest(F.ceil(F.col("bound") / F.col("m")), F.lit(1)).cast("long")
-    least = _div(F.col("t") + F.col("qw") - 1, F.col("qw"))
-    marked = asked_now.join(lists_of, "item_id").join(bound, "item_id").withColumn("t", threshold)
-    marked = stored(marked.select("item_id", "term", "qw", least.alias("least"), F.least(F.col("qw") * F.col("top"), F.col("t") - 1).alias("most"), "top"), "marked")
+    marked = asked_now.join(lists_of.withColumn("t", threshold), "item_id")
+    most = F.least(F.col("qw") * F.col("top"), F.col("t") - 1).alias("most")
+    marked = stored(marked.select("item_id", "bound", "term", "qw", _div(F.col("t") + F.col("qw") - 1, F.col("qw")).alias("least"), most), "marked")
     discard(asked_now)
-    parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    wanted = marked.where("least <= top").select("item_id", "term", "qw", "least", "most", parts)
-    hits = lists.select("term", "salt", "rep", "gain").join(wanted, ["term", "salt"]).where("gain >= least")
-    hits = stored(hits.groupBy("item_id", "rep").agg(F.sum(F.col("qw") * F.col("gain")).alias("s"), F.sum("most").alias("known")), "hits")
-    bound = kth(hits, k, "s", "bound")
-    open_sum = marked.groupBy("item_id").agg(F.sum("most").alias("all"))
-    candidates = hits.join(bound.join(open_sum, "item_id"), "item_id").where(F.col("s") + F.col("all") - F.col("known") >= F.col("bound"))
-    candidates = stored(candidates.select("item_id", "rep", "s"), "candidates")
-
-    # Phase 3: what the candidates have below the thresholds, looked up by (term, representative).
-    below = candidates.select("item_id", "rep").join(marked.select("item_id", "term", "qw", "least"), "item_id")
-    rest = below.join(lists.select("term", "rep", "gain"), ["term", "rep"]).where("gain < least")
-    rest = rest.groupBy("item_id", "rep").agg(F.sum(F.col("qw") * F.col("gain")).alias("more"))
-    scores = candidates.join(rest, ["item_id", "rep"], "left").select("item_id", "rep", (F.col("s") + F.coalesce("more", F.lit(0))).alias("score"))
-    better = F.rank().over(Window.partitionBy("item_id").orderBy(F.desc("score")))
-    scores = stored(scores.withColumn("_r", better).where(F.col("_r") <= k).drop("_r"), "scores")
-    for x in (heads, hits, candidates, marked, lists):
-        discard(x)
+
+    blocks = -(-marked.count() // pairs)
+    kind, scores = to_arrow_type(marked.schema["item_id"].dataType), []
+    for b in range(blocks):
+        part = Asked(marked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect(), kind, marked.schema["item_id"].dataType.simpleString())
+        hits = stored(added_up(fetched(lists, part), part, k), "hits")
+        candidates = hits.join(kth(hits, k, "s", "bound"), "item_id").where("most >= bound").select("item_id", "rep", "bucket", "s")
+        found = looked_up(lists, candidates, part)
+        better = F.rank().over(Window.partitionBy("item_id").orderBy(F.desc("score")))
+        scores.append(stored(found.withColumn("_r", better).where(F.col("_r") <= k).drop("_r"), "scores"))
+        discard(hits)
+    discard(marked)
+    discard(lists)
 
     # Copies: the first k ids of each representative.
-    ids = raw.where("kind = 1").select("rep", "id").join(scores.select("rep").distinct(), "rep", "left_semi")
+    ids = raw.where("kind = 1").select("rep", "id")
+    every = docs.sparkSession.createDataFrame([], f"item_id {asked.schema['item_id'].dataType.simpleString()}, rep long, score long")
+    for x in scores:
+        every = every.union(x)
     by_id = [F.col("id").isNull(), "id"]
+    ids = ids.join(every.select("rep").distinct(), "rep", "left_semi")
     copies = ids.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy(*by_id))).where(F.col("_r") <= k).drop("_r")
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), *by_id))
-    out = scores.join(copies, "rep").withColumn("rank", rank).where(F.col("rank") <= k)
+    out = every.join(copies, "rep").withColumn("rank", rank).where(F.col("rank") <= k)
     return out.select(F.col("item_id").alias(item), "rank", F.col("id").alias(key), "score")
 
 

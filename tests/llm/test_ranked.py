@@ -52,14 +52,14 @@ def corpus():
     return docs, items
 
 
-@pytest.mark.parametrize(("k", "held", "salts", "chunk"), [(20, 10**6, 16, 1 << 18), (3, 0, 2, 50), (1, 10**6, 1, 7)])
-def test_against_plain_scoring(spark, monkeypatch, k, held, salts, chunk):
+@pytest.mark.parametrize(("k", "held", "bucket", "pairs", "chunk"), [(20, 10**6, 8192, 1 << 18, 1 << 18), (3, 0, 20, 150, 50), (8, 10**6, 3, 1000, 7)])
+def test_against_plain_scoring(spark, monkeypatch, k, held, bucket, pairs, chunk):
     monkeypatch.setattr(ranked, "CHUNK", chunk)
     docs, items = corpus()
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     for c in ("rank", "score", "term", "rep", "n", "kind", "id", "gain"):
         d = d.withColumn(c, F.lit(1))
-    got = [tuple(r) for r in ranked.searched(d, spark.createDataFrame(items, "item_id long, text string"), k, held_terms=held, salts=salts).collect()]
+    got = [tuple(r) for r in ranked.searched(d, spark.createDataFrame(items, "item_id long, text string"), k, held_terms=held, bucket=bucket, pairs=pairs).collect()]
     assert len(got) == len(set(got)) or k == 20  # copies of equal id may tie
     assert set(got) == plain(docs, items, k)
 
