@@ -117,20 +117,67 @@ def random_walk_sample(e: DataFrame, nodes: DataFrame, size: int, seed: int) ->
     return got.select("id", "slot", F.coalesce("dst", "id").alias("node"))
 
 
-def non_neighbours(e: DataFrame, nodes: DataFrame, k: int, seed: int, tries: int = 8) -> DataFrame:
-    """k distinct nodes that are neither a neighbour nor the node itself.
+def _free_places(taken: DataFrame, starts: DataFrame, n: int, k: int) -> DataFrame:
+    """(q, slot, place): the first min(k, free) places of a circle of n that query q's walk from place ``s``
+    meets and that are not taken. taken(q, place) is distinct, starts(q, s).
 
-    Nodes are numbered in shuffle order, and each node walks that circle from a hashed place: a bounded number of candidates
-    (tries * k), an anti-join, and a rank, instead of all pairs.
+    In walking order the j-th taken place (from 1) at offset o has o - (j - 1) free ones before it, so the i-th
+    free offset is i - 1 plus the number of taken places with o - (j - 1) <= i - 1. Only offsets below k plus the
+    number of taken places can matter; they are numbered within ranges of offsets, and a query keeps k counts.
     """
+    span = 1 << 16
+    m = taken.groupBy("q").agg(F.count("*").alias("m"))
+    near = taken.join(starts, "q").join(m, "q").select("q", F.pmod(F.col("place") - F.col("s"), F.lit(n)).alias("o"), "m").where(F.col("o") < F.col("m") + k)
+    near = near.select("q", "o", F.floor(F.col("o") / span).alias("part"))
+    parts = near.groupBy("q", "part").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("q").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("q", "part").orderBy("o")) - 1
+    free = near.withColumn("i", inside).join(parts.withColumn("before", before).drop("c"), ["q", "part"]).select("q", (F.col("o") - F.col("i") - F.col("before")).alias("free"))
+    counts = free.where(F.col("free") < k).groupBy("q", "free").agg(F.count("*").alias("c"))
+    counts = counts.groupBy("q").agg(F.collect_list(F.struct("free", "c")).alias("counts"))  # at most k of them
+    x = starts.join(m, "q", "left").join(counts, "q", "left").withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    passed = F.aggregate(F.coalesce("counts", F.array().cast("array<struct<free: bigint, c: bigint>>")), F.lit(0).cast("long"), lambda t, c: t + F.when(c["free"] < F.col("slot"), c["c"]).otherwise(0))
+    x = x.where(F.col("slot") <= n - F.coalesce("m", F.lit(0)))
+    return x.select("q", "slot", F.pmod(F.col("s") + F.col("slot") - 1 + passed, F.lit(n)).alias("place"))
+
+
+def _circle(nodes: DataFrame, seed: int) -> DataFrame:
+    """(cand, place): the nodes in shuffle order, from 0."""
+    return ranked(nodes.select("id"), seed).select(F.col("id").alias("cand"), (F.col("r") - 1).alias("place"))
+
+
+def non_neighbours(e: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
+    """(id, slot, cand): min(k, available) distinct nodes that are neither an out-neighbour nor the node itself.
+
+    Nodes lie on a circle in shuffle order, and each node walks it from a hashed place; what it meets is
+    computed from its taken places alone, whether it has few neighbours or nearly all nodes.
+    """
+    n = nodes.count()
+    circle = _circle(nodes, seed)
+    ends = e.select(F.col("src").alias("q"), F.col("dst").alias("cand")).union(nodes.select(F.col("id").alias("q"), F.col("id").alias("cand"))).distinct()
+    starts = nodes.select(F.col("id").alias("q"), F.floor(uniform(seed + 1, "id") * n).cast("long").alias("s"))
+    found = _free_places(ends.join(circle, "cand").select("q", "place"), starts, n, k)
+    return found.join(circle, "place").select(F.col("q").alias("id"), "slot", "cand")
+
+
+def triplets(e: DataFrame, nodes: DataFrame, count: int, k: int, seed: int, strict: bool = True) -> DataFrame:
+    """(anchor, positive, slot, negative): the first ``count`` edges without loops in shuffle order, and k distinct
+    non-neighbours of each edge's anchor, drawn anew for every edge. With ``strict`` an anchor that has fewer
+    than k raises ValueError; otherwise it gives what it has."""
     n = nodes.count()
-    circle = ranked(nodes.select("id"), seed).select(F.col("id").alias("cand"), (F.col("r") - 1).alias("place"))
-    start = F.floor(uniform(seed + 1, "id") * n).cast("long")
-    steps = min(n, tries * k)
-    walk = nodes.select("id", start.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"))
-    cand = walk.select("id", "i", ((F.col("s") + F.col("i")) % n).cast("int").alias("place")).join(circle, "place").where("cand <> id")
-    free = cand.join(e.select(F.col("src").alias("id"), F.col("dst").alias("cand")), ["id", "cand"], "left_anti")
-    return free.withColumn("slot", F.row_number().over(Window.partitionBy("id").orderBy("i"))).where(F.col("slot") <= k).select("id", "slot", "cand")
+    circle = _circle(nodes, seed)
+    real = e.where("src <> dst").select("src", "dst").distinct()
+    chosen = ranked(real.select(F.concat_ws(":", "src", "dst").alias("id"), "src", "dst"), seed).where(F.col("r") <= count).select("r", "src", "dst")
+    mine = chosen.select(F.col("r").alias("q"), "src").join(real, "src").select("q", F.col("dst").alias("cand"))
+    ends = mine.union(chosen.select("r", "src"))
+    starts = chosen.select(F.col("r").alias("q"), F.floor(uniform(seed + 1, "src", "dst") * n).cast("long").alias("s"))
+    found = _free_places(ends.join(circle, "cand").select("q", "place"), starts, n, k).join(circle, "place")
+    out = chosen.join(found.select(F.col("q").alias("r"), "slot", F.col("cand").alias("negative")), "r", "left").select(F.col("src").alias("anchor"), F.col("dst").alias("positive"), "slot", "negative")
+    if strict:
+        short = out.groupBy("anchor", "positive").agg(F.count("negative").alias("c")).where(F.col("c") < k).select("anchor").first()
+        if short is not None:
+            raise ValueError(f"node {short['anchor']} has fewer than {k} non-neighbours")
+    return out.where("negative is not null")
 
 
 def node_pairs(nodes: DataFrame, count: int, seed: int) -> DataFrame:

@@ -189,10 +189,37 @@ def _core(k: int, rounds: int) -> str:
     return _with("und", f"SELECT DISTINCT src AS id FROM c{rounds}", **more)
 
 
+def _cores(edges: str, rounds: int) -> dict[str, str]:
+    """cn(id, core) by so many rounds of h-indexes of the neighbours' values."""
+    more = {"h0": f"SELECT src AS id, count(*) AS c FROM {edges} GROUP BY 1"}
+    for i in range(1, rounds + 1):
+        seen = f"SELECT e.src, h.c, count(*) OVER (PARTITION BY e.src ORDER BY h.c DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM {edges} e JOIN h{i - 1} h ON h.id = e.dst"
+        more[f"h{i}"] = f"SELECT src AS id, max(least(c, n)) AS c FROM ({seen}) GROUP BY 1"
+    return more | {"cn": f"SELECT id, c AS core FROM h{rounds}"}
+
+
+def _ranks(rounds: int, tolerance: str) -> dict[str, str]:
+    """pr(id, p, rounds): the first of so many rounds of PageRank whose summed change is below the tolerance times the nodes."""
+    more = {k: _PAGE[k] for k in ("nr", "p0")}
+    for i in range(1, rounds + 1):
+        more[f"g{i}"] = _PAGE["g1"].replace("p0", f"p{i - 1}")
+        more[f"p{i}"] = _PAGE["p1"].replace("g1", f"g{i}")
+    every = " UNION ALL ".join(f"SELECT {i} AS i, a.id, a.n, a.p, abs(a.p - b.p) AS d FROM p{i} a JOIN p{i - 1} b USING (id)" for i in range(1, rounds + 1))
+    more["ap"] = every
+    return more | {"pr": f"SELECT id, p, i AS rounds FROM ap WHERE i = (SELECT min(i) FROM (SELECT i FROM ap GROUP BY i HAVING sum(d) < {tolerance} * max(n)))"}
+
+
 def _u(*keys: str, seed: int = 42) -> str:
     return _U.format(k=f"'{seed}:' || " + " || ':' || ".join(keys))
 
 
+_TRIPLETS = {
+    "circle": f"SELECT id AS cand, row_number() OVER (ORDER BY {_KEY}, id) - 1 AS place FROM vec",
+    "chosen": "SELECT * FROM (SELECT DISTINCT src, dst FROM knn WHERE src <> dst) ORDER BY md5('42:' || src || ':' || dst), src || ':' || dst LIMIT 200",
+    "walk": f"SELECT src, dst, i, (floor({_u('src', 'dst', seed=43)} * (SELECT count(*) FROM vec))::BIGINT + i) % (SELECT count(*) FROM vec) AS place FROM chosen, (SELECT unnest(range((SELECT count(*) FROM vec))) AS i)",
+    "tri": "SELECT * FROM (SELECT w.src AS anchor, w.dst AS positive, row_number() OVER (PARTITION BY w.src, w.dst ORDER BY w.i) AS slot, c.cand AS negative FROM walk w JOIN circle c USING (place) LEFT JOIN (SELECT DISTINCT src, dst FROM knn) e ON e.src = w.src AND e.dst = c.cand WHERE e.src IS NULL AND c.cand <> w.src) WHERE slot <= 4",
+}
+
 ORACLE: dict[str, str] = {
     "auroc_affinity_vec": _with("cnt", f"SELECT round(auroc, 6) AS auroc FROM ({_auc('cnt')})"),
     "auprc_affinity_vec": _with("cnt", f"SELECT round(auprc, 6) AS auprc FROM ({_ap('cnt')})"),
@@ -256,7 +283,14 @@ ORACLE: dict[str, str] = {
     "edge_distance": _with("knn", "SELECT src, dst, round(dist, 6) AS dist, round((SELECT avg(dist) FROM ed WHERE dist <> 0), 6) AS mean_dist FROM ed", ed=f"SELECT e.src, e.dst, {_L2} AS dist FROM {_ends('knn')}"),
     "lookup_edges": _with("knn", "SELECT p.src, p.dst, round(coalesce(k.w, 0), 6) AS w FROM (SELECT id AS src, (id * 7 + 3) % 50 AS dst FROM vec UNION SELECT src, dst FROM knn WHERE src % 10 = 0) p LEFT JOIN knn k USING (src, dst)"),
     "clustering_coeff": _with("und", "SELECT id, round(degree, 6) AS degree, round(clustering, 6) AS clustering FROM loc", **_TRI),
-    "struct_fingerprint": _with("und", "SELECT l.id, round(l.degree, 6) AS degree, round(l.clustering, 6) AS clustering, round(coalesce(pd, 0), 6) AS pooled_degree, round(coalesce(pc, 0), 6) AS pooled_clustering FROM loc l LEFT JOIN (SELECT e.src AS id, avg(degree) AS pd, avg(clustering) AS pc FROM und e JOIN loc ON loc.id = e.dst GROUP BY 1) USING (id)", **_TRI),
+    "struct_fingerprint": _with(
+        "und", "SELECT l.id, " + ", ".join(f"round(l.{c}, 6) AS {c}, round(coalesce(p.{c}, 0), 6) AS pooled_{c}" for c in ("degree", "clustering", "core")) + " FROM lc l LEFT JOIN (SELECT e.src AS id, avg(degree) AS degree, avg(clustering) AS clustering, avg(core) AS core FROM und e JOIN lc ON lc.id = e.dst GROUP BY 1) p USING (id)",
+        **_TRI, **_cores("und", 30), lc="SELECT loc.*, coalesce(cn.core, 0) / (SELECT max(core) FROM cn)::DOUBLE AS core FROM loc LEFT JOIN cn USING (id)",
+    ),
+    "core_numbers": _with("und", "SELECT v.id, coalesce(core, 0)::BIGINT AS core FROM vec v LEFT JOIN cn USING (id)", **_cores("und", 30)),
+    "core_numbers_supply": _with("ps psn", "SELECT core, count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT v.id, coalesce(core, 0)::BIGINT AS core FROM psn v LEFT JOIN cn USING (id)) GROUP BY 1", pu="SELECT DISTINCT src, dst FROM ps WHERE src <> dst AND w <> 0", **_cores("pu", 30)),
+    "pagerank_converged": _with("unw", "SELECT id, round(ln(p), 6) AS p, rounds FROM pr", **_ranks(60, "1e-6")),
+    "triplet_sample": _with("knn", "SELECT anchor, positive, slot::INT AS slot, negative FROM tri", **_TRIPLETS),
     "kcore_fixed_k": _core(5, 40),
     "pagerank_fixed": _with("unw", "SELECT id, round(p, 6) AS p FROM p5", **_PAGE),
     "neighbor_diversity": _with("knn", "SELECT v.id, round(coalesce(var_pop(c), 0), 6) AS m FROM vec v LEFT JOIN pc USING (id) GROUP BY 1", **_DIV),
@@ -292,7 +326,7 @@ ORACLE: dict[str, str] = {
     ),
     "dominant_row_error": _with("unw vec", "SELECT a.id, round(sqrt(sum(pow(list_inner_product(a.f, b.f) - coalesce(e.w, 0), 2))), 6) AS structure FROM vec a CROSS JOIN vec b LEFT JOIN unw e ON e.src = a.id AND e.dst = b.id GROUP BY 1"),
     "structure_bce": _with("unw vec", "SELECT round(avg(greatest(l, 0) + ln(1 + exp(-abs(l))) - w * l), 6) AS loss FROM (SELECT list_inner_product(a.f, b.f) AS l, coalesce(e.w, 0) AS w FROM vec a CROSS JOIN vec b LEFT JOIN unw e ON e.src = a.id AND e.dst = b.id)"),
-    "link_loss": _with("knn", f"SELECT round(avg(l - s), 6) AS loss FROM (SELECT t.src, max({_cos('a.f', 'p.f')} / 0.5) AS s, ln(sum(exp({_cos('a.f', 'n.f')} / 0.5))) AS l FROM (SELECT src, min(dst) AS positive FROM knn GROUP BY 1) t JOIN vec a ON a.id = t.src JOIN vec p ON p.id = t.positive, vec n WHERE n.id IN (11, 23, 37) GROUP BY 1)"),
+    "link_loss": _with("knn", f"SELECT round(avg(l - s), 6) AS loss FROM (SELECT anchor, positive, max({_cos('a.f', 'p.f')} / 0.5) AS s, ln(sum(exp({_cos('a.f', 'n.f')} / 0.5))) AS l FROM tri JOIN vec a ON a.id = anchor JOIN vec p ON p.id = positive JOIN vec n ON n.id = negative GROUP BY 1, 2)", **_TRIPLETS),
     "margin_loss": _with("knn", f"SELECT round(avg(CASE WHEN a.y = 0 THEN 1 - list_inner_product(a.u, b.u) ELSE greatest(0, list_inner_product(a.u, b.u) - 0.2) END), 6) AS loss FROM {_ends('knn')}"),
     "weighted_ce": _with("doc", "SELECT round(sum(-c * CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) / sum(c), 6) AS loss FROM (SELECT y, 1 / (1 + exp(-(n_chars / 1000 - 2))) AS p, CASE WHEN y = 1 THEN (SELECT count(*) FILTER (y = 0) / count(*) FILTER (y = 1)::DOUBLE FROM doc WHERE mark) ELSE 1 END AS c FROM doc WHERE mark)"),
     "contrast_loss": _with("knn", "SELECT round(avg(l), 6) AS loss FROM (SELECT b, avg(-ln(greatest(p, 1e-8) / greatest(t, 1e-8))) AS l FROM (SELECT a.id // 1000 AS b, a.id, sum(CASE WHEN e.src IS NULL THEN 0 ELSE exp(list_inner_product(a.u, z.u)) END) AS p, sum(exp(list_inner_product(a.u, z.u))) AS t FROM vec a CROSS JOIN vec z LEFT JOIN knn e ON e.src = a.id AND e.dst = z.id GROUP BY 1, 2) GROUP BY 1)"),
@@ -316,7 +350,7 @@ ORACLE: dict[str, str] = {
     "nonneighbor_sample": _with(
         "und", "SELECT id, slot::INT AS slot, cand FROM (SELECT w.id, c.cand, row_number() OVER (PARTITION BY w.id ORDER BY w.i) AS slot FROM walk w JOIN circle c ON c.place = w.place LEFT JOIN und e ON e.src = w.id AND e.dst = c.cand WHERE e.src IS NULL AND c.cand <> w.id) WHERE slot <= 3",
         circle=f"SELECT id AS cand, row_number() OVER (ORDER BY {_KEY}, id) - 1 AS place FROM vec",
-        walk=f"SELECT id, i, (floor({_u('id', seed=43)} * (SELECT count(*) FROM vec))::BIGINT + i) % (SELECT count(*) FROM vec) AS place FROM vec, (SELECT unnest(range(24)) AS i)",
+        walk=f"SELECT id, i, (floor({_u('id', seed=43)} * (SELECT count(*) FROM vec))::BIGINT + i) % (SELECT count(*) FROM vec) AS place FROM vec, (SELECT unnest(range((SELECT count(*) FROM vec))) AS i)",
     ),
     "pair_sample": f"SELECT pair, floor({_u('pair')} * n)::BIGINT AS a, floor({_u('pair', seed=43)} * n)::BIGINT AS b FROM (SELECT unnest(range(1000)) AS pair), (SELECT count(*) AS n FROM embeddings)",
     "column_sample": f"SELECT slot, floor({_u('slot')} * 64)::BIGINT AS j, 4.0::DOUBLE AS scale FROM (SELECT unnest(range(16)) AS slot)",

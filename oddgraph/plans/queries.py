@@ -13,6 +13,7 @@ from oddgraph.operators import metrics as M
 from oddgraph.operators import neighbours as N
 from oddgraph.operators import propagate as P
 from oddgraph.operators import sampling as S
+from oddgraph.operators import structure as T
 from oddgraph.sources import graphs as src
 
 W = 64
@@ -299,14 +300,29 @@ def clustering_coeff(spark, d):
 
 def struct_fingerprint(spark, d):
     e = und(spark, d)
-    x = N.structural_fingerprint(N.clustering(e, vec(spark, d)), e, ["degree", "clustering"])
-    return rounded(x, "degree", "clustering", "pooled_degree", "pooled_clustering")
+    names = ["degree", "clustering", "core"]
+    local = N.clustering(e, vec(spark, d)).join(T.core_share(T.core_numbers(e, vec(spark, d))), "id")
+    return rounded(N.structural_fingerprint(local, e, names), *names, *[f"pooled_{n}" for n in names])
 
 
 def kcore_fixed_k(spark, d):
     return P.k_core(und(spark, d), 5)
 
 
+def core_numbers(spark, d):
+    return T.core_numbers(und(spark, d), vec(spark, d))
+
+
+def core_numbers_supply(spark, d):
+    """Core numbers of parts and suppliers, in counts: how many nodes have each."""
+    e, nodes = ps(spark, d)
+    return T.core_numbers(G.undirected(e.select("src", "dst")), nodes).groupBy("core").agg(F.count("*").alias("n"), F.sum("id").cast("long").alias("ids"))
+
+
+def pagerank_converged(spark, d):
+    return rounded(T.pagerank_to(unweighted(spark, d), vec(spark, d), log=True), "p")
+
+
 def pagerank_fixed(spark, d):
     return rounded(P.pagerank(unweighted(spark, d), vec(spark, d), 5), "p")
 
@@ -423,9 +439,12 @@ def structure_bce(spark, d):
     return rounded(D.structure_bce(unweighted(spark, d), vec(spark, d)), "loss")
 
 
+def triplet_sample(spark, d):
+    return S.triplets(knn(spark, d), vec(spark, d), 200, 4, SEED)
+
+
 def link_loss(spark, d):
-    e = knn(spark, d).groupBy("src").agg(F.min("dst").alias("positive"))
-    t = e.select(F.col("src").alias("anchor"), "positive", F.explode(F.array(*[F.lit(i).cast("long") for i in (11, 23, 37)])).alias("negative"))
+    t = S.triplets(knn(spark, d), vec(spark, d), 200, 4, SEED)
     return rounded(D.link_loss(t, vec(spark, d), 0.5), "loss")
 
 
@@ -717,10 +736,10 @@ QUERIES = {
         max_symmetrise, validate_edges, not_evaluable, degree_in_out, degree_tree, norm_sym_transposed, norm_sym_plus_i, norm_sym_column, norm_column, norm_sym_directed, norm_gcn, norm_binary_sym, norm_row,
         norm_both, norm_residual_pair, norm_difference, spmm, spmm_transpose, propagate_2hop, propagate_no_loop, laplacian_powers, beta_wavelet, gin_noparam, ego_neighbor_residual, affinity_col,
         affinity_row, affinity_with_loops, nonedge_reg, neighbor_scores, smoothness_order, smoothness_composite, edge_distance, lookup_edges, clustering_coeff, struct_fingerprint, kcore_fixed_k,
-        pagerank_fixed, neighbor_diversity, global_similarity, tpca_aggregate, ego_neighbor_diff, zscore, batch_norm, center, minmax, row_normalize, gram_matrix, sign_rule, svd_gram_energy, class_weight,
+        core_numbers, core_numbers_supply, pagerank_converged, pagerank_fixed, neighbor_diversity, global_similarity, tpca_aggregate, ego_neighbor_diff, zscore, batch_norm, center, minmax, row_normalize, gram_matrix, sign_rule, svd_gram_energy, class_weight,
         prototypes, prototype_softmax, centroid_distance, support_attention, nearest_code, support_codes_fusion, kde_js, dominant_row_error, structure_bce, link_loss, margin_loss, weighted_ce,
         contrast_loss, difference_loss, prune_bottom_edges, support_holdout, support_per_class, support_reserve, support_normal_only, random_context, episode_sample, stratified_split, query_antijoin,
-        edge_dropout, tam_truncate, rwr_sample, nonneighbor_sample, pair_sample, column_sample, l_hop_closure, closure_induced, group_lag_negative, block_diag_union, seed_mean_std, result_upsert,
+        edge_dropout, tam_truncate, rwr_sample, nonneighbor_sample, triplet_sample, pair_sample, column_sample, l_hop_closure, closure_induced, group_lag_negative, block_diag_union, seed_mean_std, result_upsert,
         mode_delta, pair_macro, result_rollup, label_counts, shot_budget, random_budget, shot_detail, macro_cohort, fingerprint_md5, csv_ids_map, marks_union, lsh_knn, kmeans_codes, aligned_features,
         demo_graph, event_graph, hop_attention, query_affinity_fusion, context_contrast, alignment_loss, prompt_entropy, pca_energy, laplacian_positions,
     )
