@@ -142,22 +142,26 @@ def contrast_loss(e: DataFrame, nodes: DataFrame, batch: int = 1000, tau: float
     return per.groupBy(F.floor(F.col("id") / batch).alias("b")).agg(F.avg(one).alias("l")).agg(F.avg("l").alias("loss"))
 
 
-def prune_edges(e: DataFrame, nodes: DataFrame, ratio: float) -> DataFrame:
-    """On the graph with unit loops l = y - (A_norm y); the int(ratio E) edges of the smallest l_s l_d go,
-    by (value, src, dst); loops compete too and are restored. A bounded top-k and an anti-join."""
+def prune_by(e: DataFrame, nodes: DataFrame, values: DataFrame, width: int, ratio: float) -> DataFrame:
+    """On the graph with unit loops l = y - A_norm y of values(id, f); the int(ratio E) edges of the smallest
+    l_s . l_d go, by (value, src, dst); loops compete too and are restored."""
     from oddgraph.operators import edges as G
-    from oddgraph.operators.propagate import spmm
-
-    full = G.unit_loops(e, nodes)
-    y = nodes.select("id", F.array(F.col("y").cast("double")).alias("f"))
-    got = spmm(G.norm_sym_transposed(full), y, 1).withColumnRenamed("f", "g")
-    l = y.join(got, "id").select("id", F.array(F.col("f")[0] - F.col("g")[0]).alias("f"))  # noqa: E741
-    scored = N.both_ends(full, l).select("src", "dst", "w", F.round(F.col("fs")[0] * F.col("fd")[0], 12).alias("v"))
-    k = int(ratio * full.count())
-    gone = scored.orderBy("v", "src", "dst").limit(k).where("src <> dst").select("src", "dst")
+    from oddgraph.operators.metrics import smallest
+    from oddgraph.operators.propagate import cut, spmm
+
+    full = cut(G.unit_loops(e, nodes))
+    got = spmm(G.norm_sym_transposed(full), values.select("id", "f"), width).withColumnRenamed("f", "g")
+    l = values.select("id", "f").join(got, "id").select("id", X.minus("f", "g").alias("f"))  # noqa: E741
+    scored = cut(N.both_ends(full, l).select("src", "dst", F.round(X.dot("fs", "fd"), 12).alias("v")))
+    gone = smallest(scored, int(ratio * full.count()), ["v", "src", "dst"]).where("src <> dst").select("src", "dst")
     return full.join(gone, ["src", "dst"], "left_anti")
 
 
+def prune_edges(e: DataFrame, nodes: DataFrame, ratio: float) -> DataFrame:
+    """prune_by with the labels y as the one value."""
+    return prune_by(e, nodes, nodes.select("id", F.array(F.col("y").cast("double")).alias("f")), 1, ratio)
+
+
 def _assembled(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("features", array_to_vector("f"))
 

@@ -30,6 +30,26 @@ def before(rows: DataFrame, sums: list[str], order: str = "score", by: list[str]
     return x.select(*rows.columns, *[(F.col(f"_{s}") + F.col(f"_w{s}")).alias(f"_{s}") for s in sums])
 
 
+def smallest(rows: DataFrame, k: int, order: list[str]) -> DataFrame:
+    """The first k rows in the order of numeric columns, which tell rows apart, however large k is.
+
+    Column by column, rows are counted by value, and the running counts tell the value at which the k-th row
+    lies: smaller values are taken whole, and only rows of that value go on to the next column. Read the
+    rows from a table: each column reads them again.
+    """
+    out = rows.where("false")
+    for c in order:
+        counts = before(rows.groupBy(c).agg(F.count("*").alias("n")), ["n"], c)
+        edge = counts.where((F.col("_n") < k) & (F.col("_n") + F.col("n") >= k)).select(c, "_n", "n").first()
+        if edge is None:  # fewer than k rows, or none wanted
+            return out.union(rows) if k > 0 else out
+        out = out.union(rows.where(F.col(c) < F.lit(edge[c])))
+        rows, k = rows.where(F.col(c) == F.lit(edge[c])), k - edge["_n"]
+        if edge["n"] == k:
+            return out.union(rows)
+    return out.union(rows)
+
+
 def auroc(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Over scores(score, y in 0/1): sum of p (negatives below + half of those tied) / (P N); one class only gives null."""
     by = by or []

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddgraph.functions import exprs as X
+from oddgraph.operators import classifiers as C
 from oddgraph.operators import detectors as D
 from oddgraph.operators import edges as G
 from oddgraph.operators import features as FT
@@ -666,6 +667,21 @@ def _classifier(kind, layers=1):
     return query
 
 
+def _labelled(spark, d):
+    """The vector graph with the labels of a stratified training part only."""
+    nodes = vec(spark, d)
+    part = S.stratified(nodes.select("id", "y", F.lit(True).alias("mark")), SEED).where("part = 'train'").select("id", "y")
+    return knn(spark, d), P.cut(nodes.select("id", "f").join(part, "id", "left"))
+
+
+def _network(method):
+    def query(spark, d):
+        g = _labelled(spark, d)
+        return rounded(method((P.cut(g[0]), g[1]), g, W), "score")
+
+    return query
+
+
 def lsh_knn(spark, d):
     return D.lsh_neighbours(vec(spark, d), 5)
 
@@ -746,4 +762,5 @@ QUERIES = {
 }
 QUERIES["undirect_binary"] = und
 QUERIES |= {f"neighbor_{how}": _neighbours(how) for how in ("sum", "mean", "max")}
+QUERIES |= {f"{m.__name__}_scores": _network(m) for m in (C.mlp, C.gcn, C.gat, C.bwgnn, C.ghrn)}
 QUERIES |= {"rf_graph": _classifier("rf"), "gbt_graph": _classifier("gbt"), "lr_propagated": _classifier("lr")}
