@@ -20,8 +20,11 @@ partner cannot lack. These are joined recursively by pivots that are documents:
 region's pivots are computed exactly; members within the radius of a pivot (its ball) are linked to
 it, so connected among themselves. A link between ball and shell needs |d(x,p) - d(y,p)| <= r, so of
 the ball only the rim, at least the nearest shell distance - r from the pivot, stays with the shell.
-A region is done when all of its members are connected. Level after level draws ``GROWTH``
-times as many pivots, until no region is left; nothing is capped.
+One pivot of each region is a member of its largest connected part: of that part, whose members need
+no link among themselves, only those that some other member may reach stay, so a large group of near
+copies costs a distance each, and its outliers are not compared with all of it. A region is done when
+all of its members are connected. Level after level draws ``GROWTH`` times as many pivots from the
+other parts, until no region is left; nothing is capped.
 
 Verification is exact, on whole sets; pairs that links verified before connect already are skipped,
 because the result is components, not pairs. Defined results: null or empty texts have empty sets, which
@@ -45,7 +48,7 @@ from oddgraph.llm.common import discard, grams, mix, signed, stored, text_blocks
 from oddgraph.llm.components import components
 
 SHINGLE, NUM, DEN = 4, 85, 100
-POOL, LEAF, FIRST, GROWTH = 1.7, 24, 4, 16
+POOL, LEAF, FIRST, GROWTH = 1.7, 24, 4, 4
 #: Entries of a chunk of one task, and of a slice of the hash space (its share of all chunks).
 CHUNK, SLICE = 1 << 19, 1 << 18
 
@@ -239,23 +242,33 @@ def _by_documents(regions: DataFrame, links: DataFrame, sets: DataFrame, num: in
         others = named.where("label <> top")
         firsts = others.groupBy("region").agg(F.min(F.struct(draw.alias("h"), "sid")).alias("p")).select("region", F.col("p.sid").alias("first"))
         share = (draw.cast("double") / 2.0**64 + 0.5) * F.col("m")
-        pivots = others.join(firsts, "region").where((F.col("sid") == F.col("first")) | (share < FIRST * GROWTH**level))
-        pivots = stored(pivots.select("region", F.col("sid").alias("pivot"), F.col("n").alias("np"), F.col("label").alias("lp")), "pivots")
-        placed = named.join(pivots, "region").where("label <> lp")
+        chosen = others.join(firsts, "region").where((F.col("sid") == F.col("first")) | (share < FIRST * GROWTH**level)).select("region", "sid", "n", "label")
+        centres = named.where("label = top").groupBy("region").agg(F.min(F.struct(draw.alias("h"), "sid", "n", "label")).alias("p")).select("region", "p.sid", "p.n", "p.label")
+        pivots = chosen.withColumn("centre", F.lit(False)).union(centres.withColumn("centre", F.lit(True)))
+        pivots = stored(pivots.select("region", F.col("sid").alias("pivot"), F.col("n").alias("np"), F.col("label").alias("lp"), "centre"), "pivots")
+        # Members of a chosen pivot's own part need no distance to it; those of the largest part need theirs to its centre.
+        placed = stored(named.join(pivots, "region").where((F.col("label") != F.col("lp")) | (F.col("centre") & (F.col("sid") != F.col("pivot")))).drop("m", "top"), "placed")
         alike = den * F.least("n", "np") >= num * F.greatest("n", "np")
         pairs = placed.where(alike).select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
         measured = _verify(pairs, sets, num, den)
-        if not measured.where("linked").isEmpty():
-            links = stored(links.union(measured.where("linked").select("a", "b")), "links")
+        fresh = measured.where("linked").join(known.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+        fresh = stored(fresh.where(F.coalesce(F.col("la") != F.col("lb"), F.lit(True))).select("a", "b"), "fresh")
+        if not fresh.isEmpty():
+            links = stored(links.union(fresh), "links")
             known = components(links)
         both = placed.withColumns({"a": F.least("sid", "pivot"), "b": F.greatest("sid", "pivot")}).join(measured, ["a", "b"], "left")
-        both = both.select("region", "sid", "pivot", F.coalesce("d", 1 - F.least("n", "np") / F.greatest("n", "np")).alias("d"), F.coalesce("linked", F.lit(False)).alias("linked"))
-        both = stored(both, "placed")
-        # A member of a ball stays only if it is in the rim, near enough to the shell; pivots are done.
-        shell = both.where("not linked").groupBy("region", "pivot").agg(F.min("d").alias("nearest"))
-        inner = both.where("linked").join(shell, ["region", "pivot"], "left").where(F.col("nearest").isNull() | (F.col("d") < F.col("nearest") - radius - 1e-9))
-        gone = inner.select("region", "sid").union(pivots.select("region", F.col("pivot").alias("sid"))).distinct()
-        regions = stored(named.select("region", "sid", "n").join(gone, ["region", "sid"], "left_anti"), "left")
+        apart = F.coalesce("d", 1 - F.least("n", "np") / F.greatest("n", "np"))
+        both = both.select("region", "sid", "pivot", apart.alias("d"), F.col("d").isNotNull().alias("exact"), F.coalesce("linked", F.lit(False)).alias("linked"), (F.col("label") == F.col("lp")).alias("same"))
+        both = stored(both, "distances")
+        # A link between a member near a pivot, or of its part, and one that is neither needs distances to the pivot
+        # that differ by the radius at most: of the near ones only the rim stays. Pivots are done.
+        shell = both.where("not linked and not same").groupBy("region", "pivot").agg(F.min("d").alias("nearest"))
+        inner = both.where("exact and (linked or same)").join(shell, ["region", "pivot"], "left").where(F.col("nearest").isNull() | (F.col("d") < F.col("nearest") - radius - 1e-9))
+        done = pivots.select("region", F.col("pivot").alias("sid"))
+        gone = inner.select("region", "sid").union(done).distinct()
+        before, regions = regions, stored(named.select("region", "sid", "n").join(gone, ["region", "sid"], "left_anti"), "left")
+        for x in (before, named, pivots, placed, measured, fresh, both):
+            discard(x)
         level += 1
 
 

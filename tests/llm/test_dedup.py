@@ -200,3 +200,21 @@ def test_words_do_not_depend_on_pieces(monkeypatch):
     assert np.diff(at).tolist() == [len((t or "").encode().split()) for t in texts]
     assert len(set(whole.tolist())) == len({w for t in texts for w in (t or "").encode().lower().split()})
     assert not len(common.word_hashes(pa.array([], pa.string()))[0])
+
+
+def test_jaccard_join_of_groups_with_outliers_and_common_passages(spark, documents):
+    """Groups of near copies with far outliers and cut copies, and texts made of the same few passages."""
+    rng, texts = random.Random(1), []
+    for g in range(2):
+        t = [f"g{g}w{rng.randrange(900)}" for _ in range(120)]
+        for _ in range(60):
+            c = list(t)
+            for _ in range(rng.randrange(0, rng.choice([3, 8, 20]))):
+                c[rng.randrange(len(c))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(c[: rng.randrange(60, 120)] if rng.random() < 0.2 else c))
+    passages = [[f"p{k}w{i}" for i in range(20)] for k in range(8)]
+    texts += [" ".join(w for k in rng.sample(range(8), 5) for w in passages[k]) for _ in range(60)]
+    s = [sets(t, 4) for t in texts]
+    links = [(i, j) for i in range(len(s)) for j in range(i) if 100 * len(s[i] & s[j]) >= 85 * len(s[i] | s[j])]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.joined(documents(texts).repartition(3), leaf=3).collect()}
+    assert got == dict(enumerate(closed(len(texts), links)))
