@@ -171,8 +171,8 @@ def classified(train: DataFrame, query: DataFrame, model: str = "rf", seed: int
     n = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
     weight = F.when(F.col("y") == 1, n.get(0, 1) / max(1, n.get(1, 1))).otherwise(1.0)
     kinds = {
-        "rf": lambda: RandomForestClassifier(labelCol="y", weightCol="cw", numTrees=50, seed=seed),
-        "gbt": lambda: GBTClassifier(labelCol="y", weightCol="cw", maxIter=10, seed=seed),
+        "rf": lambda: RandomForestClassifier(labelCol="y", weightCol="cw", numTrees=200, seed=seed),
+        "gbt": lambda: GBTClassifier(labelCol="y", weightCol="cw", maxIter=50, seed=seed),
         "lr": lambda: LogisticRegression(labelCol="y", weightCol="cw", regParam=0.01),
     }
     fitted = kinds[model]().fit(_assembled(train.withColumn("cw", weight)))

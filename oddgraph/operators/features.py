@@ -117,69 +117,3 @@ def prototypes(nodes: DataFrame, width: int, classes: tuple[int, ...] = (0, 1))
 def pca_align(nodes: DataFrame, width: int, rank: int) -> DataFrame:
     """Centred components: the mean is taken away first, then as svd_align."""
     return svd_align(center(nodes, width), width, rank)
-
-
-def laplacian_positions(e: DataFrame, nodes: DataFrame, k: int, dense: int = 4000) -> DataFrame:
-    """Entries of the k eigenvectors of the smallest non-zero eigenvalues of the symmetric normalised
-    Laplacian over all nodes, sign-fixed. On the driver: a dense decomposition for at most ``dense`` nodes,
-    beyond that a filtered subspace iteration over the sparse edges."""
-    ids = np.array([r["id"] for r in nodes.select("id").orderBy("id").collect()], np.int64)
-    got = e.groupBy("src", "dst").agg(F.sum("w").alias("w")).toPandas()
-    i, j, w = np.searchsorted(ids, got["src"]), np.searchsorted(ids, got["dst"]), got["w"].to_numpy(float)
-    v = _dense_positions(len(ids), i, j, w, k) if len(ids) <= dense else _sparse_positions(len(ids), i, j, w, k)
-    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
-    return nodes.sparkSession.createDataFrame([(int(i), [float(x) for x in v[n]]) for n, i in enumerate(ids)], "id long, f array<double>")
-
-
-def _dense_positions(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
-    a = np.zeros((n, n))
-    a[i, j] = w
-    a = np.maximum(a, a.T)
-    d = a.sum(axis=1)
-    s = np.where(d > 0, 1 / np.sqrt(np.where(d > 0, d, 1)), 0)
-    values, v = np.linalg.eigh(np.eye(n) - s[:, None] * a * s[None, :])
-    return v[:, np.flatnonzero(values > 1e-9)[:k]]
-
-
-def _sparse_positions(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, k: int, degree: int = 40, rounds: int = 500) -> np.ndarray:
-    """The same for large sparse graphs. The null vectors are known, sqrt(degree) on each component, and are
-    moved to the far end of the spectrum; the largest eigenvectors of the normalised adjacency remain."""
-    keys, at = np.unique(np.concatenate([i * n + j, j * n + i]), return_inverse=True)
-    top = np.zeros(len(keys))
-    np.maximum.at(top, at, np.concatenate([w, w]))
-    i, j = keys // n, keys % n
-    d = np.bincount(i, top, n)
-    s = np.where(d > 0, 1 / np.sqrt(np.where(d > 0, d, 1)), 0)
-    top = top * s[i] * s[j]
-    rows, starts = np.unique(i, return_index=True)
-
-    label = np.arange(n)
-    while True:
-        low = label.copy()
-        np.minimum.at(low, i, label[j])
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
-    null = np.sqrt(d)
-    null = null / np.sqrt(np.maximum(np.bincount(label, d, n), 1e-300))[label]
-
-    def times(x: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(x)
-        out[rows] = np.add.reduceat(top[:, None] * x[j], starts)
-        inner = np.stack([np.bincount(label, null * c, n) for c in x.T], axis=1)
-        return out - 2 * null[:, None] * inner[label]
-
-    x = np.linalg.qr(np.random.default_rng(0).standard_normal((n, k + 12)))[0]
-    for _ in range(rounds):
-        values, z = np.linalg.eigh(x.T @ times(x))
-        x = (x @ z)[:, ::-1]
-        if np.linalg.norm(times(x[:, :k]) - x[:, :k] * values[::-1][:k], axis=0).max() < 1e-10:
-            return x[:, :k]
-        # Chebyshev polynomial that is small between -1 and the smallest value of the subspace.
-        centre, half = (values[0] - 1) / 2, (values[0] + 1) / 2
-        old, x = x, (times(x) - centre * x) / half
-        for _ in range(degree - 1):
-            old, x = x, 2 * (times(x) - centre * x) / half - old
-        x = np.linalg.qr(x)[0]
-    raise ValueError(f"not converged after {rounds} rounds")

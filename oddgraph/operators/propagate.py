@@ -83,8 +83,10 @@ def neighbour_aggregate(e: DataFrame, x: DataFrame, width: int, how: str) -> Dat
 def gin_features(e: DataFrame, x: DataFrame, layers: int, width: int, how: str = "mean") -> DataFrame:
     """X, AX, ..., A^L X side by side, without parameters."""
     out, last = x.select("id", "f"), x.select("id", "f")
-    for _ in range(layers):
+    for hop in range(layers):
         last = neighbour_aggregate(e, last, width, how)
+        if hop % 2 == 1 and hop + 1 < layers:
+            last = cut(last)
         out = out.join(last.withColumnRenamed("f", "_n"), "id").select("id", F.concat("f", "_n").alias("f"))
     return out
 

@@ -84,12 +84,52 @@ def episode(nodes: DataFrame, k: int, query: tuple[int, int], seed: int) -> Data
 
 def stratified(nodes: DataFrame, seed: int, train: float = 0.3, valid: float = 0.1) -> DataFrame:
     """Per class, floor shares by shuffle rank."""
-    r = ranked(nodes.where("mark"), seed, ["y"])
-    n = F.count("*").over(Window.partitionBy("y"))
-    a, b = F.floor(train * n), F.floor((train + valid) * n)
+    marked = nodes.where("mark")
+    counts = marked.groupBy("y").agg(F.count("*").alias("n"))  # one row a class
+    r = ranked(marked, seed, ["y"]).join(counts, "y")
+    a, b = F.floor(train * F.col("n")), F.floor((train + valid) * F.col("n"))
     return r.select("id", "y", F.when(F.col("r") <= a, "train").when(F.col("r") <= b, "valid").otherwise("test").alias("part"))
 
 
+def train_rate(nodes: DataFrame, rate: float, seed: int) -> DataFrame:
+    """Ids of the first int(rate N) of all N nodes in shuffle order."""
+    return ranked(nodes.select("id"), seed).where(F.col("r") <= int(rate * nodes.count())).select("id")
+
+
+def context_and_query(nodes: DataFrame, context: int, per_class: int, seed: int) -> DataFrame:
+    """(id, y, role): the first ``context`` marked normals, then a query of as many normals as anomalies, disjoint
+    from the context: ``per_class`` of each, or as many as the smaller class has left."""
+    pool = nodes.where("mark and y in (0, 1)").select("id", "y")
+    n = pool.agg(F.count_if(F.col("y") == 0).alias("normal"), F.count_if(F.col("y") == 1).alias("anomaly")).first()
+    m = max(0, min(per_class, n["normal"] - context, n["anomaly"]))
+    taken = F.when(F.col("y") == 0, context).otherwise(0)
+    role = F.when(F.col("r") <= taken, "context").when(F.col("r") <= taken + m, "query")
+    return ranked(pool, seed, ["y"]).withColumn("role", role).where("role is not null").select("id", "y", "role")
+
+
+def source_batches(nodes: DataFrame, context: int, per_class: int, steps: int, seed: int) -> DataFrame:
+    """(step, graph, id, y, role): for each step a graph drawn from those of nodes(graph, id, y, mark) and, of it, a
+    context of normals and a balanced query disjoint from it.
+
+    Nodes are ranked once, by graph and class; a step takes consecutive ranks from a hashed place on, around
+    the end, so a step reads what it takes. Of a class that is too small the query has fewer, of both classes
+    as many; graphs without both classes, or without normals left for the query, are never drawn.
+    """
+    pool = nodes.where("mark and y in (0, 1)").select("graph", "id", "y")
+    sizes = pool.groupBy("graph").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")).where((F.col("n0") > context) & (F.col("n1") > 0))
+    sizes = sizes.withColumn("g", F.row_number().over(Window.orderBy("graph")) - 1)  # one row a graph
+    count = sizes.agg(F.count("*").alias("graphs"))  # one row
+    step = nodes.sparkSession.range(steps).select(F.col("id").alias("step")).crossJoin(F.broadcast(count)).withColumn("g", F.floor(uniform(seed, "step") * F.col("graphs")).cast("int"))
+    m = F.least(F.lit(per_class), F.col("n0") - context, F.col("n1"))
+    takes = step.join(sizes, "g").withColumn("y", F.explode(F.array(F.lit(0), F.lit(1))))
+    n, most = F.when(F.col("y") == 0, F.col("n0")).otherwise(F.col("n1")), F.when(F.col("y") == 0, context + m).otherwise(m)
+    takes = takes.where(most > 0).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), most.cast("long"))))
+    start = F.floor(uniform(seed + 1, "step", "y") * n).cast("long")
+    takes = takes.select("step", "graph", "y", "j", (F.pmod(start + F.col("j") - 1, n) + 1).alias("r"))
+    role = F.when((F.col("y") == 0) & (F.col("j") <= context), "context").otherwise("query")
+    return takes.join(ranked(pool, seed, ["graph", "y"]), ["graph", "y", "r"]).select("step", "graph", "id", "y", role.alias("role"))
+
+
 def edge_dropout(e: DataFrame, p: float, seed: int) -> DataFrame:
     """Edges go with probability p; loops stay."""
     return e.where((uniform(seed, "src", "dst") >= p) | (F.col("src") == F.col("dst")))

@@ -343,6 +343,19 @@ ORACLE: dict[str, str] = {
     "random_context": _with("doc", f"SELECT id, y FROM ({_rank(_POOL)}) WHERE r <= 10"),
     "episode_sample": _with("doc", f"SELECT id, y, CASE WHEN r <= 10 THEN 'support' ELSE 'query' END AS role FROM ({_rank(_POOL, by='y')}) WHERE r <= 10 + CASE WHEN y = 0 THEN 50 ELSE 20 END"),
     "stratified_split": _with("doc", f"SELECT id, y, CASE WHEN r <= floor(0.3 * n) THEN 'train' WHEN r <= floor(0.4 * n) THEN 'valid' ELSE 'test' END AS part FROM (SELECT *, count(*) OVER (PARTITION BY y) AS n FROM ({_rank(_POOL, by='y')}))"),
+    "train_rate_sample": _with("doc", f"SELECT id FROM ({_rank('doc')}) WHERE r <= floor(0.3 * (SELECT count(*) FROM doc))"),
+    "balanced_query": _with(
+        "doc", "SELECT id, y, CASE WHEN y = 0 AND r <= 10 THEN 'context' ELSE 'query' END AS role FROM rk, mm WHERE r <= (CASE WHEN y = 0 THEN 10 ELSE 0 END) + m",
+        rk=_rank("(SELECT id, y FROM doc WHERE mark AND y IN (0, 1))", by="y"), mm="SELECT greatest(0, least(20, count(*) FILTER (y = 0) - 10, count(*) FILTER (y = 1))) AS m FROM rk",
+    ),
+    "source_batches": _with(
+        "", "SELECT t.step, t.graph, p.id, t.y, CASE WHEN t.y = 0 AND j <= 2 THEN 'context' ELSE 'query' END AS role FROM tk t JOIN pool p ON p.graph = t.graph AND p.y = t.y AND p.r = t.r",
+        pool=f"SELECT *, row_number() OVER (PARTITION BY graph, y ORDER BY {_KEY}, id) AS r FROM (SELECT d.doc_id AS id, d.source AS graph, l.y FROM documents d JOIN (SELECT doc_id, max(toxic) AS y FROM labels GROUP BY 1) l USING (doc_id) WHERE l.y IN (0, 1))",
+        sizes="SELECT *, row_number() OVER (ORDER BY graph) - 1 AS g FROM (SELECT graph, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1 FROM pool GROUP BY 1) WHERE n0 > 2 AND n1 > 0",
+        st=f"SELECT step, floor({_u('step')} * (SELECT count(*) FROM sizes))::INT AS g FROM (SELECT unnest(range(40)) AS step)",
+        ty="SELECT st.step, s.graph, y, CASE WHEN y = 0 THEN n0 ELSE n1 END AS n, least(3, n0 - 2, n1) + CASE WHEN y = 0 THEN 2 ELSE 0 END AS most FROM st JOIN sizes s USING (g), (VALUES (0), (1)) c(y)",
+        tk=f"SELECT step, graph, y, j, (floor({_u('step', 'y', seed=43)} * n)::BIGINT + j - 1) % n + 1 AS r FROM (SELECT *, unnest(range(1, most + 1)) AS j FROM ty)",
+    ),
     "query_antijoin": _with("doc", f"SELECT count(*) AS n, sum(id)::BIGINT AS ids, 0::BIGINT AS overlap FROM ({_rank(_POOL)}) WHERE r > 10"),
     "edge_dropout": _with("psl", _summed(f"SELECT * FROM psl WHERE src = dst OR {_u('src', 'dst')} >= 0.2")),
     "tam_truncate": _with("und", "SELECT src, dst FROM kept UNION SELECT dst, src FROM kept", **_TRUNC),

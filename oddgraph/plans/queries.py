@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddgraph.functions import exprs as X
+from oddgraph.operators import boosting as B
 from oddgraph.operators import classifiers as C
 from oddgraph.operators import detectors as D
 from oddgraph.operators import edges as G
@@ -14,6 +15,7 @@ from oddgraph.operators import metrics as M
 from oddgraph.operators import neighbours as N
 from oddgraph.operators import propagate as P
 from oddgraph.operators import sampling as S
+from oddgraph.operators import spectral as E
 from oddgraph.operators import structure as T
 from oddgraph.sources import graphs as src
 
@@ -657,7 +659,7 @@ def marks_union(spark, d):
     return docs.join(splits, "id", "left_semi")
 
 
-def _classifier(kind, layers=1):
+def _classifier(kind, layers):
     def query(spark, d):
         e, nodes = ps(spark, d)
         x = P.gin_features(G.binary(e), FT.zscore(nodes.select("id", "f"), 2), layers, 2).join(nodes.select("id", "y"), "id").withColumn("y", F.col("y").cast("double"))
@@ -742,7 +744,35 @@ def pca_energy(spark, d):
 
 
 def laplacian_positions(spark, d):
-    return wide(FT.laplacian_positions(und(spark, d), vec(spark, d), 4), "f")
+    return wide(E.laplacian_positions(und(spark, d), vec(spark, d).select("id")).vectors, "f")
+
+
+def laplacian_vectors(spark, d):
+    """Singular vectors of the raw Laplacian and their values."""
+    found = E.laplacian_svd(und(spark, d), vec(spark, d).select("id"), 32)
+    return wide(found.vectors, "f").withColumn("value", F.element_at(F.array(*[F.lit(round(float(v), 6)) for v in found.values]), F.col("j") + 1))
+
+
+def train_rate_sample(spark, d):
+    return S.train_rate(doc(spark, d), 0.3, SEED)
+
+
+def balanced_query(spark, d):
+    return S.context_and_query(doc(spark, d), SHOT, 20, SEED)
+
+
+def source_batches(spark, d):
+    """Batches whose graphs are the documents' sources."""
+    x = doc(spark, d).select(F.col("source").alias("graph"), "id", "y", "mark")
+    return S.source_batches(x, 2, 3, 40, SEED)
+
+
+def xgb_graph(spark, d):
+    """Boosted trees over four hops of mean neighbourhoods."""
+    e, nodes = _labelled(spark, d)
+    x = C.features(nodes, W, C.BWGNN)
+    x = P.cut(P.gin_features(P.cut(G.binary(e)), x.select("id", "f"), 4, 8).join(x.select("id", "y"), "id"))
+    return rounded(B.scores(x, B.train(x, 40)), "score")
 
 
 QUERIES = {
@@ -757,10 +787,11 @@ QUERIES = {
         contrast_loss, difference_loss, prune_bottom_edges, support_holdout, support_per_class, support_reserve, support_normal_only, random_context, episode_sample, stratified_split, query_antijoin,
         edge_dropout, tam_truncate, rwr_sample, nonneighbor_sample, triplet_sample, pair_sample, column_sample, l_hop_closure, closure_induced, group_lag_negative, block_diag_union, seed_mean_std, result_upsert,
         mode_delta, pair_macro, result_rollup, label_counts, shot_budget, random_budget, shot_detail, macro_cohort, fingerprint_md5, csv_ids_map, marks_union, lsh_knn, kmeans_codes, aligned_features,
-        demo_graph, event_graph, hop_attention, query_affinity_fusion, context_contrast, alignment_loss, prompt_entropy, pca_energy, laplacian_positions,
+        demo_graph, event_graph, hop_attention, query_affinity_fusion, context_contrast, alignment_loss, prompt_entropy, pca_energy, laplacian_positions, laplacian_vectors,
+        train_rate_sample, balanced_query, source_batches, xgb_graph,
     )
 }
 QUERIES["undirect_binary"] = und
 QUERIES |= {f"neighbor_{how}": _neighbours(how) for how in ("sum", "mean", "max")}
 QUERIES |= {f"{m.__name__}_scores": _network(m) for m in (C.mlp, C.gcn, C.gat, C.bwgnn, C.ghrn)}
-QUERIES |= {"rf_graph": _classifier("rf"), "gbt_graph": _classifier("gbt"), "lr_propagated": _classifier("lr")}
+QUERIES |= {"rf_graph": _classifier("rf", 3), "gbt_graph": _classifier("gbt", 4), "lr_propagated": _classifier("lr", 1)}

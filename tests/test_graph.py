@@ -212,25 +212,6 @@ def test_losses_run_over_all_pairs(spark):
     assert D.alignment_loss(e, df).first()[0] == pytest.approx(want / 2)
 
 
-def test_laplacian_positions_of_sparse_edges_and_of_all_nodes(spark):
-    import os
-
-    import numpy as np
-
-    from oddgraph.plans.queries import QUERIES
-
-    rng = np.random.default_rng(1)
-    # Two components of 60 and 40 nodes and one node alone.
-    rows = [(a + o, (a + 1) % n + o, 1) for n, o in ((60, 0), (40, 60)) for a in range(n)]
-    rows += [(int(a), int(b), 1 + (a + b) % 3) for a, b in rng.integers(0, 60, (40, 2)) if a != b] + [(int(a), int(b), 2) for a, b in rng.integers(60, 100, (25, 2)) if a != b]
-    e, x = edges(spark, rows), nodes(spark, [[0]] * 101)
-    dense, sparse = ({r["id"]: r["f"] for r in FT.laplacian_positions(e, x, 4, most).collect()} for most in (4000, 10))
-    assert len(dense) == 101 and all(sparse[i] == pytest.approx(dense[i], abs=1e-7) for i in dense)
-    if os.path.isdir("/root/testdata/sf0.001"):
-        ids = {r["id"] for r in QUERIES["laplacian_positions"](spark, "/root/testdata/sf0.001").select("id").distinct().collect()}
-        assert ids == set(range(500))
-
-
 def test_metrics_against_plain_ranks_with_ties_and_outliers(spark):
     rng = np.random.default_rng(3)
     score = np.concatenate([np.round(rng.normal(size=150), 1), [1e9, -1e9, 0.0, 0.0]])
