@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,3 +67,9 @@ def avg_vectors(f: Column | str, width: int) -> Column:
 
 def zeros(width: int) -> Column:
     return F.array(*[F.lit(0.0)] * width)
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    return (found or spark.conf.get("spark.sql.warehouse.dir") + "/.shared").rstrip("/")

@@ -389,6 +389,8 @@ ORACLE: dict[str, str] = {
         ps1="SELECT context_id, shot, seed, avg(auroc) AS m, count(*) AS k FROM sweep JOIN co USING (context_id, target) WHERE status = 'ok' GROUP BY 1, 2, 3",
     ),
     "fingerprint_md5": _with("knn", "SELECT count(*) AS n, sum(('0x' || substr(md5(src || ':' || dst), 1, 8))::BIGINT)::BIGINT AS fingerprint FROM knn"),
+    "csv_trio_files": "WITH m AS (SELECT p_partkey AS k, row_number() OVER (ORDER BY p_partkey) - 1 AS id, p_size, p_retailprice FROM part) SELECT a.id AS src, b.id::BIGINT AS dsts, round(a.p_retailprice::DOUBLE, 6) AS price, a.p_size::BIGINT AS size, CAST(a.p_size < 10 AS INT) AS y, a.p_size < 40 AS mark FROM m a JOIN m b ON b.k = a.k % 100 + 1",
+    "stored_features": _with("vec", _long("y", "f"), y="SELECT id, list_transform(a, lambda x: x / list_sum(a)) AS f FROM (SELECT id, list_transform(f, lambda x: abs(x)) AS a FROM vec)"),
     "csv_ids_map": "WITH m AS (SELECT p_partkey AS k, row_number() OVER (ORDER BY p_partkey) - 1 AS id, p_size FROM part) SELECT a.id AS src, b.id::BIGINT AS dsts, CAST(a.p_size < 10 AS INT) AS y, a.p_size < 40 AS mark FROM m a JOIN m b ON b.k = a.k % 100 + 1",
     "marks_union": "SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE doc_id % 3 = 0 OR doc_id % 4 = 0 OR doc_id % 5 = 0)",
     "event_graph": "SELECT user_id AS src, event_type AS dst, count(*) AS w, round(sum(value), 6) AS value FROM events GROUP BY 1, 2",

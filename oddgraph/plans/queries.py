@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from oddgraph.operators import propagate as P
 from oddgraph.operators import sampling as S
 from oddgraph.operators import spectral as E
 from oddgraph.operators import structure as T
+from oddgraph.sources import files, store
 from oddgraph.sources import graphs as src
 
 W = 64
@@ -652,6 +655,27 @@ def csv_ids_map(spark, d):
     return e.groupBy("src").agg(F.sum("dst").alias("dsts")).join(nodes.select(F.col("id").alias("src"), "y", "mark"), "src")
 
 
+def csv_trio_files(spark, d):
+    """The same graph from three CSV files, written from the part table and read back by the catalog."""
+    base = f"{X.scratch(spark)}/csv-{uuid.uuid4().hex}/parts"
+    part = src.table(spark, d, "part")
+    ext = F.col("p_partkey") * 13 + 5
+    part.select(ext.alias("id"), F.when(F.col("p_size") < 10, "1").when(F.col("p_size") < 40, "2").otherwise("unknown").alias("class")).write.csv(f"{base}/classes.csv", header=True)
+    part.select(ext, "p_retailprice", "p_size").write.csv(f"{base}/features.csv")
+    part.select(ext.alias("a"), (F.lit(13) * (F.col("p_partkey") % 100 + 1) + 5).alias("b")).write.csv(f"{base}/edgelist.csv", header=True)
+    nodes, e = files.GraphCatalog(spark, [base.removesuffix("/parts") + "/none", base.removesuffix("/parts")]).load("parts")
+    x = nodes.select(F.col("id").alias("src"), r(F.col("f")[0]).alias("price"), F.col("f")[1].cast("long").alias("size"), "y", "mark")
+    return e.groupBy("src").agg(F.sum("dst").alias("dsts")).join(x, "src")
+
+
+def stored_features(spark, d):
+    """Row-normalised vectors through the feature store: made, published, checked and read back."""
+    held = store.FeatureStore(spark, f"{X.scratch(spark)}/features")
+    nodes = vec(spark, d).select("id", F.transform("f", F.abs).alias("f"))
+    key = held.key(nodes, norm="rows")
+    return wide(held.load_or_make(key, lambda: FT.row_normalised(nodes), W), "f")
+
+
 def marks_union(spark, d):
     x = src.table(spark, d, "labels").select(F.col("doc_id").alias("id"))
     splits = x.where("id % 3 = 0").union(x.where("id % 4 = 0")).union(x.where("id % 5 = 0")).distinct()
@@ -786,7 +810,7 @@ QUERIES = {
         prototypes, prototype_softmax, centroid_distance, support_attention, nearest_code, support_codes_fusion, kde_js, dominant_row_error, structure_bce, link_loss, margin_loss, weighted_ce,
         contrast_loss, difference_loss, prune_bottom_edges, support_holdout, support_per_class, support_reserve, support_normal_only, random_context, episode_sample, stratified_split, query_antijoin,
         edge_dropout, tam_truncate, rwr_sample, nonneighbor_sample, triplet_sample, pair_sample, column_sample, l_hop_closure, closure_induced, group_lag_negative, block_diag_union, seed_mean_std, result_upsert,
-        mode_delta, pair_macro, result_rollup, label_counts, shot_budget, random_budget, shot_detail, macro_cohort, fingerprint_md5, csv_ids_map, marks_union, lsh_knn, kmeans_codes, aligned_features,
+        mode_delta, pair_macro, result_rollup, label_counts, shot_budget, random_budget, shot_detail, macro_cohort, fingerprint_md5, csv_ids_map, csv_trio_files, stored_features, marks_union, lsh_knn, kmeans_codes, aligned_features,
         demo_graph, event_graph, hop_attention, query_affinity_fusion, context_contrast, alignment_loss, prompt_entropy, pca_energy, laplacian_positions, laplacian_vectors,
         train_rate_sample, balanced_query, source_batches, xgb_graph,
     )

@@ -95,9 +95,10 @@ def csv_graph(classes: DataFrame, features: DataFrame, pairs: DataFrame) -> tupl
 
 
 def row_numbers(rows: DataFrame, key: str, parts: int = 64) -> DataFrame:
-    """0-based numbers in key order: ranks within ranges of the key plus the ranges' offsets."""
-    cuts = rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.001)
-    cuts = sorted(set(cuts))
+    """0-based numbers in key order: ranks within ranges of the key plus the ranges' offsets. The ranges are
+    cut at keys of a bounded hashed sample, so keys of any type do."""
+    sample = sorted({r[0] for r in rows.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(64 * parts).collect()})
+    cuts = sample[:: max(1, len(sample) // parts)]
     which = F.lit(0)
     for i, c in enumerate(cuts):
         which = F.when(F.col(key) > c, i + 1).otherwise(which)
