@@ -1,9 +1,10 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, searched with block-max WAND.
 
-Training texts are cut into overlapping passages of twice the longest item, so every copy of an item
-lies whole in one. Each passage queries the index and retrieves all items above a threshold. Impacts
-are BM25 weights (document frequencies counted over all training documents) divided by the item's own
-total, so the threshold is a share of the item. Before a list is opened, MaxScore's bound applies: an item can only
+Training texts are cut into overlapping passages. Items are indexed by length, those of up to 2, 4, 8, ...
+words apart, and searched with passages of twice that length, so every copy of an item lies whole in one
+and an item's passages depend on its own length alone. Each passage queries the index and retrieves all
+items above a threshold. Impacts are BM25 weights (document frequencies counted over all training
+documents, the mean length over the whole benchmark) divided by the item's own total, so the threshold is a share of the item. Before a list is opened, MaxScore's bound applies: an item can only
 reach the threshold with one of its essential terms, those outside the largest set of its weakest
 terms that stays below it; passages without any essential term are skipped, exactly.
 
@@ -11,7 +12,7 @@ Retrieved items are verified: the share of the item's question found in the pass
 words must reach ``LEAST_OVERLAP``, and that of its answer (the last sentence, runs of up to five words) too.
 
 The index is broadcast in groups of at most about ``GROUP_ITEMS`` items; a larger benchmark takes more passes, none
-is cut. Defined results: null and empty texts match nothing; items without words are left out; equal
+is cut, and groups don't change results. Defined results: null and empty texts match nothing; items without words are left out; equal
 items each match; repeated rows give repeated results; an empty benchmark matches nothing; extra
 columns are ignored.
 """
@@ -60,9 +61,10 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
 
 
 class Index:
-    """Postings with normalised impacts, the maxima of their blocks of items, and the essential postings."""
+    """Postings with normalised impacts, the maxima of their blocks of items, and the essential postings.
+    ``mean`` is the benchmark's mean length, ``step`` half a passage; without them those of the items serve."""
 
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[bytes, int], documents: int, threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], frequency: dict[bytes, int], documents: int, threshold: float = THRESHOLD, mean: float | None = None, step: int | None = None):
         self.threshold = threshold
         self.ids, self.parts, counts = [], [], []
         for i, text in items:
@@ -71,8 +73,8 @@ class Index:
                 q, a = question_and_answer(text)
                 self.parts.append((runs(q), runs(a), len(q), len(a)))
                 counts.append(c)
-        self.longest = max((sum(c.values()) for c in counts), default=1)
-        mean = sum(sum(c.values()) for c in counts) / max(1, len(counts))
+        self.step = step or max((sum(c.values()) for c in counts), default=1)
+        mean = mean or sum(sum(c.values()) for c in counts) / max(1, len(counts))
         self.impacts: dict[bytes, dict[int, float]] = {}
         self.blocks: dict[bytes, dict[int, float]] = {}
         self.essential: dict[bytes, list[int]] = {}
@@ -112,10 +114,9 @@ class Index:
                     found.append((n, score))
         return found
 
-    def matches(self, text: str | None) -> list[tuple[int, float, float, float, int]]:
+    def matches(self, words: list[bytes]) -> list[tuple[int, float, float, float, int]]:
         """(item id, score, question overlap, answer overlap, first word of the passage), the best of each item."""
-        words = words_of(text)
-        step, essential = self.longest, self.essential
+        step, essential = self.step, self.essential
         hits = [i for i, w in enumerate(words) if w in essential]
         passages = sorted({p for i in hits for p in (i // step - 1, i // step) if p >= 0})
         best: dict[int, tuple] = {}
@@ -130,12 +131,33 @@ class Index:
         return [best[n] for n in sorted(best)]
 
 
+def by_length(items: list[tuple[int, str]], frequency: dict[bytes, int], documents: int, threshold: float, mean: float) -> list[Index]:
+    """An index for the items of each class of lengths: up to 1, 2, 4, ... words."""
+    classes: dict[int, list[tuple[int, str]]] = {}
+    for i, text in items:
+        if n := len(words_of(text)):
+            classes.setdefault(1 << (n - 1).bit_length(), []).append((i, text))
+    return [Index(classes[step], frequency, documents, threshold, mean, step) for step in sorted(classes)]
+
+
+def mean_length(items: DataFrame) -> float:
+    """Words of an item with words, over all items."""
+
+    def count(batches):
+        for batch in batches:
+            n = [len(words_of(t)) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(n)], pa.int64()), pa.array([sum(map(bool, n))], pa.int64())], ["words", "items"])
+
+    got = items.select("text").mapInArrow(count, "words long, items long").agg(F.sum("words").alias("words"), F.sum("items").alias("items")).first()
+    return (got["words"] or 0) / max(1, got["items"] or 0)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, group_items: int = GROUP_ITEMS) -> DataFrame:
     """key, text_hash, item_id, score, question, answer, start: one row per document and item."""
     sc = docs.sparkSession.sparkContext
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    groups = max(1, -(-items.count() // group_items))
+    groups, mean = max(1, -(-items.count() // group_items)), mean_length(items)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, text_hash long, item_id long, score double, question double, answer double, start long"
     out = None
@@ -154,15 +176,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
 
         counts = rows.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
         frequency = {r["word"] and bytes(r["word"]): r["n"] for r in counts}
-        index = sc.broadcast(Index(held, frequency, frequency.pop(None, 0), threshold))
+        index = sc.broadcast(by_length(held, frequency, frequency.pop(None, 0), threshold, mean))
 
         def find(batches, index=index):
             for batch in batches:
                 at, got = [], []
                 for i, t in enumerate(batch["text"].to_pylist()):
-                    for m in index.value.matches(t):
-                        at.append(i)
-                        got.append(m)
+                    words = words_of(t)
+                    for part in index.value:
+                        for m in part.matches(words):
+                            at.append(i)
+                            got.append(m)
                 cols, at = list(zip(*got)) or [()] * 5, pa.array(at, pa.int64())
                 types = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(

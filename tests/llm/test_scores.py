@@ -175,3 +175,42 @@ def test_decontamination(spark, documents):
     kept = decontaminate.clean(docs, bench)
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 7] and kept.columns == docs.columns
     assert decontaminate.clean(docs, bench.where("false")).count() == 8 and decontaminate.verdicts(documents([]), bench).count() == 0
+
+
+def plain_matches(text, items, frequency, documents):
+    """Contaminated items by scoring every passage of every item's own width, term by term."""
+    lengths = [len(decontaminate.words_of(t)) for _, t in items]
+    mean, words, out = sum(lengths) / len(lengths), decontaminate.words_of(text), set()
+    for (item, t), n in zip(items, lengths):
+        c, step = Counter(decontaminate.words_of(t)), 1 << (n - 1).bit_length()
+        weight = {w: math.log(1 + (documents - frequency.get(w, 0) + 0.5) / (frequency.get(w, 0) + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)) for w, f in c.items()}
+        q, a = decontaminate.question_and_answer(t)
+        for p in range(0, max(1, len(words)), step):
+            passage = words[p : p + 2 * step]
+            score = sum(x for w, x in weight.items() if w in passage) / sum(weight.values())
+            found = lambda part: 1.0 if not part else len(decontaminate.runs(part) & decontaminate.runs(passage, min(5, len(part)))) / len(decontaminate.runs(part))
+            if score >= 0.7 - 1e-9 and found(q) >= 0.8 and found(a) >= 0.8:
+                out.add(item)
+    return out
+
+
+def test_decontamination_against_every_passage_and_for_every_group(spark, documents):
+    rng = random.Random(5)
+    line = lambda n, base=300: " ".join(f"w{rng.randrange(base)}" for _ in range(n))
+    items = [(i, f"{line(rng.randrange(2, 30))}? {line(rng.randrange(1, 12))}.") for i in range(30)] + [(40, line(400)), (41, "lone"), (42, f"{line(4)}? {line(3)}.")]
+    apart = items[-1][1].replace("? ", "? " + line(150) + " ")  # question, 150 other words, answer
+    texts = [line(rng.randrange(0, 200)) + " " + rng.choice(items)[1].upper() + " " + line(rng.randrange(0, 200)) for _ in range(40)]
+    for _, t in items[:10]:
+        w = t.split()
+        w[rng.randrange(len(w))] = "changed"
+        texts.append(f"{line(50)} {' '.join(w)} {line(20)}")
+    texts += [apart, items[0][1], None, "", line(3000), items[-3][1]]
+    docs = documents(texts).repartition(3)
+    frequency = Counter(w for t in texts for w in set(decontaminate.words_of(t)))
+    want = {(d, i) for d, t in enumerate(texts) for i in plain_matches(t, items, frequency, len([t for t in texts if t is not None]))}
+    for chosen in (items, items[:10] + items[-1:]):
+        bench = spark.createDataFrame(chosen, "item_id long, text string")
+        for group in (1, 7, 20_000) if chosen is items else (20_000,):
+            got = {tuple(r) for r in decontaminate.matches(docs, bench, group_items=group).select("key", "item_id").collect()}
+            assert got == want if chosen is items else {x for x in got if x[1] == 42} == {x for x in want if x[1] == 42}
+    assert len(want) > 40 and not {x for x in want if x[0] == 50}
