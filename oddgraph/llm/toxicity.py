@@ -8,8 +8,10 @@ it, where such pairs stand in clean documents) doesn't count. The document's fea
 weight and the summed weight per word, brought to [0, 1] by a logistic curve fitted on the sample.
 
 Defined results: null and empty texts score as a document without a match; a document with several
-labels counts as toxic if any says so; without labels of both classes every score is 0; repeated
-rows give repeated results; extra columns are ignored.
+labels counts as toxic if any says so; without labels of both classes every score is 0; null ids are scored
+and never learned from; of entries that match at one word the heaviest counts, of equal ones either;
+repeated rows give repeated results; very long texts are matched whole; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddgraph.llm.common import held_out
+from oddgraph.llm.common import discard, held_out, stored
 
 TRAIN_DOCS = 6000
 SHORTEST, LONGEST = 4, 8
@@ -37,7 +39,7 @@ CLEAN_PHRASE = 0.9
 
 # Look-alike letters, digit and sign substitutions, invisible signs.
 LOOK_ALIKES = dict(zip("аеорсхуіѕјкмтвнԁɡαεικνορτυχο", "aeopcxyisjkmtbhdgaeikvoptuxo"))
-SUBSTITUTES = dict(zip("0134579@$", "oieastgas"))
+SUBSTITUTES = dict(zip("0123456789@$", "oizeasgtbgas"))
 INVISIBLE = "­​‌‍⁠﻿"
 _FOLD = {ord(a): b for a, b in (LOOK_ALIKES | SUBSTITUTES).items()}
 _HIDE = {ord(c): None for c in INVISIBLE}
@@ -85,7 +87,7 @@ class Lexicon:
 def matches(folded: str, lexicon: Lexicon, automaton) -> list[tuple[int, float]]:
     """(start of the word, weight), the heaviest entry of each word, exceptions taken out."""
     best: dict[int, float] = {}
-    for end, (length, weight) in automaton.iter(folded) if automaton and folded else ():
+    for end, (length, weight) in automaton.iter(f"{folded} ") if automaton and folded else ():
         start = end - length + 1
         if weight > best.get(start, 0.0):
             best[start] = weight
@@ -114,8 +116,8 @@ def features(folded: str, lexicon: Lexicon, automaton) -> tuple[float, float]:
 
 
 def terms_of(folded: str, exceptions: set[tuple[str, str]] = frozenset()) -> set[str]:
-    """Beginnings of SHORTEST..LONGEST letters and whole words, each with its leading space, of the
-    words that stand outside exception phrases at least once."""
+    """Beginnings of SHORTEST..LONGEST letters and whole words, each with its leading space, of the words that
+    stand outside exception phrases at least once. Shorter words are whole, between two spaces."""
     words, out = folded.split(), set()
     if exceptions:
         pairs = list(zip(words, words[1:]))
@@ -125,6 +127,8 @@ def terms_of(folded: str, exceptions: set[tuple[str, str]] = frozenset()) -> set
         if len(w) >= SHORTEST:
             out.update(" " + w[:k] for k in range(SHORTEST, min(LONGEST, len(w)) + 1))
             out.add(f" {w}")
+        else:
+            out.add(f" {w} ")
     return out
 
 
@@ -176,7 +180,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", bound: int = TRAIN_DOCS) -> Lexicon:
     """Learn lexicon, exceptions and curve from at most ``bound`` labelled documents of each class.
 
-    The sample is chosen by a hash of the id; it is the only thing broadcast, so its size is bounded.
+    The sample is chosen by a hash of the id and written once; its ids are the only thing broadcast, so their number is bounded.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(train)
@@ -188,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id",
     if len(n) < 2:
         return Lexicon(curve=(-30.0, 0.0, 0.0))
     picked = F.broadcast(spark.createDataFrame(rows))
-    sample = docs.select(F.col(key).alias(key), F.col(text).alias("text")).join(picked, key).select("text", F.col("toxic").cast("int").alias("toxic"))
+    sample = stored(docs.select(F.col(key).alias(key), F.col(text).alias("text")).join(picked, key).select("text", F.col("toxic").cast("int").alias("toxic")), "toxic-sample")
     spread = F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
     odds = F.log((F.col("n1") + 0.5) * (int(n[0]) + 1) / ((F.col("n0") + 0.5) * (int(n[1]) + 1))) - STANDARD_ERRORS * spread
 
@@ -216,6 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in xs], pa.float64()) for i in (0, 1)] + [batch["toxic"]], ["x", "z", "toxic"])
 
     seen = sample.mapInArrow(measure, "x double, z double, toxic int").toPandas()
+    discard(sample)
     if seen["toxic"].nunique() < 2:
         return Lexicon(curve=(-30.0, 0.0, 0.0))
     lexicon.curve = _logistic(seen[["x", "z"]].to_numpy(), seen["toxic"].to_numpy())

@@ -85,6 +85,44 @@ def test_folding():
     assert toxicity.fold("cl­own l0s3r") == " clown loser"
     assert toxicity.fold(None) == toxicity.fold("") == toxicity.fold(" \n-!") == ""
     assert toxicity.fold("Éé ñ") == " éé ñ"
+    assert toxicity.fold("8a6 2oo") == " bag zoo"
+
+
+def plain_toxicity(text, lexicon):
+    """The features by looking for every term at every word, without an automaton."""
+    words = toxicity.fold(text).split()
+    pairs, total = list(zip(words, words[1:])), 0.0
+    for k, w in enumerate(words):
+        rest = f" {' '.join(words[k:])} "
+        if set(pairs[max(0, k - 1) : k + 1]) & set(lexicon.exceptions):
+            continue
+        total += max((x for t, x in lexicon.weights.items() if rest.startswith(t)), default=0.0)
+    return math.log1p(total), math.log1p(100 * total / len(words) if words else 0.0)
+
+
+def test_toxicity_against_a_scan_over_all_words(spark, documents):
+    """Short words, beginnings, copies, ties, substitutions, long and empty texts."""
+    rng = random.Random(8)
+    words = "ab xy as ass asset assessment moron moronic morons idiot the house of ox zebra zoo bag".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 60))) for _ in range(300)]
+    texts += ["ab", " ab.ab ", "M0R0N", "8ag 2oo", "аss", None, "", "xy " * 20000, texts[3], texts[3]]
+    lexicon = toxicity.Lexicon({" ab ": 2.0, " ass ": 1.5, " asse": 1.0, " moron": 3.0, " moroni": 3.0, " idiot": 2.5, " xy ": 0.5, " bag ": 1.0}, {("the", "idiot"), ("ab", "house"), ("moron", "moron")}, (-1.0, 0.4, 0.3))
+    a, b, c = lexicon.curve
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(documents(texts).repartition(3), lexicon).collect()}
+    for i, t in enumerate(texts):
+        x, z = plain_toxicity(t, lexicon)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(a + b * x + c * z)))), t
+    assert toxicity.score(documents([]), lexicon).count() == 0
+    docs = spark.createDataFrame([(None, "ab"), (1, "ab"), (1, "zoo")], "doc_id long, text string")
+    assert sorted(round(r["score"], 6) for r in toxicity.score(docs, lexicon).collect()) == sorted(round(1 / (1 + math.exp(-(a + b * x + c * z))), 6) for x, z in (plain_toxicity(t, lexicon) for t in ("ab", "ab", "zoo")))
+
+
+def test_short_words_are_learned(spark, documents):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["house", "garden", "an", "of"]) for _ in range(20)) + (" zz" if i % 4 == 0 else "") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(None, 1)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(documents(texts), labels, F.lit(True))
+    assert set(lexicon.weights) == {" zz "}
 
 
 def test_toxicity(spark, documents):
