@@ -16,15 +16,14 @@ its links have been proposed. Open nodes (texts made of very common passages, la
 copies, tiny sets) are joined again among themselves over all of their shingles.
 
 What is still open then lies in large regions: a node keeps those of its rarest shingles, as many as a
-partner cannot lack. These are joined recursively by pivots that are documents: all distances to a
-region's pivots are computed exactly; members within the radius of a pivot (its ball) are linked to
-it, so connected among themselves. A link between ball and shell needs |d(x,p) - d(y,p)| <= r, so of
-the ball only the rim, at least the nearest shell distance - r from the pivot, stays with the shell.
-One pivot of each region is a member of its largest connected part: of that part, whose members need
-no link among themselves, only those that some other member may reach stay, so a large group of near
-copies costs a distance each, and its outliers are not compared with all of it. A region is done when
-all of its members are connected. Level after level draws ``GROWTH`` times as many pivots from the
-other parts, until no region is left; nothing is capped.
+partner cannot lack. These are joined recursively by pivots that are documents. One pivot of a region, its
+centre, is a member of its largest connected part: all distances to it are computed exactly. Members
+within the radius (its ball) are linked to it, so connected among themselves. A link between the ball, or
+the centre's part, and the shell outside needs |d(x,p) - d(y,p)| <= r, so of these only the rim, at least
+the nearest shell distance - r from the centre, stays with the shell. Pivots of the other parts are
+compared with the members that they may link with though they share no small region; all other pairs were
+settled by their small regions. A region is done when all of its members are connected. Level after level
+draws ``GROWTH`` times as many pivots from the other parts, until no region is left; nothing is capped.
 
 Verification is exact, on whole sets; pairs that links verified before connect already are skipped,
 because the result is components, not pairs. Defined results: null or empty texts have empty sets, which
@@ -48,7 +47,7 @@ from oddgraph.llm.common import discard, grams, mix, signed, stored, text_blocks
 from oddgraph.llm.components import components
 
 SHINGLE, NUM, DEN = 4, 85, 100
-POOL, LEAF, FIRST, GROWTH = 1.7, 24, 4, 4
+POOL, LEAF, FIRST, GROWTH = 1.7, 24, 4, 16
 #: Entries of a chunk of one task, and of a slice of the hash space (its share of all chunks).
 CHUNK, SLICE = 1 << 19, 1 << 18
 
@@ -226,11 +225,12 @@ def _links_of(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _by_documents(regions: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Components (node, label) of the links within the large regions (region, sid, n), found by pivot
-    documents, and of ``links``, known before."""
+    """Components (node, label) of the links within the large regions (region, sid, n, c), found by pivot
+    documents, and of ``links``, known before. The first pivots are those of the fewest shingles of their
+    own (c): of a group of edited copies that is the text the others were made from, which links them."""
     radius, level, known = 1 - num / den, 0, components(links)
     while True:
-        named = regions.join(known.withColumnRenamed("node", "sid"), "sid", "left").select("region", "sid", "n", F.coalesce("label", "sid").alias("label"))
+        named = regions.join(known.withColumnRenamed("node", "sid"), "sid", "left").select("region", "sid", "n", "c", F.coalesce("label", "sid").alias("label"))
         # Pivots: about FIRST * GROWTH**level members of each region, none of its largest connected part, by a draw
         # that is the same in all regions. When all others have been pivots, one part is left.
         parts = named.groupBy("region", "label").agg(F.count("*").alias("m"))
@@ -240,15 +240,19 @@ def _by_documents(regions: DataFrame, links: DataFrame, sets: DataFrame, num: in
             return known
         draw = F.xxhash64("sid", F.lit(level))
         others = named.where("label <> top")
-        firsts = others.groupBy("region").agg(F.min(F.struct(draw.alias("h"), "sid")).alias("p")).select("region", F.col("p.sid").alias("first"))
+        firsts = others.groupBy("region").agg(F.min(F.struct("c", draw.alias("h"), "sid")).alias("p")).select("region", F.col("p.sid").alias("first"))
         share = (draw.cast("double") / 2.0**64 + 0.5) * F.col("m")
-        chosen = others.join(firsts, "region").where((F.col("sid") == F.col("first")) | (share < FIRST * GROWTH**level)).select("region", "sid", "n", "label")
-        centres = named.where("label = top").groupBy("region").agg(F.min(F.struct(draw.alias("h"), "sid", "n", "label")).alias("p")).select("region", "p.sid", "p.n", "p.label")
+        chosen = others.join(firsts, "region").where((F.col("sid") == F.col("first")) | (share < FIRST * GROWTH**level)).select("region", "sid", "n", "c", "label")
+        centres = named.where("label = top").groupBy("region").agg(F.min(F.struct("c", draw.alias("h"), "sid", "n", "label")).alias("p")).select("region", "p.sid", "p.n", "p.c", "p.label")
         pivots = chosen.withColumn("centre", F.lit(False)).union(centres.withColumn("centre", F.lit(True)))
-        pivots = stored(pivots.select("region", F.col("sid").alias("pivot"), F.col("n").alias("np"), F.col("label").alias("lp"), "centre"), "pivots")
-        # Members of a chosen pivot's own part need no distance to it; those of the largest part need theirs to its centre.
-        placed = stored(named.join(pivots, "region").where((F.col("label") != F.col("lp")) | (F.col("centre") & (F.col("sid") != F.col("pivot")))).drop("m", "top"), "placed")
+        pivots = stored(pivots.select("region", F.col("sid").alias("pivot"), F.col("n").alias("np"), F.col("c").alias("cp"), F.col("label").alias("lp"), "centre"), "pivots")
+        # A centre is measured against all members. A chosen pivot needs only those of other parts that it may link
+        # with though they share no small region: pairs that do share one, or would have to, are settled.
         alike = den * F.least("n", "np") >= num * F.greatest("n", "np")
+        overlap = F.ceil(num * (F.col("n") + F.col("np")) / (num + den) - 1e-9)
+        possible = alike & (F.col("label") != F.col("lp")) & (overlap <= F.least(F.col("n") - F.col("c"), F.col("np") - F.col("cp")))
+        placed = named.join(pivots, "region").where(F.when(F.col("centre"), F.col("sid") != F.col("pivot")).otherwise(possible))
+        placed = stored(placed.select("region", "sid", "n", "label", "pivot", "np", "lp", "centre"), "placed")
         pairs = placed.where(alike).select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
         measured = _verify(pairs, sets, num, den)
         fresh = measured.where("linked").join(known.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
@@ -256,17 +260,17 @@ def _by_documents(regions: DataFrame, links: DataFrame, sets: DataFrame, num: in
         if not fresh.isEmpty():
             links = stored(links.union(fresh), "links")
             known = components(links)
-        both = placed.withColumns({"a": F.least("sid", "pivot"), "b": F.greatest("sid", "pivot")}).join(measured, ["a", "b"], "left")
+        both = placed.where("centre").withColumns({"a": F.least("sid", "pivot"), "b": F.greatest("sid", "pivot")}).join(measured, ["a", "b"], "left")
         apart = F.coalesce("d", 1 - F.least("n", "np") / F.greatest("n", "np"))
         both = both.select("region", "sid", "pivot", apart.alias("d"), F.col("d").isNotNull().alias("exact"), F.coalesce("linked", F.lit(False)).alias("linked"), (F.col("label") == F.col("lp")).alias("same"))
         both = stored(both, "distances")
-        # A link between a member near a pivot, or of its part, and one that is neither needs distances to the pivot
+        # A link between a member near a centre, or of its part, and one that is neither needs distances to the centre
         # that differ by the radius at most: of the near ones only the rim stays. Pivots are done.
         shell = both.where("not linked and not same").groupBy("region", "pivot").agg(F.min("d").alias("nearest"))
         inner = both.where("exact and (linked or same)").join(shell, ["region", "pivot"], "left").where(F.col("nearest").isNull() | (F.col("d") < F.col("nearest") - radius - 1e-9))
         done = pivots.select("region", F.col("pivot").alias("sid"))
         gone = inner.select("region", "sid").union(done).distinct()
-        before, regions = regions, stored(named.select("region", "sid", "n").join(gone, ["region", "sid"], "left_anti"), "left")
+        before, regions = regions, stored(named.select("region", "sid", "n", "c").join(gone, ["region", "sid"], "left_anti"), "left")
         for x in (before, named, pivots, placed, measured, fresh, both):
             discard(x)
         level += 1
@@ -376,7 +380,7 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     crowds = crowded.groupBy("region").agg(F.count("*").alias("m"))
     mine = crowded.join(still, "sid").join(crowds, "region").groupBy("sid", "n", "c").agg(F.array_sort(F.collect_list(F.struct("m", "region"))).alias("all"))
     lack = (F.col("n") - F.ceil(num * F.col("n") / den - 1e-9) + 1 - F.col("c")).cast("int")
-    regions = stored(mine.select("sid", "n", F.explode(F.slice("all", F.lit(1), lack)).alias("x")).select(F.col("x.region").alias("region"), "sid", "n"), "regions")
+    regions = stored(mine.select("sid", "n", "c", F.explode(F.slice("all", F.lit(1), lack)).alias("x")).select(F.col("x.region").alias("region"), "sid", "n", "c"), "regions")
     parts = _by_documents(regions, links, sets, num, den)
     labels = nodes.join(parts, F.col("sid") == F.col("node"), "left").select("sid", "first", F.coalesce("label", "sid").alias("label"))
     firsts = labels.groupBy("label").agg(F.min("first").alias("keeps"))
