@@ -15,6 +15,8 @@ from oddgraph.operators import edges as G
 from oddgraph.operators import features as FT
 from oddgraph.operators import networks as W
 from oddgraph.operators import propagate as P
+from oddgraph.operators import spectral as E
+from oddgraph.operators import structure as T
 
 Graph = tuple[DataFrame, DataFrame]
 
@@ -113,3 +115,15 @@ def ghrn(source: Graph, target: Graph, width: int, s: Settings = GHRN, seed: int
     first = s.but(epochs=min(GHRN_FIRST_EPOCHS, s.epochs))
     left = [(_settled(pruned(G.binary(e), nodes, bwgnn(source, (e, nodes), width, first, seed), ratio)), nodes) for e, nodes in (source, target)]
     return bwgnn(left[0], left[1], width, s, seed)
+
+
+def augmented(e: DataFrame, nodes: DataFrame, width: int, positions: int = 16, order: int = 2) -> DataFrame:
+    """(id, f): the attributes, the logarithms of degree and PageRank, the positions on the Laplacian's first
+    vectors, and the Beta wavelets of the attributes. e is undirected, without loops."""
+    degree = G.out_degree(e).select("id", "d")
+    logs = nodes.select("id").join(degree, "id", "left").select("id", F.log1p(F.coalesce("d", F.lit(0.0))).alias("degree"))
+    rank = T.pagerank_to(e, nodes, log=True).select("id", F.col("p").alias("rank"))
+    place = E.laplacian_positions(e, nodes.select("id"), positions).vectors.withColumnRenamed("f", "place")
+    bands = wavelet_features(e, nodes.select("id", "f"), width, order).withColumnRenamed("f", "bands")
+    x = nodes.select("id", "f").join(logs, "id").join(rank, "id").join(place, "id").join(bands, "id")
+    return x.select("id", F.concat("f", F.array("degree", "rank"), "place", "bands").alias("f"))

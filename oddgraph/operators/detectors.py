@@ -39,11 +39,12 @@ def centroid_distance(query: DataFrame, support: DataFrame, width: int) -> DataF
 
 def support_attention(query: DataFrame, support: DataFrame, width: int) -> DataFrame:
     """|h - attention over the support| with identity weights; the support is a bounded shot."""
-    s = F.broadcast(support.select(F.col("f").alias("c")))
-    logit = X.dot("f", "c") / (width**0.5)
-    x = query.select("id", "f").crossJoin(s).select("id", "f", "c", F.exp(logit).alias("e"))
-    got = x.groupBy("id").agg(F.first("f").alias("f"), X.sum_vectors("c", width, F.col("e")).alias("n"), F.sum("e").alias("t"))
-    return got.select("id", F.sqrt(X.squared_distance("f", X.scaled("n", 1 / F.col("t")))).alias("score"))
+    one = F.broadcast(support.agg(F.collect_list("f").alias("cs")))  # one row of a shot
+    x = query.select("id", "f").crossJoin(one).withColumn("e", F.transform("cs", lambda c: X.dot("f", c) / (width**0.5)))
+    x = x.withColumn("w", F.transform("e", lambda v: F.exp(v - F.array_max("e"))))
+    total = F.aggregate("w", F.lit(0.0), lambda s, v: s + v)
+    mean = F.aggregate(F.arrays_zip("w", "cs"), X.zeros(width), lambda s, v: F.zip_with(s, v["cs"], lambda p, q: p + q * v["w"]))
+    return x.select("id", F.sqrt(X.squared_distance("f", X.scaled(mean, 1 / total))).alias("score"))
 
 
 def nearest_code(nodes: DataFrame, codes: DataFrame) -> DataFrame:
@@ -100,7 +101,9 @@ def link_loss(triplets: DataFrame, nodes: DataFrame, tau: float = 1.0) -> DataFr
     """Mean of -log(exp(sim(a, p) / tau) / sum over negatives of exp(sim(a, n) / tau)); triplets(anchor, positive, negative)."""
     v = lambda k, name: nodes.select(F.col("id").alias(k), F.col("f").alias(name))
     x = triplets.join(v("anchor", "a"), "anchor").join(v("positive", "p"), "positive").join(v("negative", "n"), "negative")
-    per = x.groupBy("anchor", "positive").agg(F.first(X.cosine("a", "p") / tau).alias("s"), F.log(F.sum(F.exp(X.cosine("a", "n") / tau))).alias("l"))
+    # A cosine is 1 at most, so 1 / tau shifts every exponent to 0 or less.
+    shifted = F.log(F.sum(F.exp((X.cosine("a", "n") - 1) / tau))) + 1 / tau
+    per = x.groupBy("anchor", "positive").agg(F.first(X.cosine("a", "p") / tau).alias("s"), shifted.alias("l"))
     return per.agg(F.avg(F.col("l") - F.col("s")).alias("loss"))
 
 
@@ -197,7 +200,9 @@ def hop_attention(hops: DataFrame, count: int, width: int, slope: float = 0.2) -
     """Attention over hop residuals with identity weights: softmax over l of leaky(x0 . (x_l - x0) / sqrt(h))
     times the residuals; h0..hL in, f out."""
     logits = [X.dot("h0", X.minus(f"h{k}", "h0")) / (width**0.5) for k in range(1, count + 1)]
-    x = hops.withColumns({f"_e{k}": F.exp(F.when(a > 0, a).otherwise(slope * a)) for k, a in enumerate(logits, 1)})
+    x = hops.withColumns({f"_l{k}": F.when(a > 0, a).otherwise(slope * a) for k, a in enumerate(logits, 1)})
+    top = F.array_max(F.array(*[F.col(f"_l{k}") for k in range(1, count + 1)]))
+    x = x.withColumns({f"_e{k}": F.exp(F.col(f"_l{k}") - top) for k in range(1, count + 1)})
     total = sum((F.col(f"_e{k}") for k in range(2, count + 1)), F.col("_e1"))
     out = None
     for k in range(1, count + 1):
@@ -212,20 +217,54 @@ def query_with_affinity(query: DataFrame, scores: DataFrame, lam: float = 0.1) -
     return query.join(total.withColumnRenamed("score", "a"), "id").select("id", ((1 - lam) * F.col("q") + lam * F.col("a")).alias("score"))
 
 
-def context_contrast(e: DataFrame, nodes: DataFrame, width: int, rounds: int, size: int = 4, batch: int = 64) -> DataFrame:
+def context_contrast(e: DataFrame, nodes: DataFrame, width: int, rounds: int = 256, size: int = 4, batch: int = 64) -> DataFrame:
     """Mean over rounds of -(sigma(pos) - sigma(neg)): a node against the mean of its sampled context and
-    against the context of its negative in the logical batch."""
-    from oddgraph.operators.sampling import negative_in_batch, random_walk_sample
+    against the context of its negative in the logical batch. The rounds are a column, not plans of their own."""
+    from oddgraph.operators.propagate import cut
+    from oddgraph.operators.sampling import negative_in_batch, random_walk_rounds
 
-    negative, out = negative_in_batch(nodes, batch), None
     f = nodes.select(F.col("id").alias("node"), "f")
+    context = random_walk_rounds(e, nodes, size, list(range(rounds))).where("slot > 0").join(f, "node").groupBy("id", "round").agg(X.avg_vectors("f", width).alias("c"))
+    context = cut(context)
     sigma = lambda a, b: 1 / (1 + F.exp(-X.dot(a, b)))
-    for seed in range(rounds):
-        context = random_walk_sample(e, nodes, size, seed).where("slot > 0").join(f, "node").groupBy("id").agg(X.avg_vectors("f", width).alias("c"))
-        x = nodes.select("id", "f").join(context, "id").join(negative, "id").join(context.select(F.col("id").alias("negative"), F.col("c").alias("d")), "negative")
-        one = x.select("id", (sigma("f", "d") - sigma("f", "c")).alias("s"))
-        out = one if out is None else out.union(one)
-    return out.groupBy("id").agg(F.avg("s").alias("score"))
+    x = nodes.select("id", "f").join(negative_in_batch(nodes, batch), "id").join(context, "id")
+    x = x.join(context.select(F.col("id").alias("negative"), "round", F.col("c").alias("d")), ["negative", "round"])
+    return x.select("id", (sigma("f", "d") - sigma("f", "c")).alias("s")).groupBy("id").agg(F.avg("s").alias("score"))
+
+
+def tam(e: DataFrame, nodes: DataFrame, width: int, cuttings: int = 1, trees: int = 1, seed: int = 0) -> DataFrame:
+    """(id, score): 1 - minmax of the mean affinity. Each cutting drops the longer edges of the graph the one
+    before has left, once for each tree by a draw of its own; the features, propagated once over what is left
+    with loops added, give the affinity on the whole graph with loops. e holds both directions, without loops."""
+    from oddgraph.operators import edges as G
+    from oddgraph.operators.propagate import cut, spmm
+    from oddgraph.operators.sampling import truncated
+
+    loops = cut(G.add_loops_raw(e, nodes))
+    left, found = {t: e.select("src", "dst") for t in range(trees)}, None
+    for c in range(cuttings):
+        for t in range(trees):
+            left[t] = cut(truncated(N.edge_distance(left[t].withColumn("w", F.lit(1.0)), nodes), seed + c * trees + t))
+            a = G.norm_sym_column(G.add_loops_raw(left[t].withColumn("w", F.lit(1.0)), nodes))
+            x = spmm(a, nodes.select("id", "f"), width)
+            m = N.affinity(loops, x.withColumn("u", X.unit("f")))
+            found = m if found is None else found.union(m)
+    return N.inverted(cut(found.groupBy("id").agg(F.avg("m").alias("m"))))
+
+
+def dominant(e: DataFrame, nodes: DataFrame, width: int, alpha: float = 0.8) -> DataFrame:
+    """(id, score): alpha times the attribute error plus the rest times the structure error. The embeddings are
+    the features propagated once over A + I, normalised; their attributes are decoded by propagating once more."""
+    from oddgraph.operators import edges as G
+    from oddgraph.operators.propagate import cut, spmm
+
+    loops = cut(G.add_loops_raw(e, nodes))
+    a = cut(G.norm_sym_transposed(loops))
+    z = cut(spmm(a, nodes.select("id", "f"), width))
+    back = spmm(a, z, width).withColumnRenamed("f", "g")
+    attribute = nodes.select("id", "f").join(back, "id").select("id", F.sqrt(X.squared_distance("f", "g")).alias("attribute"))
+    both = attribute.join(dominant_error(loops, z, width), "id")
+    return both.select("id", (alpha * F.col("attribute") + (1 - alpha) * F.col("structure")).alias("score"))
 
 
 def alignment_loss(e: DataFrame, nodes: DataFrame, tau: float = 1.0) -> DataFrame:

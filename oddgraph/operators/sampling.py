@@ -147,14 +147,21 @@ def truncated(dist: DataFrame, seed: int) -> DataFrame:
 
 def random_walk_sample(e: DataFrame, nodes: DataFrame, size: int, seed: int) -> DataFrame:
     """size - 1 out-neighbours with replacement and the node itself; an isolated node draws itself."""
+    return random_walk_rounds(e, nodes, size, [seed]).drop("round")
+
+
+def random_walk_rounds(e: DataFrame, nodes: DataFrame, size: int, seeds: list[int]) -> DataFrame:
+    """(id, round, slot, node): the sample for each seed as a round, all in one join."""
     w = Window.partitionBy("src")
     r = e.select("src", "dst", F.row_number().over(w.orderBy("dst")).alias("r"))
     k = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k"))
-    draws = nodes.select("id").join(k, "id", "left").na.fill(0, ["k"]).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    pick = F.floor(uniform(seed, "id", "slot") * F.col("k")).cast("int") + 1
+    rounds = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("round")
+    draws = nodes.select("id").join(k, "id", "left").na.fill(0, ["k"]).select("id", "k", rounds).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    part = F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in ("round", "id", "slot")])), 1, 8), 16, 10).cast("double") / 4294967296.0
+    pick = F.floor(part * F.col("k")).cast("int") + 1
     draws = draws.withColumn("r", F.when((F.col("slot") > 0) & (F.col("k") > 0), pick).otherwise(0))
     got = draws.join(r.withColumnRenamed("src", "id"), ["id", "r"], "left")
-    return got.select("id", "slot", F.coalesce("dst", "id").alias("node"))
+    return got.select("id", "round", "slot", F.coalesce("dst", "id").alias("node"))
 
 
 def _free_places(taken: DataFrame, starts: DataFrame, n: int, k: int) -> DataFrame:

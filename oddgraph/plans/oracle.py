@@ -213,6 +213,25 @@ def _u(*keys: str, seed: int = 42) -> str:
     return _U.format(k=f"'{seed}:' || " + " || ':' || ".join(keys))
 
 
+def _tam(cuttings: int) -> dict[str, str]:
+    """mn(id, m): mean affinity over so many cuttings of the graph und."""
+    more = {"lo": "SELECT * FROM und UNION ALL SELECT id, id, 1.0 FROM vec", "e0": "SELECT src, dst FROM und"}
+    for i in range(1, cuttings + 1):
+        more[f"d{i}"] = f"SELECT e.src, e.dst, {_L2} AS dist FROM {_ends(f'e{i - 1}')}"
+        mu = f"(SELECT avg(dist) FROM d{i} WHERE dist <> 0)"
+        more[f"t{i}"] = f"SELECT src AS id, CASE WHEN max(dist) > {mu} THEN {mu} + {_u('src', seed=41 + i)} * (max(dist) - {mu}) ELSE max(dist) END AS t FROM d{i} GROUP BY 1"
+        kept = f"SELECT d.src, d.dst FROM d{i} d JOIN t{i} t ON t.id = d.src WHERE d.dist <= t.t"
+        more[f"e{i}"] = f"SELECT src, dst FROM ({kept}) UNION SELECT dst, src FROM ({kept})"
+        more[f"l{i}"] = f"SELECT src, dst, 1.0::DOUBLE AS w FROM e{i} UNION ALL SELECT id, id, 1.0 FROM vec"
+        more[f"c{i}"] = f"SELECT dst AS id, sum(w) AS c FROM l{i} GROUP BY 1"
+        more[f"n{i}"] = f"SELECT e.src, e.dst, e.w / sqrt(a.c * b.c) AS w FROM l{i} e JOIN c{i} a ON a.id = e.src JOIN c{i} b ON b.id = e.dst"
+        more[f"x{i}"] = _sumw("src", "dst", f"n{i}", "vec")
+        more[f"m{i}"] = f"SELECT e.src AS id, sum({_cos('a.f', 'b.f')}) AS s FROM lo e JOIN x{i} a ON a.id = e.src JOIN x{i} b ON b.id = e.dst GROUP BY 1"
+    sums = " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(1, cuttings + 1))
+    more["mn"] = f"SELECT a.id, avg(s / d) AS m FROM ({sums}) a JOIN (SELECT dst AS id, sum(w) AS d FROM lo GROUP BY 1) c USING (id) GROUP BY 1"
+    return more
+
+
 _TRIPLETS = {
     "circle": f"SELECT id AS cand, row_number() OVER (ORDER BY {_KEY}, id) - 1 AS place FROM vec",
     "chosen": "SELECT * FROM (SELECT DISTINCT src, dst FROM knn WHERE src <> dst) ORDER BY md5('42:' || src || ':' || dst), src || ':' || dst LIMIT 200",
@@ -359,6 +378,13 @@ ORACLE: dict[str, str] = {
     "query_antijoin": _with("doc", f"SELECT count(*) AS n, sum(id)::BIGINT AS ids, 0::BIGINT AS overlap FROM ({_rank(_POOL)}) WHERE r > 10"),
     "edge_dropout": _with("psl", _summed(f"SELECT * FROM psl WHERE src = dst OR {_u('src', 'dst')} >= 0.2")),
     "tam_truncate": _with("und", "SELECT src, dst FROM kept UNION SELECT dst, src FROM kept", **_TRUNC),
+    "tam_scores": _with("und", "SELECT id, round(1 - (m - lo) / (hi - lo), 6) AS score FROM mn, (SELECT min(m) AS lo, max(m) AS hi FROM mn)", **_tam(2)),
+    "dominant_scores": _with(
+        "und", f"SELECT a.id, round(0.8 * a.attribute + 0.2 * s.structure, 6) AS score FROM (SELECT v.id, {_dist('v.f', 'b.f')} AS attribute FROM vec v JOIN bk b USING (id)) a JOIN st s USING (id)",
+        lo="SELECT * FROM und UNION ALL SELECT id, id, 1.0 FROM vec", de="SELECT src AS id, sum(w) AS d FROM lo GROUP BY 1", na="SELECT e.dst AS src, e.src AS dst, e.w / sqrt(a.d * b.d) AS w FROM lo e JOIN de a ON a.id = e.src JOIN de b ON b.id = e.dst",
+        z=_sumw("src", "dst", "na", "vec"), bk=_sumw("src", "dst", "na", "z"),
+        st="SELECT a.id, sqrt(sum(pow(list_inner_product(a.f, b.f) - coalesce(e.w, 0), 2))) AS structure FROM z a CROSS JOIN z b LEFT JOIN lo e ON e.src = a.id AND e.dst = b.id GROUP BY 1",
+    ),
     "rwr_sample": _with("knn", f"SELECT d.id, d.slot::INT AS slot, coalesce(e.dst, d.id) AS node FROM (SELECT id, slot, CASE WHEN slot > 0 AND k > 0 THEN floor({_u('id', 'slot')} * k)::INT + 1 ELSE 0 END AS r FROM (SELECT v.id, coalesce(k, 0) AS k, unnest(range(4)) AS slot FROM vec v LEFT JOIN (SELECT src AS id, count(*) AS k FROM knn GROUP BY 1) USING (id))) d LEFT JOIN (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM knn) e ON e.src = d.id AND e.r = d.r"),
     "nonneighbor_sample": _with(
         "und", "SELECT id, slot::INT AS slot, cand FROM (SELECT w.id, c.cand, row_number() OVER (PARTITION BY w.id ORDER BY w.i) AS slot FROM walk w JOIN circle c ON c.place = w.place LEFT JOIN und e ON e.src = w.id AND e.dst = c.cand WHERE e.src IS NULL AND c.cand <> w.id) WHERE slot <= 3",
@@ -409,7 +435,7 @@ ORACLE: dict[str, str] = {
     "context_contrast": _with(
         "knn vec", "SELECT x.id, round(avg(1 / (1 + exp(-list_inner_product(x.f, b.c))) - 1 / (1 + exp(-list_inner_product(x.f, a.c)))), 6) AS score FROM vec x JOIN ctx a ON a.id = x.id JOIN ng ON ng.id = x.id JOIN ctx b ON b.id = ng.negative AND b.seed = a.seed GROUP BY 1",
         rk="SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r, count(*) OVER (PARTITION BY src) AS k FROM knn",
-        dr=" UNION ALL ".join(f"SELECT {s} AS seed, e.src AS id, e.dst AS node FROM (SELECT DISTINCT src, k FROM rk) n, (SELECT unnest(range(1, 4)) AS slot) t JOIN rk e ON e.src = n.src AND e.r = floor({_u('n.src', 't.slot', seed=s)} * n.k)::INT + 1" for s in (0, 1)),
+        dr=f"SELECT n.seed, e.src AS id, e.dst AS node FROM (SELECT DISTINCT src, k, s.seed FROM rk, (SELECT unnest(range(256)) AS seed) s) n, (SELECT unnest(range(1, 4)) AS slot) t JOIN rk e ON e.src = n.src AND e.r = floor({_U.format(k="n.seed || ':' || n.src || ':' || t.slot")} * n.k)::INT + 1",
         ctx="SELECT seed, dr.id, [" + ", ".join(f"avg(v.f[{i}])" for i in range(1, 65)) + "] AS c FROM dr JOIN vec v ON v.id = dr.node GROUP BY 1, 2",
         ng="SELECT id, coalesce(lag(id) OVER (PARTITION BY id // 64 ORDER BY id), nth_value(id, CASE WHEN n > 1 THEN n - 1 ELSE 1 END) OVER (PARTITION BY id // 64 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS negative FROM (SELECT id, count(*) OVER (PARTITION BY id // 64) AS n FROM vec)",
     ),

@@ -750,7 +750,29 @@ def query_affinity_fusion(spark, d):
 
 
 def context_contrast(spark, d):
-    return rounded(D.context_contrast(knn(spark, d), vec(spark, d), W, 2), "score")
+    return rounded(D.context_contrast(P.cut(knn(spark, d)), vec(spark, d), W), "score")
+
+
+def tam_scores(spark, d):
+    return rounded(D.tam(P.cut(und(spark, d)), vec(spark, d), W, cuttings=2, seed=SEED), "score")
+
+
+def dominant_scores(spark, d):
+    return rounded(D.dominant(P.cut(und(spark, d)), vec(spark, d), W), "score")
+
+
+def tfm4gad_features(spark, d):
+    """The graph-augmented table: degrees, PageRank, positions and wavelets beside the attributes."""
+    x = C.augmented(P.cut(und(spark, d)), vec(spark, d).select("id", "f"), W)
+    return wide(x, "f")
+
+
+def tfm4gad_scores(spark, d):
+    """A forest fitted on a support of ten nodes a class scores the augmented table."""
+    nodes = vec(spark, d).withColumn("mark", F.lit(True))
+    x = P.cut(C.augmented(P.cut(und(spark, d)), nodes.select("id", "f"), W).join(nodes.select("id", F.col("y").cast("double").alias("y")), "id"))
+    support = S.per_class(nodes, SHOT, SEED).select("id").distinct()
+    return rounded(D.classified(x.join(support, "id", "left_semi"), x.join(support, "id", "left_anti"), "rf"), "score")
 
 
 def alignment_loss(spark, d):
@@ -812,7 +834,7 @@ QUERIES = {
         edge_dropout, tam_truncate, rwr_sample, nonneighbor_sample, triplet_sample, pair_sample, column_sample, l_hop_closure, closure_induced, group_lag_negative, block_diag_union, seed_mean_std, result_upsert,
         mode_delta, pair_macro, result_rollup, label_counts, shot_budget, random_budget, shot_detail, macro_cohort, fingerprint_md5, csv_ids_map, csv_trio_files, stored_features, marks_union, lsh_knn, kmeans_codes, aligned_features,
         demo_graph, event_graph, hop_attention, query_affinity_fusion, context_contrast, alignment_loss, prompt_entropy, pca_energy, laplacian_positions, laplacian_vectors,
-        train_rate_sample, balanced_query, source_batches, xgb_graph,
+        train_rate_sample, balanced_query, source_batches, xgb_graph, tam_scores, dominant_scores, tfm4gad_features, tfm4gad_scores,
     )
 }
 QUERIES["undirect_binary"] = und
