@@ -47,7 +47,7 @@ from oddgraph.llm.common import discard, grams, mix, signed, stored, text_blocks
 from oddgraph.llm.components import components
 
 SHINGLE, NUM, DEN = 4, 85, 100
-POOL, LEAF, FIRST, GROWTH = 1.7, 24, 4, 16
+POOL, LEAF, FIRST, GROWTH = 1.7, 24, 4, 64
 #: Entries of a chunk of one task, and of a slice of the hash space (its share of all chunks).
 CHUNK, SLICE = 1 << 19, 1 << 18
 
