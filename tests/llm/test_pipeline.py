@@ -49,3 +49,28 @@ def test_stages_keep_columns(spark, documents):
         assert stage(spark, docs, "").columns == docs.columns
     assert corpus_pipeline.STAGES[2][1](spark, docs.where("false"), "").isEmpty()
     assert docs.select(F.lit(1)).count() == 2
+
+
+def test_every_stage_on_nulls_empties_repeats_and_clashing_names(spark, tmp_path):
+    """Null texts, ids and languages, empty and long texts, repeated rows, and columns named as the operators' own."""
+    rng = random.Random(4)
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, text((EN, DE)[i % 2], 90), ("en", "de")[i % 2]) for i in range(30)]
+    rows += [(30, None, "en"), (31, "", None), (32, " \n ", "de"), (None, text(EN, 60), "en"), (None, None, None), rows[4], rows[4], (5, "another text of the same id", "en"), (33, text(EN, 9000), "en"), (34, "the", None)]
+    docs = spark.createDataFrame([(i, t, g, "s", len(t or "")) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("key", "text_hash", "sid", "n", "c", "region", "label", "anchor", "kept", "item_id", "score", "part", "start", "ids"):
+        docs = docs.withColumn(c, F.lit(1))
+    spark.createDataFrame([(1, "a question that nobody asked? an answer"), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, kept, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "packing":
+            assert out.columns == docs.columns, name
+            assert {r["doc_id"] for r in out.collect()} <= {r[0] for r in rows}
+            kept = out
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+    first = {r["doc_id"]: r["text"] for r in kept.where("doc_id is not null").collect()}
+    assert set(range(30)) - {4, 5} <= set(first) and 4 in first and not {30, 31, 32} & set(first)
+    assert kept.where("doc_id = 4").count() == 1 and kept.where("doc_id is null").count() == 1
